@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, token_files
+from . import byte_bpe, exact_dedup, media, packing, sharding, token_files, warc
+from .common import text_of, work_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the packages."""
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids and of their decoding."""
     options = _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern()
@@ -43,9 +49,59 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts, by a digest index that starts empty."""
+    index = exact_dedup.DigestIndex(spark, work_folder(spark, "index"))
+    rows, _ = exact_dedup.ingest(_table(spark, sf_dir, "documents"), index)
+    index.close()
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP7_SQL = """
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS len,
+         sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+k AS (
+  SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY len DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM n),
+f AS (SELECT text_sha256, doc_id AS keep_id FROM k WHERE place = 1)
+SELECT k.doc_id, f.keep_id, k.group_size, k.doc_id = f.keep_id AS kept, k.text_sha256
+FROM k JOIN f USING (text_sha256)
+"""
+
+
+#: Arrivals that the sharding query deals documents to.
+ARRIVALS = 8
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, read through the manifest after their arrivals were appended and compacted."""
+    store = sharding.ShardStore(spark, work_folder(spark, "shards"))
+    store.append(_table(spark, sf_dir, "documents"), arrival=F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.encode(text_of(), "UTF-8"), 256).alias("text_sha256"))
+
+
+OP8_SQL = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+
+def op10_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as motion JPEG and read back: digests, and its shots in seconds."""
+    back = media.read_media(media.to_media(_table(spark, sf_dir, "documents")))
+    cuts = F.concat_ws(",", F.transform("shots", lambda k: F.format_string("%.2f", k / F.lit(media.FPS))))
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256",
+        F.concat(F.lit("frames="), F.col("frames").cast("string"), F.lit(";shots_s="), cuts).alias("feature"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_token_files, op6_byte_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_token_files, op5_warc_zip, op6_byte_bpe, op7_exact_dedup, op8_sharding, op10_avi_clips)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": OP7_SQL, "op8_sharding": OP8_SQL}
