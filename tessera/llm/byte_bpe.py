@@ -137,7 +137,7 @@ class ByteBpe:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         known = self.cache
-        new = list({p for pieces in split for p in pieces if p not in known})
+        new = list(set().union(*split).difference(known))
         own = dict(zip(new, self.resolve(new)))
         known.update((p, ids) for p, ids in own.items() if len(p) <= CACHE_LONGEST)
         long = {p: ids for p, ids in own.items() if len(p) > CACHE_LONGEST}
@@ -161,7 +161,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, *, id_column: str = "doc_id"
 
     Null text counts as empty and has no ids. Ids may be null or repeat: each row gives one row. Other
     columns are ignored. Strings of special tokens are ordinary text. One pass, no shuffle; a task holds
-    64 texts and a bounded cache.
+    256 texts and a bounded cache.
     """
 
     def run(batches):
@@ -171,8 +171,8 @@ def encode(df: DataFrame, ranks: str, pattern: str, *, id_column: str = "doc_id"
 
         def rows():
             for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    some = batch.slice(at, 64)
+                for at in range(0, batch.num_rows, 256):
+                    some = batch.slice(at, 256)
                     yield from zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist()))
 
         yield from in_batches(rows(), schema, weigh=lambda r: len(r[1]) + 16)

@@ -16,6 +16,8 @@ from .common import in_batches, text_of, work_folder, written
 from .tokens import word_ids
 
 LONGEST = 4096
+#: Rows (a bucket of a part, 16 bytes) up to which the table of bases is sent to every task; beyond it is joined by shuffles.
+BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, bucket int, part int, nth long, ids binary"
 
 
@@ -52,8 +54,8 @@ def pack(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_colum
 
         def rows():
             for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    some = batch.slice(at, 64)
+                for at in range(0, batch.num_rows, 256):
+                    some = batch.slice(at, 256)
                     for doc, own in zip(some.column(0).to_pylist(), ids.encode(some.column(1).to_pylist())):
                         own += end
                         n, start = len(own) // 4, 0
@@ -70,5 +72,7 @@ def pack(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_colum
     buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("n"))
     before = buckets.select("bucket", (F.sum("n").over(W.orderBy(F.desc("bucket"))) - F.col("n")).alias("bucket_base"))
     inside = sizes.select("bucket", "part", (F.sum("n").over(W.partitionBy("bucket").orderBy("part")) - F.col("n")).alias("part_base"))
-    bases = inside.join(before, "bucket").select("bucket", "part", (F.col("bucket_base") + F.col("part_base")).alias("base"))
+    bases = written(inside.join(before, "bucket").select("bucket", "part", (F.col("bucket_base") + F.col("part_base")).alias("base")), f"{folder}-bases")
+    if bases.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     return pieces.join(bases, ["bucket", "part"]).select("doc_id", "start", "length", "doc_tokens", "bucket", "ids", (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

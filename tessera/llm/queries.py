@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, media, packing, sharding, token_files, warc
+from . import byte_bpe, exact_dedup, media, near_dedup, packing, sharding, token_files, warc
 from .common import text_of, work_folder
 
 
@@ -88,6 +88,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 percent of their 3-word shingles."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as motion JPEG and read back: digests, and its shots in seconds."""
     back = media.read_media(media.to_media(_table(spark, sf_dir, "documents")))
@@ -100,7 +105,7 @@ def op10_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_token_files, op5_warc_zip, op6_byte_bpe, op7_exact_dedup, op8_sharding, op10_avi_clips)}
+    return {f.__name__: f for f in (op1_packing, op2_token_files, op5_warc_zip, op6_byte_bpe, op7_exact_dedup, op8_sharding, op9_near_dedup, op10_avi_clips)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -190,8 +190,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, id_column:
             if batch.num_rows and writer is None:
                 system.create_dir(f"{place}/files", recursive=True)
                 writer = Writer(system.open_output_stream(f"{place}/files/{name}"), percentile)
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 for doc, own in zip(some.column(0).to_pylist(), ids.encode(some.column(1).to_pylist())):
                     writer.add(doc, own + end)
         if writer is not None:

@@ -12,8 +12,8 @@ import json
 
 import numpy as np
 
-#: Entries that one worker's cache holds before it starts anew (about 100 bytes each).
-CACHE_ENTRIES = 400_000
+#: Entries that one worker's cache holds before it starts anew (about 200 bytes each).
+CACHE_ENTRIES = 800_000
 
 _BY_FILE: dict[str, "WordIds"] = {}
 
@@ -25,39 +25,75 @@ def chunks_are_independent(definition: dict) -> bool:
         return False
     splits = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [])
     first = splits[0] if splits else {}
-    drops = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first.get("pattern", {}).get("Regex", "").endswith("|[^\\s\\p{L}\\p{N}]+")
+    drops = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first.get("pattern", {}).get("Regex", "").endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
     rest = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in splits[1:])
     return bool(drops and rest and definition.get("post_processor") is None)
 
 
-class WordIds(dict):
-    """Chunk (UTF-8 bytes) -> its ids as little-endian unsigned 32-bit integers."""
+class WordIds:
+    """Ids of texts as little-endian unsigned 32-bit integers; `known` maps chunks (UTF-8 bytes) to theirs."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
-        self.by_chunk = chunks_are_independent(json.loads(self.library.to_str()))
+        definition = json.loads(self.library.to_str())
+        self.by_chunk = chunks_are_independent(definition)
+        self.known: dict[bytes, bytes] = {}
+        mark = definition["model"].get("end_of_word_suffix")
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if mark:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def learn(self, new: list[bytes]) -> None:
+        """Adds chunks. Words of letters alone go through the library many at a time, told apart by the tokens that end a word."""
+        words, others, joined = [], [], []
+        for chunk in new:
+            text = chunk.decode("utf-8")
+            if text.isalpha():
+                words.append((chunk, text))
+            elif text[:-1].isalpha() and text[-1] in ".,":
+                joined.append(chunk)  # a word and a mark, which the splitter parts
+            else:
+                others.append((chunk, text))
+        extra = {c[:-1] for c in joined}.difference(self.known).difference(c for c, _ in words)
+        words += [(c, c.decode("utf-8")) for c in extra]
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            ids = np.array(self.library.encode_batch_fast([" ".join([w for _, w in some])], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                raw, first = ids.tobytes(), 0
+                for (chunk, _), stop in zip(some, (4 * stops).tolist()):
+                    self.known[chunk] = raw[first:stop]
+                    first = stop
+            else:  # some word isn't one unit to the library
+                others += some
+        others += [(m, m.decode()) for m in (b".", b",") if m not in self.known]
+        for at in range(0, len(others), 2048):
+            some = others[at : at + 2048]
+            self.known.update(zip([c for c, _ in some], self.encode_all([w for _, w in some])))
+        for chunk in joined:
+            self.known[chunk] = self.known[chunk[:-1]] + self.known[chunk[-1:]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if not self.by_chunk:
             return [self.encode_all([t])[0] for t in texts]
         split = [t.encode("utf-8").lower().split() for t in texts]
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        new = list({c for chunks in split for c in chunks if c not in self})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            self.update(zip(some, self.encode_all([c.decode("utf-8") for c in some])))
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        new = set().union(*split).difference(self.known)
+        if new:
+            self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 
 def word_ids(file: str) -> WordIds:
