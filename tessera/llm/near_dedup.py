@@ -269,3 +269,15 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_colu
     out = rows.select("doc_id", "n_shingles", "key").join(found, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(df: DataFrame, decisions: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of df that near_duplicates() keeps, with all their columns; repeats of an id and text are one row.
+
+    The join is on ids alone. Rows with a null id are kept.
+    """
+    own_id = F.col(id_column).cast("long")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), own_id.alias("own_id"), F.xxhash64(text_of(text_column)).alias("own_text"))
+    stay = decisions.where("kept").select("doc_id")
+    kept = whole.join(stay, F.col("own_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_text"]).select("whole.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, media, near_dedup, packing, sharding, token_files, warc
+from . import byte_bpe, exact_dedup, media, near_dedup, packing, quality, sharding, token_files, toxicity, warc
 from .common import text_of, work_folder
 
 
@@ -37,6 +37,16 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories for all documents, and the verdict."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of both views and of their combination for all documents, and the verdict."""
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, read back from the packages."""
     return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -105,7 +115,7 @@ def op10_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_token_files, op5_warc_zip, op6_byte_bpe, op7_exact_dedup, op8_sharding, op9_near_dedup, op10_avi_clips)}
+    return {f.__name__: f for f in (op1_packing, op2_token_files, op3_toxicity, op4_quality, op5_warc_zip, op6_byte_bpe, op7_exact_dedup, op8_sharding, op9_near_dedup, op10_avi_clips)}
 
 
 def oracle_sql() -> dict[str, str]:
