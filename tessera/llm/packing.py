@@ -54,15 +54,13 @@ def pack(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_colum
 
         def rows():
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    for doc, own in zip(some.column(0).to_pylist(), ids.encode(some.column(1).to_pylist())):
-                        own += end
-                        n, start = len(own) // 4, 0
-                        for length in piece_lengths(n, longest):
-                            nth = counts[length] = counts.get(length, -1) + 1
-                            yield doc, start, length, n, length.bit_length() - 1, part, nth, own[4 * start : 4 * (start + length)]
-                            start += length
+                for doc, own in zip(batch.column(0).to_pylist(), ids.encode_batch(batch.column(1))):
+                    own += end
+                    n, start = len(own) // 4, 0
+                    for length in piece_lengths(n, longest):
+                        nth = counts[length] = counts.get(length, -1) + 1
+                        yield doc, start, length, n, length.bit_length() - 1, part, nth, own[4 * start : 4 * (start + length)]
+                        start += length
 
         yield from in_batches(rows(), schema, weigh=lambda r: 4 * r[2] + 60)
 

@@ -190,10 +190,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, id_column:
             if batch.num_rows and writer is None:
                 system.create_dir(f"{place}/files", recursive=True)
                 writer = Writer(system.open_output_stream(f"{place}/files/{name}"), percentile)
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, own in zip(some.column(0).to_pylist(), ids.encode(some.column(1).to_pylist())):
-                    writer.add(doc, own + end)
+            for doc, own in zip(batch.column(0).to_pylist(), ids.encode_batch(batch.column(1))):
+                writer.add(doc, own + end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/files/{name}"], "documents": pa.array([len(writer.docs)], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
@@ -229,7 +227,6 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(decode, "doc_id long, file int, start long, ids binary")
 
 
-
 def token_files(df: DataFrame, tokenizer: str, **options) -> DataFrame:
     """write_token_files into a new folder, then read_token_files."""
     return read_token_files(write_token_files(df, tokenizer, work_folder(df.sparkSession, "tokens"), **options))

@@ -13,7 +13,7 @@ import json
 import numpy as np
 
 #: Entries that one worker's cache holds before it starts anew (about 200 bytes each).
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_600_000
 
 _BY_FILE: dict[str, "WordIds"] = {}
 
@@ -31,7 +31,7 @@ def chunks_are_independent(definition: dict) -> bool:
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit integers; `known` maps chunks (UTF-8 bytes) to theirs."""
+    """Ids of texts as little-endian unsigned 32-bit integers; `known` maps lower-cased chunks to theirs."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -41,7 +41,7 @@ class WordIds:
         self.library.no_truncation()
         definition = json.loads(self.library.to_str())
         self.by_chunk = chunks_are_independent(definition)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         mark = definition["model"].get("end_of_word_suffix")
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -52,52 +52,70 @@ class WordIds:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def learn(self, new: list[bytes]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Adds chunks. Words of letters alone go through the library many at a time, told apart by the tokens that end a word."""
-        words, others, joined = [], [], []
-        for chunk in new:
-            text = chunk.decode("utf-8")
-            if text.isalpha():
-                words.append((chunk, text))
-            elif text[:-1].isalpha() and text[-1] in ".,":
-                joined.append(chunk)  # a word and a mark, which the splitter parts
-            else:
-                others.append((chunk, text))
-        extra = {c[:-1] for c in joined}.difference(self.known).difference(c for c, _ in words)
-        words += [(c, c.decode("utf-8")) for c in extra]
-        for at in range(0, len(words), 2048):
-            some = words[at : at + 2048]
-            ids = np.array(self.library.encode_batch_fast([" ".join([w for _, w in some])], add_special_tokens=False)[0].ids, "<u4")
+        known = self.known
+        words = [c for c in new if c.isalpha()]
+        rest = [c for c in new if not c.isalpha()]
+        marked = [c for c in rest if c[-1:] in (".", ",") and c[:-1].isalpha()]  # a word and a mark, which the splitter parts
+        words += list({c[:-1] for c in marked}.difference(known).difference(words))
+        others = list(set(rest).difference(marked)) + [m for m in (".", ",") if m not in known]
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 raw, first = ids.tobytes(), 0
-                for (chunk, _), stop in zip(some, (4 * stops).tolist()):
-                    self.known[chunk] = raw[first:stop]
+                for chunk, stop in zip(some, (4 * stops).tolist()):
+                    known[chunk] = raw[first:stop]
                     first = stop
             else:  # some word isn't one unit to the library
                 others += some
-        others += [(m, m.decode()) for m in (b".", b",") if m not in self.known]
         for at in range(0, len(others), 2048):
             some = others[at : at + 2048]
-            self.known.update(zip([c for c, _ in some], self.encode_all([w for _, w in some])))
-        for chunk in joined:
-            self.known[chunk] = self.known[chunk[:-1]] + self.known[chunk[-1:]]
+            known.update(zip(some, self.encode_all(some)))
+        for chunk in marked:
+            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow array without nulls."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
         if not self.by_chunk:
-            return [self.encode_all([t])[0] for t in texts]
-        split = [t.encode("utf-8").lower().split() for t in texts]
+            return [self.encode_all([t])[0] for t in texts.to_pylist()]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        new = set().union(*split).difference(self.known)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = [c for c in chunks if c not in self.known]
         if new:
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+            self.learn(new)
+        packed = list(map(self.known.__getitem__, chunks))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(packed), "<u4")))
+        raw = memoryview(lists.take(coded.indices).flatten().to_numpy(zero_copy_only=False)).cast("B")
+        ends = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()])])
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        at = (4 * ends[first]).tolist()
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
+
+    def encode_batch(self, texts, most_bytes: int = 8 << 20):
+        """Ids of the texts of an Arrow array, some megabytes of text at a time."""
+        import pyarrow.compute as pc
+
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
+        at = 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield from self.encode(texts.slice(at, to - at))
+            at = to
 
 
 def word_ids(file: str) -> WordIds:
-    """This worker's tokenizer for a file; its cache lasts as long as the worker."""
+    """This worker's tokenizer for a file; what it has learnt lasts as long as the worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
