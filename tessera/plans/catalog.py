@@ -1,11 +1,461 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries over the driver's tables, and their SQL.
+
+Each query applies operators to a whole table. Floating results are rounded, as sums depend on order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import functions as X
+from tessera.kernels import frames
+from tessera.operators import blocks, stats, sweeps, telemetry
+from tessera.operators import frames as files_of
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (table) -> DataFrame under its name, with its SQL where there is one."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__doc__, run.__name__ = f.__doc__, f.__name__
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _bytes(column: str = "text"):
+    return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
+
+
+def _rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), places) for n in names})
+
+
+@query("""
+SELECT lang, count(*) AS docs, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes, true AS ok
+FROM documents GROUP BY lang""")
+def codec_roundtrip_by_lang(table):
+    """64 KB blocks of all documents packed and unpacked, by language."""
+    whole = blocks.decode(blocks.encode(blocks.split(table("documents").select("doc_id", "lang", _bytes().alias("data")), "data", keep=("doc_id", "lang"))))
+    return whole.groupBy("lang").agg(F.count_if(F.col("block_no") == 0).alias("docs"), F.sum(F.octet_length("back")).alias("raw_bytes"), F.bool_and("ok").alias("ok"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS size, unnest(range(0, greatest(1, (octet_length(b) + 999) // 1000))) AS block_no FROM d)
+SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, block_no * 1000 AS block_offset, least(1000, size - block_no * 1000) AS raw_size FROM n""")
+def block_table(table):
+    """Blocks of 1000 bytes with their offsets."""
+    each = blocks.split(table("documents").select("doc_id", _bytes().alias("data")), "data", 1000, ("doc_id",))
+    return each.select("doc_id", "block_no", "block_offset", F.octet_length("raw").cast("long").alias("raw_size"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT doc_id, n AS n_bytes, n + n // 255 + 16 AS block_bound,
+  CASE WHEN n <= 65536 THEN 4 WHEN n <= 262144 THEN 5 WHEN n <= 1048576 THEN 6 ELSE 7 END AS block_id,
+  'B' || CASE WHEN n <= 65536 THEN '4' WHEN n <= 262144 THEN '5' WHEN n <= 1048576 THEN '6' ELSE '7' END || 'I' AS label,
+  65550 + greatest(16, n) AS ring_bytes, (n >> 8) + 32 AS in_place
+FROM d""")
+def codec_bounds(table):
+    """Worst-case sizes, block ids and buffer sizes."""
+    n = F.octet_length(_bytes()).cast("long")
+    return table("documents").select(
+        "doc_id", n.alias("n_bytes"), X.compress_bound(n).alias("block_bound"), X.fitting_block_id(n).alias("block_id"),
+        X.block_label(X.fitting_block_id(n), F.lit(True)).alias("label"), X.ring_buffer_size(n).alias("ring_bytes"), X.in_place_margin(n).alias("in_place"),
+    )
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS back_md5 FROM documents")
+def frame_roundtrip(table):
+    """Every document as a frame with all checksums and sizes, and back."""
+    options = frames.Options(4, True, True, True, True)
+    return table("documents").select("doc_id", F.md5(X.frame_decode(X.frame_encode(_bytes(), options), strict=True)).alias("back_md5"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, 3 AS frames, '-' AS type, '-' AS block, CAST(NULL AS BIGINT) AS uncompressed, CAST(NULL AS VARCHAR) AS error FROM d""")
+def list_mixed_files(table):
+    """Files of a standard, a skippable and a legacy frame, listed from headers."""
+    data = _bytes()
+    content = F.concat(X.frame_encode(data), X.skippable_frame(data, 3), X.legacy_encode(data))
+    listed = files_of.list_frames(table("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+    return files_of.list_files(listed).select("path", "frames", "type", "block", "uncompressed", "error")
+
+
+@query("""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, 2 AS frames, 'StandardFrame' AS type, 'B4I' AS block, 2 * n AS uncompressed FROM d WHERE n <= 65536
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), 2, 'StandardFrame', 'B5I', 2 * n FROM d WHERE n > 65536 AND n <= 262144""")
+def list_concatenated_files(table):
+    """Files of two frames with content sizes: bag union keeps order, sizes add up."""
+    content = X.frame_encode(_bytes(), frames.Options(content_size=True))
+    listed = files_of.list_frames(table("documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(content, content).alias("content")))
+    return files_of.list_files(listed).select("path", "frames", "type", "block", "uncompressed")
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 10 <> 0 AS ok,
+  CASE WHEN doc_id % 10 = 0 THEN 'content_checksum_invalid' END AS error FROM documents""")
+def test_damaged_files(table):
+    """Integrity of files of which every tenth has a wrong content checksum."""
+    whole = X.frame_encode(_bytes())
+    size = F.octet_length("whole")
+    last = F.expr("substring(whole, -1, 1)")
+    other = F.when(last == F.lit(b"\x00"), F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    packed = table("documents").select("doc_id", whole.alias("whole"))
+    damaged = F.concat(F.substring("whole", F.lit(1), size - 1), other)
+    content = F.when(F.col("doc_id") % 10 == 0, damaged).otherwise(F.col("whole"))
+    return files_of.test_files(packed.select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+
+
+@query("""
+SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents""")
+def sequence_lengths(table):
+    """Literals and matches of the sequences of every document add up to its bytes."""
+    df = table("documents").select("doc_id", X.block_encode(_bytes()).alias("packed"))
+    X.register(df.sparkSession)
+    df.createOrReplaceTempView("_packed_documents")
+    each = df.sparkSession.sql("SELECT doc_id, s.* FROM _packed_documents, LATERAL block_sequences(packed) s")
+    return each.groupBy("doc_id").agg((F.sum("lit_len") + F.sum(F.coalesce("match_len", F.lit(0)))).cast("long").alias("n_bytes"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS back_md5, least(100, octet_length(encode(coalesce(text, '')))) AS part_bytes, true AS part_ok FROM documents")
+def levels_and_partial_decoding(table):
+    """Level 9 blocks decoded whole and for their first 100 bytes."""
+    df = table("documents").select("doc_id", _bytes().alias("data"), X.block_encode(_bytes(), level=9).alias("packed"))
+    part = X.block_decode_partial("packed", 100)
+    return df.select("doc_id", F.md5(X.block_decode("packed", strict=True)).alias("back_md5"), F.octet_length(part).cast("long").alias("part_bytes"), (part == F.substring("data", F.lit(1), F.lit(100))).alias("part_ok"))
+
+
+@query("SELECT lang, count(*) AS docs, true AS ok, true AS bounded FROM documents GROUP BY lang")
+def level_roundtrips(table):
+    """Greedy, lazy and optimal parses decode to the same bytes and stay within the bound."""
+    df = table("documents").select("lang", _bytes().alias("data"))
+    for k in (-8, 1, 4, 9):
+        df = df.withColumn(f"l{k}", X.block_encode("data", level=k))
+    names = [f"`l{k}`" for k in (-8, 1, 4, 9)]
+    same = [X.block_decode(F.col(n)) == F.col("data") for n in names]
+    within = [F.octet_length(F.col(n)) <= X.compress_bound(F.octet_length("data")) for n in names]
+    ok, bounded = same[0], within[0]
+    for a, b in zip(same[1:], within[1:]):
+        ok, bounded = ok & a, bounded & b
+    return df.groupBy("lang").agg(F.count("*").alias("docs"), F.bool_and(ok).alias("ok"), F.bool_and(bounded).alias("bounded"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS back_md5, (octet_length(encode(text)) + 4095) // 4096 AS blocks FROM documents WHERE text <> ''")
+def container_roundtrip(table):
+    """The sized container with blocks of 4 KB."""
+    df = table("documents").where("text <> ''").select("doc_id", X.container_encode(_bytes(), 4096).alias("packed"))
+    words = F.concat(*[F.hex(F.substring("packed", F.lit(k), F.lit(1))) for k in (8, 7, 6, 5)])
+    return df.select("doc_id", F.md5(X.container_decode("packed", strict=True)).alias("back_md5"), F.conv(words, 16, 10).cast("long").alias("blocks"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS back_md5 FROM documents")
+def legacy_roundtrip(table):
+    return table("documents").select("doc_id", F.md5(X.frame_decode(X.legacy_encode(_bytes()), strict=True)).alias("back_md5"))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS back FROM documents")
+def passed_through(table):
+    """Files of another format, as they are."""
+    return table("documents").select("doc_id", F.decode(X.frame_decode(_bytes(), pass_through=True), "UTF-8").alias("back"))
+
+
+@query("SELECT item_id, md5(text) AS back_md5, true AS smaller FROM benchmark")
+def dictionary_roundtrip(table):
+    """Items packed with a dictionary that holds their own words are smaller than without."""
+    rows = table("benchmark")
+    words = bytes(rows.agg(F.encode(F.concat_ws("\n", F.sort_array(F.collect_list("text"))), "UTF-8").alias("d")).first()["d"])[:65536]
+    data = F.encode("text", "UTF-8")
+    packed = rows.select("item_id", X.block_encode(data, dictionary=words).alias("with"), X.block_encode(data).alias("without"))
+    return packed.select("item_id", F.md5(X.block_decode("with", dictionary=words, strict=True)).alias("back_md5"), (F.octet_length("with") <= F.octet_length("without")).alias("smaller"))
+
+
+@query("""
+SELECT conv_id, count(*) AS messages, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes, true AS ok FROM conversations GROUP BY conv_id""")
+def linked_conversations(table):
+    """Conversations as linked streams: each message packed with those before as history, and back."""
+    rows = table("conversations").select("conv_id", "turn", "text")
+    back = blocks.unlinked_streams(blocks.linked_streams(rows, "conv_id", "turn", "text"), "conv_id", "turn")
+    told = rows.groupBy("conv_id").agg(F.expr("bit_xor(xxhash64(turn, coalesce(text, '')))").alias("told"))
+    found = back.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.octet_length("message")).alias("raw_bytes"), F.expr("bit_xor(xxhash64(turn, cast(message as string)))").alias("found"))
+    return found.join(told, "conv_id").select("conv_id", "messages", "raw_bytes", (F.col("told") == F.col("found")).alias("ok"))
+
+
+@query("SELECT doc_id, md5(encode(coalesce(text, ''))[1501:1700]) AS slice_md5 FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 1500")
+def random_access(table):
+    """Bytes 1500 to 1700 by decoding only the 1 KB blocks that hold them."""
+    packed = blocks.encode(blocks.split(table("documents").select("doc_id", _bytes().alias("data")), "data", 1024, ("doc_id",)))
+    few = blocks.read_range(packed.select("doc_id", "block_no", "packed"), ["doc_id"], 1500, 200, 1024)
+    return few.where(F.octet_length("slice") > 0).select("doc_id", F.md5("slice").alias("slice_md5"))
+
+
+@query("""
+SELECT doc_id, 1 AS runs, octet_length(encode(coalesce(text, ''))) AS first_start, 100 + doc_id % 7 AS zeros FROM documents""")
+def zero_run_map(table):
+    """Runs of zeros that a sparse file could leave out."""
+    data = F.concat(_bytes(), F.expr("unhex(repeat('00', 100 + cast(doc_id % 7 as int)))"), F.lit(b"x"))
+    df = table("documents").select("doc_id", X.zero_runs(data, 32).alias("found"))
+    return df.select("doc_id", F.size("found").alias("runs"), F.col("found")[0]["start"].alias("first_start"), F.aggregate("found", F.lit(0).cast("long"), lambda a, r: a + r["length"]).alias("zeros"))
+
+
+_XXH32_SQL = """
+WITH b AS (SELECT n_name, encode(n_name) AS d, octet_length(encode(n_name)) AS n FROM nation),
+w AS (SELECT n_name, n, d, (374761393 + n) % 4294967296 AS h FROM b),
+q1 AS (SELECT n_name, n, d, CASE WHEN n >= 4 THEN (h + (ascii(n_name[1]) + ascii(n_name[2]) * 256 + ascii(n_name[3]) * 65536 + ascii(n_name[4]) * 16777216)::HUGEINT * 3266489917) % 4294967296 END AS x, h FROM w),
+r1 AS (SELECT n_name, n, d, CASE WHEN n >= 4 THEN ((x * 131072) % 4294967296 + x // 32768)::HUGEINT * 668265263 % 4294967296 ELSE h END AS h FROM q1),
+q2 AS (SELECT n_name, n, d, h, CASE WHEN n >= 8 THEN (h + (ascii(n_name[5]) + ascii(n_name[6]) * 256 + ascii(n_name[7]) * 65536 + ascii(n_name[8]) * 16777216)::HUGEINT * 3266489917) % 4294967296 END AS x FROM r1),
+r2 AS (SELECT n_name, n, d, CASE WHEN n >= 8 THEN ((x * 131072) % 4294967296 + x // 32768)::HUGEINT * 668265263 % 4294967296 ELSE h END AS h FROM q2),
+q3 AS (SELECT n_name, n, d, h, CASE WHEN n >= 12 THEN (h + (ascii(n_name[9]) + ascii(n_name[10]) * 256 + ascii(n_name[11]) * 65536 + ascii(n_name[12]) * 16777216)::HUGEINT * 3266489917) % 4294967296 END AS x FROM r2),
+r3 AS (SELECT n_name, n, CASE WHEN n >= 12 THEN ((x * 131072) % 4294967296 + x // 32768)::HUGEINT * 668265263 % 4294967296 ELSE h END AS h FROM q3),
+s1 AS (SELECT n_name, n, h, CASE WHEN n % 4 >= 1 THEN (h + ascii(n_name[n - n % 4 + 1])::HUGEINT * 374761393) % 4294967296 END AS x FROM r3),
+t1 AS (SELECT n_name, n, CASE WHEN n % 4 >= 1 THEN ((x * 2048) % 4294967296 + x // 2097152)::HUGEINT * 2654435761 % 4294967296 ELSE h END AS h FROM s1),
+s2 AS (SELECT n_name, n, h, CASE WHEN n % 4 >= 2 THEN (h + ascii(n_name[n - n % 4 + 2])::HUGEINT * 374761393) % 4294967296 END AS x FROM t1),
+t2 AS (SELECT n_name, n, CASE WHEN n % 4 >= 2 THEN ((x * 2048) % 4294967296 + x // 2097152)::HUGEINT * 2654435761 % 4294967296 ELSE h END AS h FROM s2),
+s3 AS (SELECT n_name, n, h, CASE WHEN n % 4 >= 3 THEN (h + ascii(n_name[n - n % 4 + 3])::HUGEINT * 374761393) % 4294967296 END AS x FROM t2),
+t3 AS (SELECT n_name, CASE WHEN n % 4 >= 3 THEN ((x * 2048) % 4294967296 + x // 2097152)::HUGEINT * 2654435761 % 4294967296 ELSE h END AS h FROM s3),
+a1 AS (SELECT n_name, xor(h::BIGINT, (h // 32768)::BIGINT)::HUGEINT * 2246822519 % 4294967296 AS h FROM t3),
+a2 AS (SELECT n_name, xor(h::BIGINT, (h // 8192)::BIGINT)::HUGEINT * 3266489917 % 4294967296 AS h FROM a1)
+SELECT n_name, xor(h::BIGINT, (h // 65536)::BIGINT) AS hash FROM a2"""
+
+
+@query(_XXH32_SQL)
+def hash32_of_names(table):
+    """32-bit hashes of names of fewer than 16 bytes."""
+    return table("nation").select("n_name", X.xxh32("n_name").alias("hash"))
+
+
+@query()
+def hash64_of_documents(table):
+    """64-bit hashes with seeds 0 and 42; the built-in one runs in the JVM."""
+    return table("documents").select("doc_id", X.xxh64(_bytes()).alias("seed_0"), X.xxh64(_bytes(), 42).alias("seed_42"))
+
+
+@query()
+def compressed_sizes(table):
+    """Compressed bytes and ratio by language and source."""
+    df = table("documents").select("lang", "source", _bytes().alias("data"), X.block_encode(_bytes()).alias("packed"))
+    return df.groupBy("lang", "source").agg(F.sum(F.octet_length("data")).alias("raw"), F.sum(F.octet_length("packed")).alias("packed")).withColumn("ratio_pct", X.ratio_pct("packed", "raw"))
+
+
+_MEASURES = ("n", "mean", "median", "stdev", "cv_pct", "ci95_half")
+
+
+def _measures_sql(value: str, prefix: str) -> str:
+    s = f"CASE WHEN count({value}) = 1 THEN 0 ELSE stddev_samp({value}) END"
+    return f"""count({value}) AS {prefix}_n, round(avg({value}), 6) AS {prefix}_mean, round(median({value}), 6) AS {prefix}_median,
+  round({s}, 6) AS {prefix}_stdev, round(CASE WHEN avg({value}) = 0 THEN 0 ELSE 100.0 * ({s}) / avg({value}) END, 6) AS {prefix}_cv_pct,
+  round(1.96 * ({s}) / sqrt(count({value})), 6) AS {prefix}_ci95_half"""
+
+
+@query(f"""SELECT l_returnflag, l_linestatus, {_measures_sql('l_quantity', 'quantity')}, {_measures_sql('l_discount', 'discount')}
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def measures_by_group(table):
+    """n, mean, median, deviation, CV and confidence half-width."""
+    out = table("lineitem").groupBy("l_returnflag", "l_linestatus").agg(*stats.measures(F.col("l_quantity"), "quantity"), *stats.measures(F.col("l_discount"), "discount"))
+    return _rounded(out, 6, *[f"{p}_{m}" for p in ("quantity", "discount") for m in _MEASURES[1:]])
+
+
+@query("""
+WITH f AS (SELECT l_suppkey, l_returnflag, median(l_extendedprice) AS m, count(*) AS rounds, bool_and(l_quantity > 0) AS ok FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, count(*) AS samples, bool_and(ok) AS verify_all, round(median(m), 6) AS price_median_of_files, round(avg(m), 6) AS price_mean_of_files
+FROM f GROUP BY l_returnflag""")
+def medians_of_medians(table):
+    """Two levels: medians by supplier and flag, then their median and mean by flag."""
+    each = table("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.median("l_extendedprice").alias("price_median"), F.bool_and(F.col("l_quantity") > 0).alias("ok"))
+    out = stats.aggregate_summary(each, ("l_returnflag",), ("price",))
+    return _rounded(out, 6, "price_median_of_files", "price_mean_of_files")
+
+
+_RAW_SQL = """
+SELECT 's' || (l_suppkey % 20) AS sample, CASE l_linestatus WHEN 'O' THEN 'gpu' ELSE 'native_cpu' END AS engine, l_linenumber AS accel,
+  CASE WHEN l_returnflag = 'R' THEN 'bench' ELSE 'manual' END AS phase, CASE WHEN l_quantity < 2 THEN 'failed' ELSE 'ok' END AS status,
+  l_extendedprice AS bench_mbs, CASE WHEN l_suppkey % 20 < 5 THEN NULL ELSE l_quantity END AS manual_mbs FROM lineitem"""
+
+
+@query(f"""
+WITH r AS ({_RAW_SQL}),
+v AS (SELECT *, CASE WHEN status = 'ok' AND phase = 'manual' THEN manual_mbs END AS p, CASE WHEN status = 'ok' AND phase = 'bench' THEN bench_mbs END AS f FROM r)
+SELECT sample, engine, accel, CASE WHEN count(p) > 0 THEN count(p) ELSE count(f) END AS mbs_n,
+  round(CASE WHEN count(p) > 0 THEN avg(p) ELSE avg(f) END, 4) AS mbs_mean, round(CASE WHEN count(p) > 0 THEN median(p) ELSE median(f) END, 4) AS mbs_median
+FROM v GROUP BY ALL""")
+def primary_or_fallback(table):
+    """A group's manual values, or its bench values where it has no manual one."""
+    rows = table("lineitem").select(
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("sample"), F.when(F.col("l_linestatus") == "O", "gpu").otherwise("native_cpu").alias("engine"), F.col("l_linenumber").alias("accel"),
+        F.when((F.col("l_quantity") >= 2) & (F.col("l_returnflag") != "R") & (F.col("l_suppkey") % 20 >= 5), F.col("l_quantity")).alias("p"),
+        F.when((F.col("l_quantity") >= 2) & (F.col("l_returnflag") == "R"), F.col("l_extendedprice")).alias("f"),
+    )
+    out = rows.groupBy("sample", "engine", "accel").agg(*stats.chosen(F.col("p"), F.col("f"), "mbs")).select("sample", "engine", "accel", "mbs_n", "mbs_mean", "mbs_median")
+    return _rounded(out, 4, "mbs_mean", "mbs_median")
+
+
+@query("""
+WITH g AS (SELECT l_partkey, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1),
+t AS (SELECT *, 'top' AS side, row_number() OVER (ORDER BY price DESC, l_partkey) AS place FROM g),
+b AS (SELECT *, 'bottom' AS side, row_number() OVER (ORDER BY price, l_partkey) AS place FROM g)
+SELECT l_partkey, price, CAST(place AS INTEGER) AS place, side FROM t WHERE place <= 10 UNION ALL SELECT l_partkey, price, CAST(place AS INTEGER), side FROM b WHERE place <= 10""")
+def top_and_bottom(table):
+    """The ten best and the ten worst, equal ones by key."""
+    each = table("lineitem").groupBy("l_partkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("price"))
+    return stats.top(each, "price", 10, ["l_partkey"]).withColumn("side", F.lit("top")).unionByName(stats.top(each, "price", 10, ["l_partkey"], True).withColumn("side", F.lit("bottom")))
+
+
+@query("""
+WITH m AS (SELECT l_suppkey, count(*) AS configs, max(l_extendedprice) AS best_l_extendedprice FROM lineitem GROUP BY 1)
+SELECT m.l_suppkey, m.configs, m.best_l_extendedprice, min(l.l_orderkey * 100 + l.l_linenumber) // 100 AS best_l_orderkey, CAST(min(l.l_orderkey * 100 + l.l_linenumber) % 100 AS INTEGER) AS best_l_linenumber
+FROM m JOIN lineitem l ON l.l_suppkey = m.l_suppkey AND l.l_extendedprice = m.best_l_extendedprice GROUP BY 1, 2, 3""")
+def best_configuration(table):
+    """Each supplier's largest price and the line that has it."""
+    return stats.best_by(table("lineitem"), ["l_suppkey"], "l_extendedprice", ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+WITH g AS (SELECT l_suppkey, l_linenumber, l_linestatus, avg(l_quantity) AS q, avg(l_extendedprice) AS p FROM lineitem GROUP BY ALL),
+j AS (SELECT a.q / b.q AS q, a.p / b.p AS p FROM g a JOIN g b USING (l_suppkey, l_linenumber) WHERE a.l_linestatus = 'F' AND b.l_linestatus = 'O')
+SELECT count(*) AS matched, round(avg(q), 6) AS q_speedup_mean, round(median(q), 6) AS q_speedup_median, CAST(count_if(q < 1) AS BIGINT) AS q_below_one,
+  round(avg(p), 6) AS p_speedup_mean, round(median(p), 6) AS p_speedup_median, CAST(count_if(p < 1) AS BIGINT) AS p_below_one FROM j""")
+def compare_two_modes(table):
+    """Configurations that both modes have, joined on their keys."""
+    each = table("lineitem").groupBy("l_suppkey", "l_linenumber", "l_linestatus").agg(F.avg("l_quantity").alias("q"), F.avg("l_extendedprice").alias("p"))
+    out = stats.compare_modes(each, ["l_suppkey", "l_linenumber"], "l_linestatus", "F", "O", ["q", "p"])
+    return _rounded(out, 6, "q_speedup_mean", "q_speedup_median", "p_speedup_mean", "p_speedup_median")
+
+
+@query("""
+WITH x AS (SELECT CASE WHEN l_tax >= greatest(l_discount, l_quantity / 500, l_tax) THEN 'd2h' WHEN l_discount >= greatest(l_discount, l_quantity / 500, l_tax) THEN 'h2d' ELSE 'kernel' END AS bottleneck FROM lineitem)
+SELECT bottleneck, count(*) AS configs, round(100.0 * count(*) / (SELECT count(*) FROM x), 6) AS share_pct FROM x GROUP BY 1""")
+def bottleneck_shares(table):
+    """Which of three times dominates, the last named winning ties."""
+    rows = table("lineitem").select((F.col("l_quantity") / 500).alias("kernel_ms"), F.col("l_discount").alias("h2d_ms"), F.col("l_tax").alias("d2h_ms"))
+    return _rounded(stats.bottlenecks(rows, {"kernel": "kernel_ms", "h2d": "h2d_ms", "d2h": "d2h_ms"}), 6, "share_pct")
+
+
+@query("""
+SELECT 'l_linenumber' AS parameter, CAST(l_linenumber AS VARCHAR) AS value, count(*) AS configs, round(avg(l_quantity), 6) AS avg_l_quantity FROM lineitem GROUP BY 2
+UNION ALL SELECT 'l_returnflag', l_returnflag, count(*), round(avg(l_quantity), 6) FROM lineitem GROUP BY 2
+UNION ALL SELECT 'l_linestatus', l_linestatus, count(*), round(avg(l_quantity), 6) FROM lineitem GROUP BY 2""")
+def parameter_impact(table):
+    """Means by each value of each parameter, in one pass."""
+    return _rounded(stats.by_parameter(table("lineitem"), ["l_linenumber", "l_returnflag", "l_linestatus"], ["l_quantity"]), 6, "avg_l_quantity")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value, lag(value) OVER w AS v0, lag(epoch_us(ts) / 1e6) OVER w AS t0, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+d AS (SELECT user_id, greatest(t - t0, 1e-9) AS dt, CASE WHEN v0 IS NULL OR value IS NULL THEN 0.0 WHEN value >= v0 THEN value - v0 ELSE 1000.0 - v0 + value END AS de,
+  CASE WHEN v0 IS NOT NULL AND value IS NOT NULL THEN greatest((v0 + value) * 0.5, 0) * greatest(t - t0, 1e-9) END AS area FROM e WHERE n > 1)
+SELECT user_id, count(*) AS intervals, round(sum(de), 4) AS energy, round(sum(area), 2) AS area FROM d GROUP BY user_id""")
+def counter_intervals(table):
+    """Growth of a counter that wraps at 1000, and the trapezoid integral, between a user's events."""
+    rows = table("events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "value", F.col("value").alias("power"))
+    each = telemetry.intervals(rows, "user_id", "t", ["event_id"], {"value": 1000.0}, ["power"])
+    return each.groupBy("user_id").agg(F.count("*").alias("intervals"), F.round(F.sum("value_delta"), 4).alias("energy"), F.round(F.sum("power_area"), 2).alias("area"))
+
+
+@query("""
+WITH s AS (SELECT user_id, count(*) AS samples, max(epoch_us(ts) / 1e6) - min(epoch_us(ts) / 1e6) AS span, avg(CASE WHEN value > 0 THEN value END) AS level FROM events GROUP BY 1),
+e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, value, lag(value) OVER w AS v0, lag(epoch_us(ts) / 1e6) OVER w AS t0, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+d AS (SELECT user_id, sum(greatest((v0 + value) * 0.5, 0) * greatest(t - t0, 1e-9)) AS area, max(greatest((v0 + value) * 0.5, 0)) AS peak FROM e WHERE n > 1 GROUP BY 1)
+SELECT s.user_id, s.samples, round(CASE WHEN s.samples = 1 THEN 0 ELSE greatest(s.span, 1e-9) END, 3) AS elapsed_s,
+  round(CASE WHEN s.samples = 1 THEN coalesce(level, 0) WHEN peak > 0 THEN peak ELSE 0 END, 4) AS pkg_peak_w,
+  round(CASE WHEN s.samples = 1 THEN coalesce(level, 0) WHEN area > 0 THEN area / greatest(s.span, 1e-9) ELSE coalesce(level, 0) END, 4) AS pkg_avg_w
+FROM s LEFT JOIN d USING (user_id)""")
+def power_summary(table):
+    """Peak and average power of each run of samples."""
+    rows = table("events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), F.lit(None).cast("double").alias("energy"), F.col("value").alias("power"))
+    out = telemetry.summary(rows, "user_id", "t", ["event_id"], {"pkg": ("energy", "power", 0.0)})
+    return _rounded(_rounded(out, 4, "pkg_peak_w", "pkg_avg_w"), 3, "elapsed_s").select("user_id", "samples", "elapsed_s", "pkg_peak_w", "pkg_avg_w")
+
+
+@query("SELECT user_id, coalesce(min(CASE WHEN value > 0 THEN value END), 0.0) AS idle_w FROM events GROUP BY user_id")
+def idle_power(table):
+    return telemetry.idle_power(table("events"), "user_id", "value")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+FROM lineitem""")
+def running_offsets(table):
+    """Offsets of blocks from the sizes before them."""
+    rows = table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("size"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"))
+    return blocks.offsets(rows, ["l_orderkey"], "size", "at").drop("at")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT CAST(p_size * 100 AS VARCHAR) || 'mhz' AS cpu FROM part WHERE p_size <= 5), g AS (SELECT r_name AS gpu FROM region), r AS (SELECT unnest(['0', '0.3', '1', 'adaptive']) AS ratio)
+SELECT 'cpu' AS label, cpu, 'NA' AS gpu FROM c UNION SELECT 'gpu', 'NA', gpu FROM g
+UNION SELECT 'hybrid_ratio_' || ratio, CASE WHEN ratio = '1' THEN 'NA' ELSE cpu END, CASE WHEN ratio = '0' THEN 'NA' ELSE gpu END FROM r, c, g""")
+def sweep_items(table):
+    """Engines by frequency points, without repeats."""
+    cpu = table("part").where("p_size <= 5").select(X.frequency_point(F.concat((F.col("p_size") * 100).cast("string"), F.lit("MHz")))["label"].alias("label")).distinct()
+    gpu = table("region").select(F.col("r_name").alias("label"))
+    ratios = table("region").sparkSession.createDataFrame([("0",), ("0.3",), ("1",), ("adaptive",)], "ratio string")
+    return sweeps.work_items(ratios, cpu, gpu)
+
+
+@query("""
+SELECT p_partkey, CAST(p_size * 1000 AS BIGINT) AS n,
+  CASE WHEN p_size * 1000 < 1024 THEN printf('%.2f', p_size * 1000.0) ELSE printf('%.2fK', p_size * 1000.0 / 1024) END AS human,
+  CAST(p_size * 1024 AS BIGINT) AS parsed, CAST(greatest(1, p_size - 1 - p_size // 8) AS BIGINT) AS workers,
+  CAST(p_size + CASE WHEN p_size >= 15 THEN 1 + (p_size - 15) // 255 ELSE 0 END AS BIGINT) AS literals,
+  CAST(3 + p_size + CASE WHEN p_size >= 15 THEN 1 + (p_size - 15) // 255 ELSE 0 END + CASE WHEN p_size * 10 >= 19 THEN 1 + (p_size * 10 - 19) // 255 ELSE 0 END AS BIGINT) AS sequence,
+  CASE WHEN p_size % 2 = 0 THEN 'decompress' ELSE 'compress' END AS mode
+FROM part""")
+def scalar_arithmetic(table):
+    """Sizes for people, parsed sizes, workers, prices and modes."""
+    n = F.col("p_size").cast("long") * 1000
+    name = F.concat(F.lit("a/b"), F.when(F.col("p_size") % 2 == 0, ".lz").otherwise(""))
+    return table("part").select(
+        "p_partkey", n.alias("n"), X.human_size(n).alias("human"), X.parse_size(F.concat(F.col("p_size").cast("string"), F.lit("KiB"))).alias("parsed"), X.workers_of("p_size").cast("long").alias("workers"),
+        X.literals_price("p_size").alias("literals"), X.sequence_price("p_size", F.col("p_size") * 10).alias("sequence"), X.mode_of_name(name).alias("mode"),
+    )
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, count(*) AS blocks FROM lineitem GROUP BY 1),
+f AS (SELECT l_orderkey, CASE WHEN blocks < 2 THEN blocks - CAST(floor(blocks * 0.7 + 0.5) AS BIGINT) ELSE least(greatest(blocks - CAST(floor(blocks * 0.7 + 0.5) AS BIGINT), 1), blocks - 1) END AS first, blocks FROM n)
+SELECT l_orderkey, first AS gpu_blocks, blocks - first AS cpu_blocks FROM f""")
+def device_split(table):
+    """Blocks between two devices at a ratio of 0.3, each device getting one at least."""
+    lines = table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    numbered = lines.select("l_orderkey", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("block_no"))
+    return sweeps.split_plan(numbered, ["l_orderkey"], 0.3).groupBy("l_orderkey").agg(F.count_if(F.col("device") == "gpu").alias("gpu_blocks"), F.count_if(F.col("device") == "cpu").alias("cpu_blocks"))
+
+
+@query("SELECT event_id, CAST(value AS DOUBLE) AS last_value, greatest(value - least(10, value * 0.95), 0) AS net_w FROM events WHERE value > 0")
+def log_numbers(table):
+    """The last number of a log line, and power net of idle power."""
+    log = F.concat(F.lit("throughput: 1.5 MB/s; throughput: "), F.col("value").cast("decimal(20,6)").cast("string"))
+    value = X.last_number(log, "throughput")
+    return table("events").where("value > 0").select("event_id", value.alias("last_value"), X.net_power("value", F.lit(10.0)).alias("net_w"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, encode(text) AS b FROM documents WHERE octet_length(encode(coalesce(text, ''))) >= 4),
+g AS (SELECT doc_id, b[i:i+3] AS gram FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 2)) AS i FROM d)),
+c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS places, CAST(sum(n - 1) AS BIGINT) AS repeats FROM c GROUP BY doc_id""")
+def repeated_grams(table):
+    """Places whose four bytes occurred before in the document."""
+    return blocks.match_candidates(table("documents").select("doc_id", _bytes().alias("data")), "doc_id", "data")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

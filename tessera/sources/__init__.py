@@ -1 +1,4 @@
-"""Sources of the engine."""
+"""Reading and writing files of frames."""
+
+from .files import read_files, sample_files  # noqa: F401
+from .frame_source import FrameSource, register  # noqa: F401
