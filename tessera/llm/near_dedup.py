@@ -3,9 +3,9 @@
 One pass over the texts makes each document's set of word shingles, minima of many universal hash
 functions over it, and a key for each band of minima. Documents with equal sets form a class, and only
 classes go on. In each bucket (classes with a band key in common) every class is held against a pivot, the
-one that meets most others, on whole sets; what links is joined by large-star and small-star. Buckets whose
-classes still lie in several components are then compared in blocks, so that no link within a bucket is
-lost, while pairs within a component, which can't change it, are never made.
+one that meets most others, on whole sets; what links is joined by large-star and small-star. Where the
+classes that a pivot meets still lie in several components they are then compared in blocks, so that no link
+within a bucket is lost, while pairs within a component, which can't change it, are never made.
 """
 
 from __future__ import annotations
@@ -202,17 +202,20 @@ def links_in_block(vertices: np.ndarray, labels: np.ndarray, sides: np.ndarray,
     return found
 
 
-def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame | None:
-    """Links between components within buckets of three or more classes, None if no bucket holds two components."""
-    tagged = members.join(labels, "vertex", "left").select("bucket", "vertex", F.coalesce("label", "vertex").alias("label"))
-    tagged = written(tagged, f"{folder}/tagged")
-    open_ = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
-    open_ = written(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"{folder}/open")
+def _across(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame | None:
+    """Links between components among the classes that meet a pivot (pivot, vertex), None if there is nothing left to compare.
+
+    Any two classes of a bucket meet its pivot, and each has been held against it. So a pivot is done if the
+    classes that it meets lie in one component; otherwise they are compared, in blocks if they are many.
+    """
+    tagged = written(spokes.join(labels, "vertex", "left").select("pivot", "vertex", F.coalesce("label", "vertex").alias("label")), f"{folder}/tagged")
+    open_ = tagged.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    open_ = written(open_.select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"{folder}/open")
     if open_.isEmpty():
         return None
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
-    each = tagged.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "vertex", "label")
+    each = tagged.join(open_, "pivot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "vertex", "label")
     each = written(each, f"{folder}/blocks")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -222,7 +225,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
             found = links_in_block(group["vertex"].to_numpy(), group["label"].to_numpy(), group["side"].to_numpy(), held, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return each.join(sets, "vertex").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    return each.join(sets, "vertex").groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", folder: str | None = None) -> DataFrame:
@@ -240,7 +243,7 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_colu
     at most 1e-6, more similar ones far less.
 
     Copies are one class, so a hot text costs one row a task. Buckets are never listed pair by pair: a class
-    meets one pivot a bucket, and blocks of at most 1024 classes meet only where a bucket holds two components.
+    meets one pivot a bucket, and blocks of about 1024 classes meet only where a pivot meets two components.
     """
     spark = df.sparkSession
     folder = folder or work_folder(spark, "near")
@@ -253,12 +256,13 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_colu
     meets = members.groupBy("vertex").agg(F.sum("n").alias("meets"))
     scored = members.join(meets, "vertex").select("bucket", "vertex", "meets")
     pivots = written(scored.groupBy("bucket").agg(F.max(F.struct("meets", "vertex")).alias("top")).select("bucket", F.col("top.vertex").alias("pivot")), f"{folder}/pivots")
-    pairs = written(members.join(pivots, "bucket").where("vertex <> pivot").select(F.least("vertex", "pivot").alias("a"), F.greatest("vertex", "pivot").alias("b")).distinct(), f"{folder}/pairs")
+    spokes = written(members.join(pivots, "bucket").where("vertex <> pivot").select("pivot", "vertex").distinct(), f"{folder}/spokes")
+    pairs = written(spokes.select(F.least("vertex", "pivot").alias("a"), F.greatest("vertex", "pivot").alias("b")).distinct(), f"{folder}/pairs")
     sets = rows.where("shingles is not null").select(F.col("row").alias("vertex"), "shingles")
     sets = written(_thinned(sets, members.select("vertex")), f"{folder}/sets", "snappy")
     links = _linked(pairs, sets, percent)
     labels = written(connected_components(links, f"{folder}/stars"), f"{folder}/labels")
-    more = _across(members.select("bucket", "vertex"), labels, sets, percent, f"{folder}/across")
+    more = _across(spokes, labels, sets, percent, f"{folder}/across")
     if more is not None:
         stars = labels.select(F.col("vertex").alias("a"), F.col("label").alias("b"))
         labels = written(connected_components(stars.unionAll(more), f"{folder}/joined"), f"{folder}/joined-labels")
