@@ -6,11 +6,13 @@ from .codec import (  # noqa: F401
     block_encode,
     block_encode_into,
     block_error,
+    canonical,
     container_decode,
     container_encode,
     frame_decode,
     frame_encode,
     frame_error,
+    header_fields,
     legacy_encode,
     register,
     skippable_frame,

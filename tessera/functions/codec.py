@@ -188,3 +188,36 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, each(kind, call))
     for name, (handler, schema) in UDTFS.items():
         spark.udtf.register(name, F.udtf(handler, returnType=schema))
+
+
+def header_fields(c) -> Column:
+    """struct of a standard frame header's fields and `error`, by built-in functions on its first bytes.
+
+    The checks are those that need no hash: magic, version, reserved bits, block size. content_size is a decimal,
+    as Spark has no unsigned 64-bit numbers.
+    """
+    data = F.col(c).cast("binary") if isinstance(c, str) else c.cast("binary")
+
+    def byte(k):
+        return F.conv(F.hex(F.substring(data, F.lit(k + 1), F.lit(1))), 16, 10).cast("int")
+
+    def little(first, n):
+        return F.conv(F.concat(*[F.hex(F.substring(data, F.lit(first + 1) + k if not isinstance(first, Column) else first + 1 + k, F.lit(1))) for k in range(n - 1, -1, -1)]), 16, 10).cast("decimal(20,0)")
+
+    flags, sizes = byte(4), byte(5)
+    has_size, has_dict = flags.bitwiseAND(8) != 0, flags.bitwiseAND(1) != 0
+    block_id = F.shiftright(sizes, 4).bitwiseAND(7)
+    error = (
+        F.when(F.octet_length(data) < 7, "truncated").when(little(0, 4) != frames.MAGIC, "wrong_magic").when(F.shiftright(flags, 6) != 1, "version_wrong")
+        .when((flags.bitwiseAND(2) != 0) | (sizes.bitwiseAND(0x8F) != 0), "reserved_flag_set").when(block_id < 4, "block_size_invalid")
+    )
+    return F.struct(
+        error.alias("error"), block_id.alias("block_id"), (flags.bitwiseAND(32) != 0).alias("independent"), (flags.bitwiseAND(16) != 0).alias("block_checksum"),
+        (flags.bitwiseAND(4) != 0).alias("content_checksum"), F.when(has_size, little(6, 8)).alias("content_size"),
+        F.when(has_dict, little(F.when(has_size, 14).otherwise(6), 4).cast("long")).alias("dict_id"),
+    )
+
+
+def canonical(c, bits: int = 32) -> Column:
+    """A hash as the hexadecimal of its big-endian bytes; longs count as unsigned."""
+    return F.lpad(F.lower(F.hex(F.col(c) if isinstance(c, str) else c)), bits // 4, "0")

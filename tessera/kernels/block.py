@@ -356,3 +356,28 @@ def zero_runs(data: bytes, least: int = 8) -> list[tuple[int, int]]:
     import re
 
     return [(m.start(), m.end() - m.start()) for m in re.finditer(rb"\x00{%d,}" % max(1, least), data)]
+
+
+def pack_messages(messages: list[bytes], width: int = 4, level: int = 0, linked: bool = True) -> bytes:
+    """Messages as blocks behind their little-endian lengths of `width` bytes, each with those before as history if linked."""
+    out, history = bytearray(), b""
+    for m in messages:
+        packed = encode(m, level=level, history=history)
+        out += len(packed).to_bytes(width, "little") + packed
+        if linked:
+            history = (history + m)[-HISTORY:]
+    return bytes(out)
+
+
+def unpack_messages(data: bytes, width: int = 4, linked: bool = True) -> list[bytes]:
+    """The messages of pack_messages."""
+    found, history, at = [], b"", 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + width], "little")
+        if at + width + n > len(data):
+            raise BlockError("a truncated message", at)
+        found.append(decode(data[at + width : at + width + n], history=history))
+        if linked:
+            history = (history + found[-1])[-HISTORY:]
+        at += width + n
+    return found

@@ -113,3 +113,54 @@ def match_candidates(df: DataFrame, key: str, data: str, size: int = 4) -> DataF
     grams = df.where(last >= 0).select(key, F.explode(F.sequence(F.lit(0), last)).alias("at"), raw.alias("whole")).select(key, F.substring("whole", F.col("at") + 1, F.lit(size)).alias("gram"))
     counts = grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
     return counts.groupBy(key).agg(F.sum("n").alias("places"), F.sum(F.col("n") - 1).alias("repeats"))
+
+
+def fold_hash(blocks: DataFrame, keys: list[str], data: str = "raw", order: str = "block_no", bits: int = 32, seed: int = 0) -> DataFrame:
+    """keys and `hash` of each key's blocks one after another: the hash of the whole, which is never joined.
+
+    Sorted batches stream through a task that holds one hash state at a time.
+    """
+    import xxhash
+
+    make = xxhash.xxh32 if bits == 32 else xxhash.xxh64
+    kinds = dict(blocks.dtypes)
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[:-1] != now:
+                    if now is not None:
+                        out.append((*now, state.intdigest()))
+                    now, state = row[:-1], make(seed=seed)
+                state.update(bytes(row[-1]))
+            yield pd.DataFrame(out, columns=[*keys, "hash"])
+        if now is not None:
+            yield pd.DataFrame([(*now, state.intdigest())], columns=[*keys, "hash"])
+
+    rows = blocks.select(*keys, F.col(order).alias("_order"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("_data"))
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_order").select(*keys, "_data")
+    kind = "long" if bits == 32 else "decimal(20,0)"
+    if bits == 64:
+        inner = run
+        def run(batches):  # noqa: E306
+            from decimal import Decimal
+
+            for frame in inner(batches):
+                yield frame.assign(hash=[Decimal(int(h)) for h in frame["hash"]])
+
+    return ordered.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", hash {kind}")
+
+
+def sequence_rows(df: DataFrame, key: str, packed: str) -> DataFrame:
+    """key, seq_no, lit_len, offset, match_len of every sequence of every block, by Arrow batches."""
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            out = [(own, s.seq_no, len(s.literals), s.offset, s.match_len) for own, data in zip(batch["own_key"], batch["data"]) for s in block.sequences(bytes(data))]
+            yield pd.DataFrame(out, columns=["own_key", "seq_no", "lit_len", "offset", "match_len"]).astype({"offset": "Int32", "match_len": "Int32"})
+
+    rows = df.where(F.col(packed).isNotNull()).select(F.col(key).alias("own_key"), F.col(packed).alias("data"))
+    return rows.mapInPandas(run, f"own_key {kinds[key]}, seq_no int, lit_len int, offset int, match_len int").withColumnRenamed("own_key", key)

@@ -126,10 +126,7 @@ SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM document
 def sequence_lengths(table):
     """Literals and matches of the sequences of every document add up to its bytes."""
     df = table("documents").select("doc_id", X.block_encode(_bytes()).alias("packed"))
-    X.register(df.sparkSession)
-    df.createOrReplaceTempView("_packed_documents")
-    each = df.sparkSession.sql("SELECT doc_id, s.* FROM _packed_documents, LATERAL block_sequences(packed) s")
-    return each.groupBy("doc_id").agg((F.sum("lit_len") + F.sum(F.coalesce("match_len", F.lit(0)))).cast("long").alias("n_bytes"))
+    return blocks.sequence_rows(df, "doc_id", "packed").groupBy("doc_id").agg((F.sum("lit_len") + F.sum(F.coalesce("match_len", F.lit(0)))).cast("long").alias("n_bytes"))
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS back_md5, least(100, octet_length(encode(coalesce(text, '')))) AS part_bytes, true AS part_ok FROM documents")
@@ -283,24 +280,23 @@ def medians_of_medians(table):
 _RAW_SQL = """
 SELECT 's' || (l_suppkey % 20) AS sample, CASE l_linestatus WHEN 'O' THEN 'gpu' ELSE 'native_cpu' END AS engine, l_linenumber AS accel,
   CASE WHEN l_returnflag = 'R' THEN 'bench' ELSE 'manual' END AS phase, CASE WHEN l_quantity < 2 THEN 'failed' ELSE 'ok' END AS status,
-  l_extendedprice AS bench_mbs, CASE WHEN l_suppkey % 20 < 5 THEN NULL ELSE l_quantity END AS manual_mbs FROM lineitem"""
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS bench_mbs, CASE WHEN l_suppkey % 20 < 5 THEN NULL ELSE l_quantity END AS manual_mbs FROM lineitem"""
 
 
 @query(f"""
 WITH r AS ({_RAW_SQL}),
 v AS (SELECT *, CASE WHEN status = 'ok' AND phase = 'manual' THEN manual_mbs END AS p, CASE WHEN status = 'ok' AND phase = 'bench' THEN bench_mbs END AS f FROM r)
 SELECT sample, engine, accel, CASE WHEN count(p) > 0 THEN count(p) ELSE count(f) END AS mbs_n,
-  round(CASE WHEN count(p) > 0 THEN avg(p) ELSE avg(f) END, 4) AS mbs_mean, round(CASE WHEN count(p) > 0 THEN median(p) ELSE median(f) END, 4) AS mbs_median
+  CASE WHEN count(p) > 0 THEN avg(p) ELSE avg(f) END AS mbs_mean, CASE WHEN count(p) > 0 THEN median(p) ELSE median(f) END AS mbs_median
 FROM v GROUP BY ALL""")
 def primary_or_fallback(table):
     """A group's manual values, or its bench values where it has no manual one."""
     rows = table("lineitem").select(
         F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("sample"), F.when(F.col("l_linestatus") == "O", "gpu").otherwise("native_cpu").alias("engine"), F.col("l_linenumber").alias("accel"),
         F.when((F.col("l_quantity") >= 2) & (F.col("l_returnflag") != "R") & (F.col("l_suppkey") % 20 >= 5), F.col("l_quantity")).alias("p"),
-        F.when((F.col("l_quantity") >= 2) & (F.col("l_returnflag") == "R"), F.col("l_extendedprice")).alias("f"),
+        F.when((F.col("l_quantity") >= 2) & (F.col("l_returnflag") == "R"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("double")).alias("f"),
     )
-    out = rows.groupBy("sample", "engine", "accel").agg(*stats.chosen(F.col("p"), F.col("f"), "mbs")).select("sample", "engine", "accel", "mbs_n", "mbs_mean", "mbs_median")
-    return _rounded(out, 4, "mbs_mean", "mbs_median")
+    return rows.groupBy("sample", "engine", "accel").agg(*stats.chosen(F.col("p"), F.col("f"), "mbs")).select("sample", "engine", "accel", "mbs_n", "mbs_mean", "mbs_median")
 
 
 @query("""
@@ -453,6 +449,67 @@ def repeated_grams(table):
     return blocks.match_candidates(table("documents").select("doc_id", _bytes().alias("data")), "doc_id", "data")
 
 
+@query("""
+WITH i AS (SELECT item_id, md5(text) AS m, octet_length(encode(text)) AS n FROM benchmark)
+SELECT item_id, n AS n_bytes, 'B4I' AS label, 1 AS blocks FROM i""")
+def frames_in_sql(table):
+    """Frames made and listed by the registered SQL functions."""
+    df = table("benchmark")
+    X.register(df.sparkSession)
+    df.selectExpr("item_id", "frame_encode(encode(text, 'UTF-8')) AS packed").createOrReplaceTempView("_packed_items")
+    return df.sparkSession.sql("SELECT item_id, octet_length(frame_decode(packed)) AS n_bytes, f.label, f.blocks FROM _packed_items, LATERAL frame_list(packed) f")
+
+
+@query("""
+SELECT doc_id, 7 AS block_id, false AS independent, true AS block_checksum, false AS content_checksum, octet_length(encode(coalesce(text, ''))) AS content_size, 77 AS dict_id
+FROM documents""")
+def header_predicates(table):
+    """Header fields by built-in functions."""
+    options = frames.Options(7, False, True, False, True, 77)
+    header = F.lit(frames.header(options, 0)[:6])
+    size = F.lpad(F.hex(F.octet_length(_bytes()).cast("long")), 16, "0")
+    little = F.unhex(F.concat(*[F.substring(size, k, 2) for k in range(15, 0, -2)]))
+    content = F.concat(header, little, F.lit((77).to_bytes(4, "little")), F.lit(b"\0"))
+    fields = table("documents").select("doc_id", X.header_fields(content).alias("h"))
+    return fields.where("h.error IS NULL").select("doc_id", "h.block_id", "h.independent", "h.block_checksum", "h.content_checksum", F.col("h.content_size").cast("long").alias("content_size"), "h.dict_id")
+
+
+@query(_XXH32_SQL)
+def hash32_of_pieces(table):
+    """The same hashes folded over ordered pieces of 5 bytes."""
+    pieces = blocks.split(table("nation").select("n_name", F.encode("n_name", "UTF-8").alias("data")), "data", 5, ("n_name",))
+    return blocks.fold_hash(pieces, ["n_name"])
+
+
+@query("""
+SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes FROM conversations GROUP BY conv_id""")
+def streamed_frames(table):
+    """Conversations as a stream into one frame for each key and micro-batch, read back."""
+    import uuid
+
+    from tessera.streaming import frame_sink
+
+    rows = table("conversations")
+    spark = rows.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/tessera-stream').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows.select("conv_id", "turn", "text").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    frame_sink(stream, "conv_id", "turn", "text", f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
+    back = spark.read.parquet(f"{folder}/out").select("conv_id", "messages", F.octet_length(X.frame_decode("content", strict=True)).alias("n"))
+    return back.groupBy("conv_id").agg(F.sum("messages").alias("messages"), F.sum("n").cast("long").alias("raw_bytes"))
+
+
+@query("SELECT l_orderkey % 100 AS row_id, 3000 AS n_bytes, true AS ok FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 100 GROUP BY ALL")
+def generated_noise(table):
+    """Seeded noise, packed and unpacked."""
+    from tessera.sources import generated
+
+    keys = table("lineitem").where("l_linenumber = 1 AND l_orderkey < 100").select("l_orderkey").distinct()
+    made = generated(keys.sparkSession, 100, 3000, 0.6)
+    ok = X.block_decode(X.block_encode("data")) == F.col("data")
+    return made.join(keys, F.col("row_id") == F.col("l_orderkey"), "left_semi").select("row_id", F.octet_length("data").alias("n_bytes"), ok.alias("ok"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -34,3 +34,15 @@ def read_results(spark: SparkSession, path: str, numeric: list[str]) -> DataFram
         blank = F.col(c).isin("NA", "N/A", "")
         df = df.withColumn(c, F.when(blank, None).otherwise(F.col(c)) if c not in numeric else F.when(~blank, F.col(c)).try_cast("double"))
     return df
+
+
+def generated(spark: SparkSession, rows: int, size: int, matches: float = 0.5, seed: int = 0, kind: str = "noise") -> DataFrame:
+    """row_id and data of seeded compressible noise, or of words; each row's seed is seed + row_id, so any partitioning gives the same rows."""
+    from tessera.kernels import generators
+
+    def run(batches):
+        for batch in batches:
+            make = (lambda s: generators.noise(size, s, matches)) if kind == "noise" else (lambda s: generators.words(size, s).encode())
+            yield batch.assign(data=[make(seed + int(i)) for i in batch["row_id"]])
+
+    return spark.range(rows).withColumnRenamed("id", "row_id").mapInPandas(run, "row_id long, data binary")
