@@ -38,20 +38,24 @@ class Rows:
         return out
 
 
-def fit(dense: np.ndarray, y: np.ndarray, sparse: Rows | None = None, l2: float = 1e-3, rounds: int = 200, step: float = 0.1):
-    """(bias, dense weights, sparse weights) of a logistic regression, by Adam on the whole sample."""
+def fit(dense: np.ndarray, y: np.ndarray, sparse: Rows | None = None, l2: float = 1e-3, rounds: int = 200, step: float = 0.1, start: np.ndarray | None = None):
+    """(bias, dense weights, sparse weights) of a logistic regression, by Adam on the whole sample, from `start` (all of them) if given."""
     n, d = dense.shape
     k = sparse.width if sparse is not None else 0
     prior = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
     w = np.zeros(1 + d + k)
     w[0] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
     if not n or y.min() == y.max():
         return w[0], w[1 : 1 + d], w[1 + d :]
+    if start is not None:
+        w[:] = start
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    kind = dense.dtype  # products stay in the matrix's own type: no copy of it
+    across = np.ascontiguousarray(dense.T)
     for t in range(1, rounds + 1):
-        z = w[0] + dense @ w[1 : 1 + d] + (sparse.times(w[1 + d :]) if k else 0)
+        z = w[0] + dense @ w[1 : 1 + d].astype(kind) + (sparse.times(w[1 + d :]) if k else 0)
         e = (sigmoid(z) - y) / n
-        g = np.concatenate([[e.sum()], dense.T @ e, sparse.back(e) if k else np.zeros(0)])
+        g = np.concatenate([[e.sum()], across @ e.astype(kind), sparse.back(e) if k else np.zeros(0)])
         g[1:] += l2 * w[1:]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -67,15 +71,15 @@ def platt(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(w[0]) / scale), float(b)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which on rows count as positive, with the best F1; in the middle of its gap."""
+def best_threshold(p: np.ndarray, y: np.ndarray, recall: float = 1.0) -> float:
+    """The probability from which on rows count as positive, in the middle of its gap: the best F score, recall counting so many times as much as precision."""
     if not len(y) or y.min() == y.max():
         return 2.0 if not len(y) or not y.max() else 0.0
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    score = (1 + recall**2) * hit / (np.arange(1, len(y) + 1) + recall**2 * y.sum())
     last = np.append(np.diff(p[order]) < 0, True)  # a threshold can't part equal scores
-    at = int(np.argmax(np.where(last, f1, -1)))
+    at = int(np.argmax(np.where(last, score, -1)))
     above = p[order][at]
     below = p[order][at + 1] if at + 1 < len(p) else 0.0
     return float(sigmoid((logit(above) + logit(below)) / 2))

@@ -104,7 +104,8 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = RO
             extra = np.fromiter(given[k], np.int64, len(given[k]))
             rows = np.concatenate([train, extra])
             target = np.concatenate([y[train], np.fromiter(given[k].values(), float, len(given[k]))])
-            b, w, _ = fit(x[rows], target, l2=1e-4)
+            before = np.concatenate([[views[k][0]], views[k][1]]) if views[k] else None
+            b, w, _ = fit(x[rows], target, l2=1e-4, rounds=200 if before is None else 60, start=before)
             views[k] = b, w
         if r == rounds or not len(pool):
             break
