@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+
 # Fixed values of the format.
 LEAST_MATCH = 4
 LAST_LITERALS = 5
@@ -166,38 +168,76 @@ def _emit(out: bytearray, literals: bytes, offset: int = 0, length: int = 0) ->
             out.append((m - 15) % 255)
 
 
-def _write(buf: bytes, base: int, matches: list[tuple[int, int, int]]) -> bytes:
-    """A block from matches (position, offset, length) in ascending order."""
-    out, anchor = bytearray(), base
-    for at, offset, length in matches:
-        _emit(out, buf[anchor:at], offset, length)
-        anchor = at + length
-    _emit(out, buf[anchor:])
-    return bytes(out)
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for lengths[0] numbers, then the same of starts[1], ..."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _write(buf: bytes, base: int, matches) -> bytes:
+    """A block from matches (position, offset, length) in ascending order, laid out as arrays."""
+    if not len(matches):
+        out = bytearray()
+        _emit(out, buf[base:])
+        return bytes(out)
+    at, offset, length = np.array(matches, np.int64).T
+    anchor = np.concatenate([[base], (at + length)[:-1]])
+    n, m = at - anchor, length - LEAST_MATCH
+    n_more, m_more = np.where(n >= 15, (n - 15) // 255 + 1, 0), np.where(m >= 15, (m - 15) // 255 + 1, 0)
+    size = 3 + n + n_more + m_more
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[start] = np.minimum(n, 15) << 4 | np.minimum(m, 15)
+    literal = start + 1 + n_more
+    for value, more, first in ((n, n_more, start + 1), (m, m_more, literal + n + 2)):
+        some = more > 0
+        if some.any():
+            out[_ranges(first[some], more[some])] = 255
+            out[(first + more - 1)[some]] = (value[some] - 15) % 255
+    out[_ranges(literal, n)] = np.frombuffer(buf, np.uint8)[_ranges(anchor, n)]
+    out[literal + n], out[literal + n + 1] = offset & 255, offset >> 8
+    rest = bytearray()
+    _emit(rest, buf[int(at[-1] + length[-1]) :])
+    return out.tobytes() + bytes(rest)
 
 
 def _fast(buf: bytes, base: int, acceleration: int) -> list[tuple[int, int, int]]:
-    """Greedy parse: the last position of each 4 bytes, steps that grow while nothing matches."""
-    last = {buf[i : i + 4]: i for i in range(0, base - 3, 3)}
-    found, anchor, at = [], base, base
+    """Greedy parse over the last place of each position's four bytes, found for all positions by one sort.
+
+    Neighbours with the same distance are one match, so lengths come with the distances; a match is made longer
+    only where the bytes behind it agree too. Acceleration looks at every so manieth position.
+    """
     limit, end = len(buf) - MATCH_LIMIT, len(buf) - LAST_LITERALS
-    misses = acceleration << 6
+    data = np.frombuffer(buf, np.uint8)
+    low = data[:-3].astype(np.uint16) | data[1:-2].astype(np.uint16) << 8
+    high = data[2:-1].astype(np.uint16) | data[3:].astype(np.uint16) << 8
+    first = np.argsort(low, kind="stable")  # 16-bit keys: radix sorts
+    order = first[np.argsort(high[first], kind="stable")]
+    same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
+    places = np.arange(len(low), dtype=np.int32)
+    distance = np.zeros(len(low) + 1, np.int32)
+    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
+    distance[distance > WINDOW] = 0
+    stops = np.where(distance[1:] != distance[:-1], places, len(low))
+    stops = np.minimum.accumulate(stops[::-1])[::-1]
+    length = (stops - places + 4).astype(np.int32)
+    starts = (distance[:-1] > 0) & (places >= base) & (places <= limit)
+    if acceleration > 1:
+        starts &= (places - base) % acceleration == 0
+    following = np.minimum.accumulate(np.where(starts, places, len(buf)).astype(np.int32)[::-1])[::-1]
+    following, distance, length = memoryview(following), memoryview(distance), memoryview(length)
+    found, at = [], base
     while at <= limit:
-        key = buf[at : at + 4]
-        seen = last.get(key)
-        last[key] = at
-        if seen is None or at - seen > WINDOW:
-            at += misses >> 6
-            misses += 1
-            continue
-        misses = acceleration << 6
-        length = 4 + _extend(buf, seen + 4, at + 4, end)
-        while at > anchor and seen > 0 and buf[at - 1] == buf[seen - 1]:
-            at, seen, length = at - 1, seen - 1, length + 1
-        found.append((at, at - seen, length))
-        anchor = at = at + length
-        if at - 2 <= limit:
-            last[buf[at - 2 : at + 2]] = at - 2
+        at = following[at]
+        if at > limit:
+            break
+        by, n = distance[at], length[at]
+        if at + n >= end:
+            n = end - at
+        elif buf[at + n] == buf[at + n - by]:
+            n += _extend(buf, at + n - by, at + n, end)
+        found.append((at, by, n))
+        at += n
     return found
 
 
