@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, text_of
+from .common import claim, in_batches, text_of
 
 #: Pre-tokens that one worker's cache holds before it starts anew, and the longest that it takes.
 CACHE_ENTRIES = 400_000
@@ -153,6 +153,7 @@ def byte_bpe(file: str, pattern: str) -> ByteBpe:
     """This worker's encoder for a file."""
     if (file, pattern) not in _BY_FILE:
         _BY_FILE[file, pattern] = ByteBpe(load_ranks(file), pattern)
+    claim(_BY_FILE[file, pattern].cache)
     return _BY_FILE[file, pattern]
 
 

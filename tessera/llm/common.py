@@ -60,6 +60,19 @@ def files_at(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_CACHES: list[dict] = []
+
+
+def claim(cache: dict) -> dict:
+    """The cache, now this worker's only one: Spark reuses workers, so what earlier operators cached would stay beside it."""
+    if not any(c is cache for c in _CACHES):
+        _CACHES.append(cache)
+    for other in _CACHES:
+        if other is not cache:
+            other.clear()
+    return cache
+
+
 def text_of(column: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -13,11 +13,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, text_of, work_folder, written
+from .common import claim, in_batches, text_of, work_folder, written
 from .components import connected_components
 
 #: Minima in a band, and the most that a link at the threshold may be missed with.
@@ -27,7 +26,7 @@ MISS = 1e-6
 MAP_BITS = 1 << 26
 BLOCK = 1024
 #: Words that a worker's cache holds before it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 
 ROWS = "doc_id long, row long, n_shingles long, key binary, bands array<long>, shingles array<long>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +47,9 @@ class Words(dict):
         return found
 
 
+_WORDS = Words()
+
+
 def shingle_set(text: str, size: int, words: Words) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of `size` words; all words as one if there are fewer."""
     found = text.encode("utf-8").lower().split()  # of bytes: A-Z, and the six ASCII white-space characters
@@ -100,7 +102,7 @@ def sketch(df: DataFrame, words: int, bands: int, *, id_column: str = "doc_id",
         import xxhash
         from pyspark import TaskContext
 
-        hashing, cache, seen = MinHash(bands), Words(), set()
+        hashing, cache, seen = MinHash(bands), claim(_WORDS), set()
         row = TaskContext.get().partitionId() << 40
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
@@ -181,10 +183,7 @@ def links_in_block(vertices: np.ndarray, labels: np.ndarray, sides: np.ndarray,
         block[owner[a:b], where[a:b] - lo] = 1
         shared += block @ block.T
     sizes = np.array([len(s) for s in sets], np.int64)
-    inter = shared.astype(np.int64)
-    linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
     two = sides.min() != sides.max()
-    linked &= (labels[:, None] != labels[None, :]) & ((sides[:, None] < sides[None, :]) if two else np.triu(np.ones_like(linked), 1))
     parent = {int(x): int(x) for x in labels}
 
     def root(x):
@@ -194,11 +193,17 @@ def links_in_block(vertices: np.ndarray, labels: np.ndarray, sides: np.ndarray,
         return x
 
     found = []
-    for i, j in zip(*np.nonzero(linked)):
-        a, b = root(int(labels[i])), root(int(labels[j]))
-        if a != b:
-            parent[a] = b
-            found.append((int(vertices[i]), int(vertices[j])))
+    for first in range(0, len(sets), 128):  # a few rows at a time, to hold no further matrix of this size
+        some = np.arange(first, min(first + 128, len(sets)))
+        inter = shared[some].astype(np.int64)
+        linked = 100 * inter >= percent * (sizes[some, None] + sizes[None, :] - inter)
+        linked &= labels[some, None] != labels[None, :]
+        linked &= sides[some, None] < sides[None, :] if two else some[:, None] < np.arange(len(sets))[None, :]
+        for i, j in zip(*np.nonzero(linked)):
+            a, b = root(int(labels[some[i]])), root(int(labels[j]))
+            if a != b:
+                parent[a] = b
+                found.append((int(vertices[some[i]]), int(vertices[j])))
     return found
 
 
@@ -218,14 +223,17 @@ def _across(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     each = each.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "vertex", "label")
     each = written(each, f"{folder}/blocks")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if group["label"].nunique() > 1:
-            held = [np.asarray(s) for s in group["shingles"]]
-            found = links_in_block(group["vertex"].to_numpy(), group["label"].to_numpy(), group["side"].to_numpy(), held, percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def compare(group):
+        import pyarrow as pa
+
+        found, labels = [], group["label"].to_numpy()
+        if len(np.unique(labels)) > 1:
+            held = group["shingles"].combine_chunks()
+            ends, values = held.offsets.to_numpy(), held.values.to_numpy()
+            found = links_in_block(group["vertex"].to_numpy(), labels, group["side"].to_numpy(), [values[x:y] for x, y in zip(ends, ends[1:])], percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return each.join(sets, "vertex").groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long")
+    return each.join(sets, "vertex").groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", folder: str | None = None) -> DataFrame:

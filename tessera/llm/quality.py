@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import claim, text_of
 from .linear import best_threshold, fit, platt, sigmoid
 
 #: Hash spaces of the views, labelled and unlabelled rows to fit on at most, rounds, share of the pool that a view labels a round, its least confidence.
 SHAPES, SOURCES, LANGS = 512, 256, 64
 LABELLED, POOL = 6000, 4000
 ROUNDS, SHARE, SURE = 4, 0.05, 0.95
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 
@@ -133,7 +133,7 @@ def _inputs(columns: list[str], text_column: str) -> list:
 
 
 def _views(cache: Shapes, texts, sources, langs, n_chars) -> tuple[np.ndarray, np.ndarray]:
-    if len(cache) > CACHE_ENTRIES:
+    if len(claim(cache)) > CACHE_ENTRIES:
         cache.clear()
     text = np.stack([text_view(t, cache) for t in texts]) if len(texts) else np.zeros((0, SHAPES + 4), np.float32)
     meta = np.stack([metadata_view(*x) for x in zip(texts, sources, langs, n_chars)]) if len(texts) else np.zeros((0, SOURCES + LANGS + 4), np.float32)

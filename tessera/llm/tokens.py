@@ -12,8 +12,10 @@ import json
 
 import numpy as np
 
+from .common import claim
+
 #: Entries that one worker's cache holds before it starts anew (about 200 bytes each).
-CACHE_ENTRIES = 1_600_000
+CACHE_ENTRIES = 1_200_000
 
 _BY_FILE: dict[str, "WordIds"] = {}
 
@@ -121,4 +123,5 @@ def word_ids(file: str) -> WordIds:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if file not in _BY_FILE:
         _BY_FILE[file] = WordIds(file)
+    claim(_BY_FILE[file].known)
     return _BY_FILE[file]

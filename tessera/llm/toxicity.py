@@ -15,15 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import claim, text_of
 from .linear import Rows, best_threshold, fit, logit, sigmoid
 
 #: Hash space of features, labelled rows that a chain is fitted on at most, features that it keeps, folds.
 SPACE = 1 << 18
-SAMPLE = 8000
-SELECTED = 2048
+SAMPLE = 6000
+SELECTED = 768
 FOLDS = 4
-CACHE_ENTRIES = 400_000
+#: How many times as much recall counts as precision where thresholds are chosen.
+RECALL = 1.0
+CACHE_ENTRIES = 300_000
 
 CATEGORIES = ("explicit", "severe", "toxic")
 
@@ -71,13 +73,12 @@ class Chain:
         return z
 
 
-def select(sets: list[np.ndarray], y: np.ndarray, most: int = SELECTED) -> tuple[np.ndarray, np.ndarray]:
-    """The features that tell the classes apart best, strongest first, by chi-squared with Yates' correction; and their log-odds."""
-    column = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-    label = np.repeat(y, [len(s) for s in sets])
-    a = np.bincount(column, label, SPACE)
-    b = np.bincount(column, 1 - label, SPACE)
-    p, n = max(1.0, y.sum()), max(1.0, (1 - y).sum())
+def select(column: np.ndarray, row: np.ndarray, y: np.ndarray, used: np.ndarray, most: int = SELECTED) -> tuple[np.ndarray, np.ndarray]:
+    """Of a 0/1 matrix (column, row of each 1), the features that tell the classes apart best over the used rows, strongest
+    first, by chi-squared with Yates' correction; and their log-odds."""
+    a = np.bincount(column, (y * used)[row], SPACE)
+    b = np.bincount(column, ((1 - y) * used)[row], SPACE)
+    p, n = max(1.0, (y * used).sum()), max(1.0, ((1 - y) * used).sum())
     both = (a + b) * (p + n - a - b)
     chi = np.where(both > 0, (p + n) * np.maximum(0, np.abs(a * (n - b) - b * (p - a)) - (p + n) / 2) ** 2 / np.maximum(1, both * p * n), 0)
     odds = np.log((a + 0.5) / (p + 1)) - np.log((b + 0.5) / (n + 1))
@@ -89,7 +90,8 @@ def select(sets: list[np.ndarray], y: np.ndarray, most: int = SELECTED) -> tuple
 def derive_categories(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """(rows, 3) labels of CATEGORIES from one label: of the toxic rows, those with a leading marker are explicit,
     and those with at least the median number of markers severe. Markers are features far commoner in toxic rows."""
-    order, odds = select(sets, toxic)
+    rows = Rows(sets, SPACE)
+    order, odds = select(rows.column, rows.row, toxic, np.ones(len(sets)))
     markers = order[odds > 3]
     mark, lead = np.zeros(SPACE, bool), np.zeros(SPACE, bool)
     mark[markers], lead[markers[:32]] = True, True
@@ -105,7 +107,10 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
     n, width = len(sets), labels.shape[1]
     fold = np.random.default_rng(seed).permutation(n) % folds
     chain = Chain(categories, np.zeros(width), np.zeros((width, SPACE), np.float32), np.zeros((width, width)), np.full(width, 2.0))
-    seen = np.zeros((n, width))
+    seen, held = np.zeros((n, width)), np.bincount(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), minlength=SPACE)
+    few = [s[held[s] > 2] for s in sets]  # a feature of two rows can't tell classes apart
+    whole = Rows(few, SPACE)
+    column, row = whole.column, whole.row
     for j in range(width):
         y = labels[:, j]
         if not n:
@@ -113,20 +118,22 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
             continue
         oof = np.zeros(n)
         for f in [*range(folds), None]:
-            train = np.flatnonzero(fold != f) if f is not None else np.arange(n)
-            chosen, _ = select([sets[k] for k in train], y[train])
+            used = fold != f if f is not None else np.ones(n, bool)
+            train = np.flatnonzero(used)
+            chosen, _ = select(column, row, y, used.astype(float))
             place = np.full(SPACE, -1)
             place[chosen] = np.arange(len(chosen))
-            rows = Rows([own[own >= 0] for own in (place[s] for s in sets)], len(chosen))
-            b, links, w = fit(seen[train, :j], y[train], rows.only(train) if len(chosen) else None, l2=1e-4)
+            rows = Rows([], len(chosen))
+            keep = place[column] >= 0
+            rows.n, rows.column, rows.row = n, place[column[keep]], row[keep]
+            b, links, w = fit(seen[train, :j], y[train], rows.only(train) if len(chosen) else None, l2=1e-4, rounds=120)
             if f is not None:
-                test = np.flatnonzero(fold == f)
-                z = b + seen[test, :j] @ links + (rows.only(test).times(w) if len(chosen) else 0)
-                oof[test] = sigmoid(z)
+                z = b + seen[:, :j] @ links + (rows.times(w) if len(chosen) else 0)
+                oof[~used] = sigmoid(z[~used])
             else:
                 chain.biases[j], chain.links[j, :j] = b, links
                 chain.weights[j, chosen] = w
-        chain.thresholds[j] = best_threshold(oof, y)
+        chain.thresholds[j] = best_threshold(oof, y, RECALL)
         seen[:, j] = logit(oof) / 4
     return chain
 
@@ -168,7 +175,7 @@ def scorer(chain: Chain):
 
     @F.pandas_udf(kinds)
     def score(texts: pd.Series) -> pd.DataFrame:
-        if len(_CACHE) > CACHE_ENTRIES:
+        if len(claim(_CACHE)) > CACHE_ENTRIES:
             _CACHE.clear()
         p = chain.probabilities([feature_set(t, _CACHE) for t in texts])
         out = pd.DataFrame(p, columns=[f"p_{c}" for c in chain.categories])
