@@ -244,8 +244,8 @@ def _fast(buf: bytes, base: int, acceleration: int) -> list[tuple[int, int, int]
 class _Chains:
     """Positions of each 4 bytes, newest last, for the searching parsers."""
 
-    def __init__(self, buf: bytes, base: int):
-        self.buf, self.at, self.places = buf, 0, {}
+    def __init__(self, buf: bytes, base: int, favor_decode: bool = False):
+        self.buf, self.at, self.places, self.favor_decode = buf, 0, {}, favor_decode
         self.fill(base)
 
     def fill(self, to: int) -> None:
@@ -255,7 +255,17 @@ class _Chains:
         self.at = max(self.at, to)
 
     def longest(self, at: int, end: int, tries: int, longer_than: int = 3) -> tuple[int, int]:
-        """(length, offset) of the longest match among the newest `tries` places, (0, 0) if none is long enough."""
+        """(length, offset) of the longest match among the newest `tries` places, (0, 0) if none is long enough.
+
+        Where decoding speed is favoured, offsets below 8 don't count and lengths of 19 to 36 are cut to 18, which
+        decoders copy in one step.
+        """
+        n, offset = self._longest(at, end, tries, longer_than)
+        if self.favor_decode and 19 <= n <= 36:
+            return (18, offset) if longer_than < 18 else (0, 0)
+        return n, offset
+
+    def _longest(self, at: int, end: int, tries: int, longer_than: int) -> tuple[int, int]:
         self.fill(at)
         best, offset = longer_than, 0
         buf = self.buf
@@ -263,6 +273,8 @@ class _Chains:
         for seen in reversed(places[-tries:]):
             if at - seen > WINDOW:
                 break
+            if self.favor_decode and at - seen < 8:
+                continue
             if best >= 4 and buf[seen + best : seen + best + 1] != buf[at + best : at + best + 1]:
                 continue
             n = 4 + _extend(buf, seen + 4, at + 4, end)
@@ -271,9 +283,9 @@ class _Chains:
         return (best, offset) if offset else (0, 0)
 
 
-def _lazy(buf: bytes, base: int, tries: int) -> list[tuple[int, int, int]]:
+def _lazy(buf: bytes, base: int, tries: int, favor_decode: bool = False) -> list[tuple[int, int, int]]:
     """Takes a match unless one that starts at the next byte is longer by more than it costs."""
-    chains, found, at = _Chains(buf, base), [], base
+    chains, found, at = _Chains(buf, base, favor_decode), [], base
     limit, end = len(buf) - MATCH_LIMIT, len(buf) - LAST_LITERALS
     while at <= limit:
         n, offset = chains.longest(at, end, tries)
@@ -300,11 +312,11 @@ def sequence_price(n: int, length: int) -> int:
     return 3 + literals_price(n) + (1 + (length - 19) // 255 if length >= 19 else 0)
 
 
-def _optimal(buf: bytes, base: int, tries: int) -> list[tuple[int, int, int]]:
+def _optimal(buf: bytes, base: int, tries: int, favor_decode: bool = False) -> list[tuple[int, int, int]]:
     """Cheapest parse by forward dynamic programming over one match a position and its shorter forms."""
     size = len(buf) - base
     limit, end = len(buf) - MATCH_LIMIT, len(buf) - LAST_LITERALS
-    chains = _Chains(buf, base)
+    chains = _Chains(buf, base, favor_decode)
     far = 1 << 60
     cost, run, came = [far] * (size + 1), [0] * (size + 1), [(0, 0)] * (size + 1)
     cost[0] = 0
@@ -349,11 +361,12 @@ def tries_of(level: int) -> tuple[str, int]:
     return "optimal", {10: 96, 11: 512, 12: 16384}[level]
 
 
-def encode(data: bytes, acceleration: int = 1, level: int = 0, history: bytes = b"") -> bytes:
+def encode(data: bytes, acceleration: int = 1, level: int = 0, history: bytes = b"", favor_decode: bool = False) -> bytes:
     """A compressed block of data, whose matches may reach into the last 64 KB of history.
 
     level 0 is greedy, with `acceleration` (1 to 65537) trading size for speed; level -n is greedy with
-    acceleration n + 1. An empty input makes the one-byte block.
+    acceleration n + 1. An empty input makes the one-byte block. favor_decode, from level 1 on, avoids matches that
+    are slow to decode.
     """
     if len(data) > MOST_INPUT:
         raise ValueError("too much input for a block")
@@ -367,9 +380,9 @@ def encode(data: bytes, acceleration: int = 1, level: int = 0, history: bytes =
     if kind == "fast":
         found = _fast(buf, base, min(max(1, acceleration), MOST_ACCELERATION))
     elif kind == "lazy":
-        found = _lazy(buf, base, tries)
+        found = _lazy(buf, base, tries, favor_decode)
     else:
-        found = _optimal(buf, base, tries)
+        found = _optimal(buf, base, tries, favor_decode)
     return _write(buf, base, found)
 
 

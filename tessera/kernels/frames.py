@@ -34,7 +34,10 @@ class FrameError(ValueError):
 
 @dataclass(frozen=True)
 class Options:
-    """How frames are written. The defaults are those of the command line: 4 MB independent blocks, a content checksum."""
+    """How frames are written. The defaults are those of the command line: 4 MB independent blocks, a content checksum.
+
+    store keeps every block as it is.
+    """
 
     block_id: int = 7
     independent: bool = True
@@ -44,6 +47,8 @@ class Options:
     dict_id: int | None = None
     level: int = 0
     acceleration: int = 1
+    favor_decode: bool = False
+    store: bool = False
 
 
 @dataclass
@@ -96,7 +101,7 @@ def encode_blocks(data: bytes, options: Options, history: bytes = b"") -> bytes:
     for at in range(0, len(data), size):
         raw = data[at : at + size]
         before = history if options.independent else (history + data[:at])[-codec.HISTORY :]
-        packed = codec.encode(raw, options.acceleration, options.level, before)
+        packed = raw if options.store else codec.encode(raw, options.acceleration, options.level, before, options.favor_decode)
         stored = len(packed) >= len(raw)
         packed = raw if stored else packed
         out += (len(packed) | stored << 31).to_bytes(4, "little") + packed

@@ -218,3 +218,19 @@ def test_generators_are_seeded():
     assert len(block.encode(generators.noise(50_000, 1, 0.9))) < len(block.encode(generators.noise(50_000, 1, 0.1)))
     assert len(block.encode(generators.noise(200_000, 1, 1.0))) < 2000
     assert generators.words(1000, 1) == generators.words(1000, 1) and len(generators.words(1000, 1)) == 1000
+
+
+@pytest.mark.parametrize("level", [1, 9, 12])
+def test_favouring_decoding_speed(level):
+    raw = generators.words(20_000, 5).encode() + b"ab" * 500
+    packed = block.encode(raw, level=level, favor_decode=True)
+    assert block.decode(packed) == raw
+    found = block.sequences(packed)[:-1]
+    assert all(s.offset >= 8 and not 19 <= s.match_len <= 36 for s in found)
+
+
+def test_stored_frames():
+    raw = b"zero " * 1000
+    data = frames.encode(raw, frames.Options(4, store=True, content_checksum=False))
+    assert len(data) == 7 + 4 + len(raw) + 4 and frames.decode(data) == raw
+    assert [b[2] for b in next(frames.frames(data)).blocks] == [True]
