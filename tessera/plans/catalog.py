@@ -85,7 +85,7 @@ def frame_roundtrip(table):
 
 @query("""
 WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS path, 3 AS frames, '-' AS type, '-' AS block, CAST(NULL AS BIGINT) AS uncompressed, CAST(NULL AS VARCHAR) AS error FROM d""")
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(3 AS BIGINT) AS frames, '-' AS type, '-' AS block, CAST(NULL AS BIGINT) AS uncompressed, CAST(NULL AS VARCHAR) AS error FROM d""")
 def list_mixed_files(table):
     """Files of a standard, a skippable and a legacy frame, listed from headers."""
     data = _bytes()
@@ -96,9 +96,9 @@ def list_mixed_files(table):
 
 @query("""
 WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS path, 2 AS frames, 'StandardFrame' AS type, 'B4I' AS block, 2 * n AS uncompressed FROM d WHERE n <= 65536
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(2 AS BIGINT) AS frames, 'StandardFrame' AS type, 'B4I' AS block, 2 * n AS uncompressed FROM d WHERE n <= 65536
 UNION ALL
-SELECT CAST(doc_id AS VARCHAR), 2, 'StandardFrame', 'B5I', 2 * n FROM d WHERE n > 65536 AND n <= 262144""")
+SELECT CAST(doc_id AS VARCHAR), CAST(2 AS BIGINT), 'StandardFrame', 'B5I', 2 * n FROM d WHERE n > 65536 AND n <= 262144""")
 def list_concatenated_files(table):
     """Files of two frames with content sizes: bag union keeps order, sizes add up."""
     content = X.frame_encode(_bytes(), frames.Options(content_size=True))
@@ -457,11 +457,11 @@ def frames_in_sql(table):
     df = table("benchmark")
     X.register(df.sparkSession)
     df.selectExpr("item_id", "frame_encode(encode(text, 'UTF-8')) AS packed").createOrReplaceTempView("_packed_items")
-    return df.sparkSession.sql("SELECT item_id, octet_length(frame_decode(packed)) AS n_bytes, f.label, f.blocks FROM _packed_items, LATERAL frame_list(packed) f")
+    return df.sparkSession.sql("SELECT item_id, cast(octet_length(frame_decode(packed)) AS bigint) AS n_bytes, f.label, f.blocks FROM _packed_items, LATERAL frame_list(packed) f")
 
 
 @query("""
-SELECT doc_id, 7 AS block_id, false AS independent, true AS block_checksum, false AS content_checksum, octet_length(encode(coalesce(text, ''))) AS content_size, 77 AS dict_id
+SELECT doc_id, 7 AS block_id, false AS independent, true AS block_checksum, false AS content_checksum, octet_length(encode(coalesce(text, ''))) AS content_size, CAST(77 AS BIGINT) AS dict_id
 FROM documents""")
 def header_predicates(table):
     """Header fields by built-in functions."""
