@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, in_batches, text_of
+from .common import claim, in_batches, small_batches, text_of
 
 #: Pre-tokens that one worker's cache holds before it starts anew, and the longest that it takes.
 CACHE_ENTRIES = 400_000
@@ -178,6 +178,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, *, id_column: str = "doc_id"
 
         yield from in_batches(rows(), schema, weigh=lambda r: len(r[1]) + 16)
 
+    small_batches(df.sparkSession)
     return df.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 

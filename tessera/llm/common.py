@@ -32,9 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+_MADE: list[tuple] = []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new, unused folder for one run of an operator; its name is unique, so that reruns never meet."""
-    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A new, unused folder for one run of an operator; its name is unique, so that reruns never meet.
+
+    Results read from it, so it stays until release(), or the end of the driver's process.
+    """
+    folder = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(release)
+    _MADE.append(hadoop(spark, folder))
+    return folder
+
+
+def release() -> None:
+    """Deletes the work folders of this process; results that weren't stored elsewhere go with them."""
+    while _MADE:
+        fs, path = _MADE.pop()
+        try:
+            fs.delete(path, True)
+        except Exception:  # the JVM has ended, or the store can't be reached: what is left is the folder's owner's
+            return
 
 
 def written(df: DataFrame, folder: str, codec: str = "zstd") -> DataFrame:
@@ -60,6 +80,17 @@ def files_at(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Rows that go to a Python worker at once: some megabytes of texts of common length.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows per Arrow batch where it has none of its own; Spark's default sends 10,000 texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "0") == "0":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _CACHES: list[dict] = []
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, text_of
+from .common import in_batches, small_batches, text_of
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -192,6 +192,7 @@ def to_media(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "te
 
         yield from in_batches(rows(), schema, weigh=lambda r: len(r[1]))
 
+    small_batches(df.sparkSession)
     return df.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import in_batches, text_of, work_folder, written
+from .common import in_batches, small_batches, text_of, work_folder, written
 from .tokens import word_ids
 
 LONGEST = 4096
@@ -42,6 +42,7 @@ def pack(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_colum
     if longest & (longest - 1) or longest < 1:
         raise ValueError("the longest piece must be a power of two")
     spark = df.sparkSession
+    small_batches(spark)
     folder = folder or work_folder(spark, "packing")
 
     def cut(batches):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, text_of
+from .common import claim, small_batches, text_of
 from .linear import best_threshold, fit, platt, sigmoid
 
 #: Hash spaces of the views, labelled and unlabelled rows to fit on at most, rounds, share of the pool that a view labels a round, its least confidence.
@@ -149,6 +149,7 @@ def train(df: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: i
     The chosen ids, a bounded number, are broadcast; documents are read once for their ids and once for the
     chosen rows, whose two views come to the driver (about 4 KB a row).
     """
+    small_batches(df.sparkSession)
     order = [F.xxhash64("own_id", F.lit(seed)), F.col("own_id")]
     known = labels.where(f"quality is not null and {id_column} is not null").groupBy(F.col(id_column).cast("long").alias("own_id")).agg(F.min("quality").cast("double").alias("quality"))
     known = known.orderBy(*order).limit(labelled)

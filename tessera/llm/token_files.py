@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import files_at, in_batches, partitions, text_of, work_folder, written
+from .common import files_at, in_batches, partitions, small_batches, text_of, work_folder, written
 from .tokens import word_ids
 
 MAGIC = b"PFORTOK1"
@@ -175,6 +175,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, id_column:
     manifest. Texts are shuffled once, by ranges of the id; a task holds one block of ids.
     """
     spark = df.sparkSession
+    small_batches(spark)
     n = files or partitions(spark)
 
     def encode(batches):

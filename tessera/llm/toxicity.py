@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, text_of
+from .common import claim, small_batches, text_of
 from .linear import Rows, best_threshold, fit, logit, sigmoid
 
 #: Hash space of features, labelled rows that a chain is fitted on at most, features that it keeps, folds.
@@ -144,6 +144,7 @@ def sample(df: DataFrame, labels: DataFrame, *, most: int = SAMPLE, label_column
     The chosen labels, at most `most` rows, are broadcast; the documents are read once, and only chosen ones
     reach Python.
     """
+    small_batches(df.sparkSession)
     known = labels.where(" and ".join(f"{c} is not null" for c in label_columns) + f" and {id_column} is not null")
     known = known.groupBy(F.col(id_column).cast("long").alias("own_id")).agg(*[F.max(c).cast("double").alias(f"label_{c}") for c in label_columns])
     chosen = known.orderBy(F.xxhash64("own_id", F.lit(seed)), "own_id").limit(most)
