@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, in_batches, text_of, work_folder, written
+from .common import claim, in_batches, small_batches, text_of, work_folder, written
 from .components import connected_components
 
 #: Minima in a band, and the most that a link at the threshold may be missed with.
@@ -28,7 +28,7 @@ BLOCK = 1024
 #: Words that a worker's cache holds before it starts anew.
 CACHE_ENTRIES = 250_000
 
-ROWS = "doc_id long, row long, n_shingles long, key binary, bands array<long>, shingles array<long>"
+ROWS = "doc_id long, row long, n_shingles long, key binary, bands array<long>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,24 +94,35 @@ class MinHash:
         return h.view(np.int64)
 
 
-def sketch(df: DataFrame, words: int, bands: int, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each document: doc_id, row (unique), n_shingles, key of its set, and band keys and shingles of sets new to the task."""
+def _key(own: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set; the empty set has none."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+
+
+def _texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+
+
+def sketch(texts: DataFrame, words: int, bands: int) -> DataFrame:
+    """A row for each document (doc_id, text): doc_id, row (unique), n_shingles, key of its set, and band keys of sets new to the task."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
         from pyspark import TaskContext
 
         hashing, cache, seen = MinHash(bands), claim(_WORDS), set()
         row = TaskContext.get().partitionId() << 40
-        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
         def some(held):
+            nonlocal row
             fresh = [k for k, (_, _, own) in enumerate(held) if own is not None]
             keys = dict(zip(fresh, hashing.keys(hashing.signatures([held[k][2] for k in fresh])))) if fresh else {}
-            nonlocal row
-            for k, (doc, (n, key), own) in enumerate(held):
-                yield doc, row, n, key, keys.get(k), None if own is None else own.view(np.int64)
+            for k, (doc, (n, key), _) in enumerate(held):
+                yield doc, row, n, key, keys.get(k)
                 row += 1
 
         def rows():
@@ -121,7 +132,7 @@ def sketch(df: DataFrame, words: int, bands: int, *, id_column: str = "doc_id",
                     cache.clear()
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     own = shingle_set(text.as_py(), words, cache)
-                    key = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+                    key = _key(own)
                     known = key is None or key in seen
                     if not known:
                         seen.add(key)
@@ -134,24 +145,47 @@ def sketch(df: DataFrame, words: int, bands: int, *, id_column: str = "doc_id",
                         held, size = [], 0
             yield from some(held)
 
-        yield from in_batches(rows(), schema, weigh=lambda r: 8 * r[2] + 8 * bands + 60)
+        yield from in_batches(rows(), schema)
 
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, ROWS)
+    return texts.mapInArrow(run, ROWS)
 
 
 def _bit(column):
     return F.pmod(F.xxhash64(column), F.lit(MAP_BITS)) + 1
 
 
-def _thinned(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of sets whose vertex is wanted, and a few more: by a map of MAP_BITS bits, whatever the number of rows."""
-    bits = wanted.select(_bit("vertex").alias("bit"))
+def whole_sets(texts: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """vertex and shingles of the classes in wanted (vertex, key, doc_id), made anew from the texts of those documents alone.
+
+    Sets are as large as the texts, and few documents meet any other; so they aren't kept by sketch(). Which
+    documents to read is told by a map of MAP_BITS bits, whatever their number; the few that it lets through by
+    chance have keys that aren't wanted.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        cache = claim(_WORDS)
+        schema = pa.schema([("key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
+        def rows():
+            for batch in batches:
+                if len(cache) > CACHE_ENTRIES:
+                    cache.clear()
+                for text in batch.column(0):
+                    own = shingle_set(text.as_py(), words, cache)
+                    if len(own):
+                        yield _key(own), own.view(np.int64)
+
+        yield from in_batches(rows(), schema, weigh=lambda r: 8 * len(r[1]) + 60)
+
+    bits = wanted.select(_bit("doc_id").alias("bit"))
     parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    tagged = sets.withColumn("bit", _bit("vertex"))
-    held = tagged.join(F.broadcast(parts), F.bitmap_bucket_number("bit") == F.col("part"))
-    at = F.bitmap_bit_position("bit")
+    tagged = texts.withColumn("bit", _bit("doc_id")).join(F.broadcast(parts), F.bitmap_bucket_number("bit") == F.col("part"))
     byte = F.conv(F.hex(F.expr("substring(map, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("vertex", "shingles")
+    few = tagged.where(F.getbit(byte, (F.bitmap_bit_position("bit") % 8).cast("int")) == 1).select("text")
+    made = few.mapInArrow(run, "key binary, shingles array<long>")
+    return made.join(wanted.select("vertex", "key"), "key").dropDuplicates(["key"]).select("vertex", "shingles")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,9 +289,11 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_colu
     """
     spark = df.sparkSession
     folder = folder or work_folder(spark, "near")
-    rows = written(sketch(df, words, band_count(percent), id_column=id_column, text_column=text_column), f"{folder}/rows", "snappy")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min(F.when(F.col("bands").isNotNull(), F.struct("row", "bands"))).alias("first"))
-    classes = written(classes.select("key", "least_id", F.col("first.row").alias("vertex"), F.col("first.bands").alias("bands")), f"{folder}/classes")
+    texts = _texts(df, id_column, text_column)
+    rows = written(sketch(texts, words, band_count(percent)), f"{folder}/rows")
+    first = F.min(F.when(F.col("bands").isNotNull(), F.struct("row", "doc_id", "bands")))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), first.alias("first"))
+    classes = written(classes.select("key", "least_id", F.col("first.row").alias("vertex"), F.col("first.doc_id").alias("doc_id"), F.col("first.bands").alias("bands")), f"{folder}/classes")
     each = classes.select("vertex", F.explode("bands").alias("bucket"))
     shared = written(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/buckets")
     members = written(each.join(shared, "bucket"), f"{folder}/members")
@@ -266,8 +302,8 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_colu
     pivots = written(scored.groupBy("bucket").agg(F.max(F.struct("meets", "vertex")).alias("top")).select("bucket", F.col("top.vertex").alias("pivot")), f"{folder}/pivots")
     spokes = written(members.join(pivots, "bucket").where("vertex <> pivot").select("pivot", "vertex").distinct(), f"{folder}/spokes")
     pairs = written(spokes.select(F.least("vertex", "pivot").alias("a"), F.greatest("vertex", "pivot").alias("b")).distinct(), f"{folder}/pairs")
-    sets = rows.where("shingles is not null").select(F.col("row").alias("vertex"), "shingles")
-    sets = written(_thinned(sets, members.select("vertex")), f"{folder}/sets", "snappy")
+    wanted = written(classes.select("vertex", "key", "doc_id").join(members.select("vertex").distinct(), "vertex"), f"{folder}/wanted")
+    sets = written(whole_sets(texts, words, wanted), f"{folder}/sets", "snappy")
     links = _linked(pairs, sets, percent)
     labels = written(connected_components(links, f"{folder}/stars"), f"{folder}/labels")
     more = _across(spokes, labels, sets, percent, f"{folder}/across")
