@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import files_at, in_batches, partitions, text_of, work_folder, written
+from .common import files_at, in_batches, partitions, small_batches, text_of, work_folder, written
 
 MEMBER_BYTES = 16 << 20
 RUN_BYTES = 4 << 20
@@ -161,6 +161,7 @@ def write_archives(df: DataFrame, folder: str, *, id_column: str = "page_id", ur
     Spark splits where a digest is hot. A task holds one member.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.encode(text_of(payload_column), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("sha1", "response")
@@ -268,7 +269,8 @@ def read_archives(packages: DataFrame) -> DataFrame:
 
         yield from in_batches(rows(), schema, weigh=lambda r: len(r[6] or b"") + 200)
 
-    return pairs.select("path", "data", "index", "index_size").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    spread = pairs.select("path", "data", "index", "index_size").repartition(partitions(packages.sparkSession))  # a few small rows, each of which is a member to read
+    return spread.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def archive(df: DataFrame, **options) -> DataFrame:
