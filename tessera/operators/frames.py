@@ -17,8 +17,8 @@ ROWS = "path string, file_size long, frame_no int, kind string, block string, ch
 def list_frames(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """A row for each frame of each file, from headers and block words only.
 
-    frame_size counts a frame's bytes without checksums and end mark, as listings do: header and blocks. content_size
-    is null where the header has none. A damaged file's last row has its error and no kind.
+    frame_size counts all of a frame's bytes, its header and checksums among them. content_size is null where the header
+    has none, or 0. A damaged file's last row has its error and no kind.
     """
 
     def run(batches):
@@ -28,8 +28,7 @@ def list_frames(files: DataFrame, path: str = "path", content: str = "content")
                 data, n = bytes(data), 0
                 try:
                     for f in frames.frames(data, decode=False):
-                        size = f.end - f.start if f.kind == "skippable" else f.header_size + sum(b[1] for b in f.blocks) + (4 + 4 * f.block_checksum) * len(f.blocks)
-                        out.append((name, len(data), n, f.kind, f.label, f.checksum, size, f.content_size, len(f.blocks), None))
+                        out.append((name, len(data), n, f.kind, f.label, f.checksum, f.end - f.start, f.content_size or None, len(f.blocks), None))
                         n += 1
                 except frames.FrameError as e:
                     out.append((name, len(data), n, None, None, None, None, None, None, e.code))

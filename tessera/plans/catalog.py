@@ -101,7 +101,7 @@ def list_mixed_files(table):
 
 @query("""
 WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS path, CAST(2 AS BIGINT) AS frames, 'StandardFrame' AS type, 'B4I' AS block, 2 * n AS uncompressed FROM d WHERE n <= 65536
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(2 AS BIGINT) AS frames, 'StandardFrame' AS type, 'B4I' AS block, nullif(2 * n, 0) AS uncompressed FROM d WHERE n <= 65536
 UNION ALL
 SELECT CAST(doc_id AS VARCHAR), CAST(2 AS BIGINT), 'StandardFrame', 'B5I', 2 * n FROM d WHERE n > 65536 AND n <= 262144""")
 def list_concatenated_files(table):

@@ -72,6 +72,8 @@ def test_listing_and_testing_files(spark):
     assert rows["no_size"]["ratio_pct"] is None and rows["skip"]["type"] == "SkippableFrame" and rows["linked"]["block"] == "B4D"
     assert rows["bad"]["error"] == "truncated" and rows["text"]["error"] == "unknown_format"
     assert {r["path"]: r["size"] for r in files_of.list_frames(df).where("path = 'skip'").select("path", F.col("frame_size").alias("size")).collect()} == {"skip": 11}
+    sizes = files_of.list_frames(df).where("error is null").groupBy("path").agg(F.sum("frame_size").alias("n"), F.max("file_size").alias("size")).collect()
+    assert all(r["n"] == r["size"] for r in sizes)
     tested = {r["path"]: r["error"] for r in files_of.test_files(df).collect()}
     assert {k for k, v in tested.items() if v is None} == {"plain", "two", "mixed", "no_size", "skip", "linked"}
 
