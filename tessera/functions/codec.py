@@ -78,9 +78,9 @@ def frame_encode(c, options: frames.Options = frames.Options(), dictionary: byte
     return _each("binary", lambda d: frames.encode(d, options, dictionary))(c)
 
 
-def frame_decode(c, dictionary: bytes = b"", skip_checksums: bool = False, pass_through: bool = False, strict: bool = False) -> Column:
+def frame_decode(c, dictionary: bytes = b"", skip_checksums: bool = False, pass_through: bool = False, ignore_garbage: bool = False, strict: bool = False) -> Column:
     """The bytes of all frames in the cell, one after another."""
-    return _each("binary", _lenient(lambda d: frames.decode(d, dictionary, not skip_checksums, pass_through), strict))(c)
+    return _each("binary", _lenient(lambda d: frames.decode(d, dictionary, not skip_checksums, pass_through, ignore_garbage), strict))(c)
 
 
 def frame_error(c, dictionary: bytes = b"") -> Column:

@@ -278,14 +278,18 @@ def frames(data: bytes, decode: bool = True, verify: bool = True, dictionary: by
         at = frame.end
 
 
-def decode(data: bytes, dictionary: bytes = b"", verify: bool = True, pass_through: bool = False) -> bytes:
-    """The bytes of all frames; with pass_through a file of another format as it is."""
+def decode(data: bytes, dictionary: bytes = b"", verify: bool = True, pass_through: bool = False, ignore_garbage: bool = False) -> bytes:
+    """The bytes of all frames; with pass_through a file of another format as it is, with ignore_garbage the frames before what is no frame."""
+    out = []
     try:
-        return b"".join(f.payload for f in frames(data, True, verify, dictionary))
+        for f in frames(data, True, verify, dictionary):
+            out.append(f.payload)
     except FrameError as e:
         if pass_through and e.code == "unknown_format":
             return data
-        raise
+        if not (ignore_garbage and e.code == "trailing_garbage"):
+            raise
+    return b"".join(out)
 
 
 def test(data: bytes, dictionary: bytes = b"") -> str | None:

@@ -184,6 +184,7 @@ def test_errors_have_codes():
         assert frames.test(bad) == code
     assert frames.test(data) is None
     assert frames.decode(b"plain", pass_through=True) == b"plain"
+    assert frames.decode(data + b"garbage", ignore_garbage=True) == b"some text " * 20
     assert frames.decode(_with(data, len(data) - 1, data[-1] ^ 1), verify=False) == b"some text " * 20
     wrong = bytearray(frames.encode(b"abc", frames.Options(4, True, False, False, True)))
     wrong[6] = 9
