@@ -15,7 +15,7 @@ import numpy as np
 from .common import claim
 
 #: Entries that one worker's cache holds before it starts anew (about 200 bytes each).
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 1_000_000
 
 _BY_FILE: dict[str, "WordIds"] = {}
 
@@ -103,7 +103,7 @@ class WordIds:
         at = (4 * ends[first]).tolist()
         return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
 
-    def encode_batch(self, texts, most_bytes: int = 8 << 20):
+    def encode_batch(self, texts, most_bytes: int = 4 << 20):
         """Ids of the texts of an Arrow array, some megabytes of text at a time."""
         import pyarrow.compute as pc
 
