@@ -67,6 +67,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def planned_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of what a table is made from, by the planner's sizes of its sources; where one is unknown, those of the column, counted."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if total < 1 << 60:
+        return total
+    return df.agg(F.sum(F.octet_length(text_of(column)).cast("long"))).first()[0] or 0
+
+
 def hadoop(spark: SparkSession, uri: str):
     """(file system, path) by Hadoop's own API, for the driver's few manifest files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)

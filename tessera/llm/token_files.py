@@ -11,19 +11,23 @@ rest. Block starts and document counts let a reader fetch any document by one ra
 
 from __future__ import annotations
 
+import math
 import struct
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import files_at, in_batches, partitions, small_batches, text_of, work_folder, written
+from .common import files_at, in_batches, partitions, planned_bytes, small_batches, text_of, work_folder, written
 from .tokens import word_ids
 
 MAGIC = b"PFORTOK1"
 BLOCK = 4096
 PERCENTILE = 95.0
+#: Bytes of input, by the planner's estimate, that one file is for; files are no fewer than shuffle partitions.
+FILE_BYTES = 128 << 20
 #: Bytes before a block's packed words: count u32, minimum u32, width u8, 3 unused, exceptions u32.
 HEAD = struct.Struct("<IIBxxxI")
 FOOT = struct.Struct("<QQQQ8s")
@@ -85,16 +89,17 @@ def decode_block(data, at: int = 0) -> tuple[np.ndarray, int]:
 
 
 class Writer:
-    """Appends documents to one token file; holds at most one block of ids, and 20 bytes a document."""
+    """Appends documents to one token file; holds at most one block of ids, and 13 bytes a document."""
 
     def __init__(self, out, percentile: float = PERCENTILE):
         self.out, self.percentile, self.at = out, percentile, len(MAGIC)
         self.held, self.size, self.tokens = [], 0, 0
-        self.starts, self.docs, self.counts = [], [], []
+        self.starts, self.docs, self.known, self.counts = array("Q"), array("q"), array("B"), array("I")
         out.write(MAGIC)
 
     def add(self, doc: int | None, ids: bytes) -> None:
-        self.docs.append(doc)
+        self.docs.append(doc or 0)
+        self.known.append(doc is not None)
         self.counts.append(len(ids) // 4)
         self.tokens += len(ids) // 4
         self.held.append(ids)
@@ -115,8 +120,7 @@ class Writer:
 
     def close(self) -> None:
         self._blocks(b"".join(self.held))
-        known = np.array([d is not None for d in self.docs], np.uint8)
-        table = np.array([d or 0 for d in self.docs], "<i8").tobytes() + known.tobytes() + np.array(self.counts, "<u4").tobytes()
+        table = np.asarray(self.docs).astype("<i8").tobytes() + self.known.tobytes() + np.asarray(self.counts).astype("<u4").tobytes()
         self.out.write(table + np.array(self.starts, "<u8").tobytes())
         self.out.write(FOOT.pack(self.at, len(self.docs), len(self.starts), self.tokens, MAGIC))
         self.out.close()
@@ -172,11 +176,12 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, id_column:
 
     Null text counts as empty: its document is the end id alone. Null ids come first. Repeated ids are
     neighbours, their texts in ascending order. Other columns are ignored. An empty table gives an empty
-    manifest. Texts are shuffled once, by ranges of the id; a task holds one block of ids.
+    manifest. Texts are shuffled once, by ranges of the id; a task holds one block of ids. Without `files` their
+    number follows the size of the input, a file for FILE_BYTES, so that a task's share doesn't grow with it.
     """
     spark = df.sparkSession
     small_batches(spark)
-    n = files or partitions(spark)
+    n = files or max(partitions(spark), math.ceil(planned_bytes(df, text_column) / FILE_BYTES))
 
     def encode(batches):
         import uuid
@@ -206,7 +211,9 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, id_column:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Every document of a manifest's files: doc_id, file, start (tokens of all documents before it), ids.
 
-    ids are little-endian unsigned 32-bit integers, the end id among them.
+    ids are little-endian unsigned 32-bit integers, the end id among them. Null ids, repeated ids and empty texts come
+    back as rows of their own, as they were written; a manifest without rows gives no rows. Columns of the manifest
+    other than file, path and base don't matter. A task reads about a million ids at a time.
     """
 
     def decode(batches):

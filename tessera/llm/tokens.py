@@ -3,7 +3,8 @@
 A tokenizer whose rules drop white space and join nothing across it gives a text the ids of its chunks
 between ASCII white space, one chunk after the other. So each distinct chunk goes through the library
 once, and a text is a join over a bounded cache. `chunks_are_independent` proves the precondition from
-the tokenizer's own definition; any other tokenizer encodes whole texts.
+the tokenizer's own definition; any other tokenizer encodes whole texts. Special strings count as the library's
+plain call counts them: one id each, in the case that they are written in.
 """
 
 from __future__ import annotations
@@ -20,29 +21,36 @@ CACHE_ENTRIES = 1_000_000
 _BY_FILE: dict[str, "WordIds"] = {}
 
 
+def _steps(definition: dict) -> list[dict]:
+    own = definition.get("normalizer") or {}
+    return own.get("normalizers", [own] if own else [])
+
+
 def chunks_are_independent(definition: dict) -> bool:
-    """True if normaliser and splitter act on each chunk between white space by itself and drop the space."""
-    steps = (definition.get("normalizer") or {}).get("normalizers", [definition.get("normalizer") or {}])
-    if not all(s.get("type") in ("NFC", "Lowercase") or s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps):
+    """True if normaliser, splitter and special strings act on each chunk between white space by itself and drop the space."""
+    if not all(s.get("type") in ("NFC", "Lowercase") or s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in _steps(definition)):
         return False
     splits = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [])
     first = splits[0] if splits else {}
     drops = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first.get("pattern", {}).get("Regex", "").endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
     rest = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in splits[1:])
-    return bool(drops and rest and definition.get("post_processor") is None)
+    plain = not any(t[k] for t in definition.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    unbroken = not any(t["content"].split() != [t["content"]] for t in definition.get("added_tokens", []))
+    return bool(drops and rest and plain and unbroken and definition.get("post_processor") is None)
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit integers; `known` maps lower-cased chunks to theirs."""
+    """Ids of texts as little-endian unsigned 32-bit integers; `known` maps chunks, lower-cased if the tokenizer does so, to theirs."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
         definition = json.loads(self.library.to_str())
         self.by_chunk = chunks_are_independent(definition)
+        self.lowers = any(s.get("type") == "Lowercase" for s in _steps(definition))
+        self.special = [t["content"] for t in definition.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
         mark = definition["model"].get("end_of_word_suffix")
         vocabulary = self.library.get_vocab(with_added_tokens=False)
@@ -79,6 +87,22 @@ class WordIds:
         for chunk in marked:
             known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
 
+    def _with_special(self, text: str, folded: list[str]) -> bytes:
+        """The ids of a text that may hold special strings: chunks that do are looked up as they are written, the others as in encode()."""
+        own = []
+        for raw in text.encode("utf-8").split():
+            low = (raw.lower() if self.lowers else raw).decode("utf-8")
+            if any(f in low for f in folded):
+                chunk = raw.decode("utf-8")
+                if chunk not in self.known:
+                    self.known[chunk] = self.encode_all([chunk])[0]
+                own.append(self.known[chunk])
+            else:
+                if low not in self.known:
+                    self.learn([low])
+                own.append(self.known[low])
+        return b"".join(own)
+
     def encode(self, texts) -> list[bytes]:
         """The ids of each text of an Arrow array without nulls."""
         import pyarrow as pa
@@ -88,7 +112,24 @@ class WordIds:
             return [self.encode_all([t])[0] for t in texts.to_pylist()]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lower = pc.ascii_lower(texts) if self.lowers else texts
+        folded = [bytes(s, "utf-8").lower().decode("utf-8") if self.lowers else s for s in self.special]
+        odd = [k for k, hit in enumerate(_any_of(lower, folded)) if hit]
+        if odd:
+            found = [b""] * len(texts)
+            for k in odd:
+                found[k] = self._with_special(texts[k].as_py(), folded)
+            others = sorted(set(range(len(texts))).difference(odd))
+            for k, own in zip(others, self._encode_plain(lower.take(pa.array(others, pa.int64())))):
+                found[k] = own
+            return found
+        return self._encode_plain(lower)
+
+    def _encode_plain(self, lower) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(lower)
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         new = [c for c in chunks if c not in self.known]
@@ -116,6 +157,16 @@ class WordIds:
             at = to
 
 
+def _any_of(texts, strings: list[str]) -> list[bool]:
+    import pyarrow.compute as pc
+
+    found = None
+    for s in strings:
+        hit = pc.match_substring(texts, s)
+        found = hit if found is None else pc.or_(found, hit)
+    return found.to_pylist() if found is not None else [False] * len(texts)
+
+
 def word_ids(file: str) -> WordIds:
     """This worker's tokenizer for a file; what it has learnt lasts as long as the worker."""
     import os

@@ -21,6 +21,7 @@ def odd_docs(spark):
         (10, "a", "en"),
         (10, "a", "en"),
         (11, "don't can't we'll x'", "en"),
+        (12, "a <|endoftext|>b <|startoftext|><|endoftext|> B<|EndOfText|> it's<|endoftext|>", "en"),
         (None, "no id here", None),
     ]
     rows = [(i, t, g, None if i == 3 else f"src{(i or 0) % 3}", None if i == 4 else len(t or ""), "r", "k", "w", "d", "b", "c") for i, t, g in rows]
@@ -43,6 +44,4 @@ def tokenizer():
 def library(tokenizer):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer)

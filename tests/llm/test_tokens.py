@@ -27,7 +27,6 @@ def test_chunks_give_the_ids_of_whole_texts(texts):
 
     file = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(file)
-    whole.encode_special_tokens = True
     got = list(tokens.word_ids(file).encode_batch(pa.array(texts)))
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -42,6 +41,38 @@ def test_other_tokenizers_encode_whole_texts():
     assert np.frombuffer(own.encode(pa.array(["a  b c"]))[0], "<u4").tolist() == Tokenizer.from_file(file).encode("a  b c", add_special_tokens=False).ids
 
 
+def test_special_strings_get_the_ids_of_the_plain_call(library, tokenizer):
+    texts = ["<|endoftext|>", "a<|endoftext|>b c", "x <|startoftext|> <|EndOfText|> y", "plain"]
+    got = [np.frombuffer(g, "<u4").tolist() for g in tokens.word_ids(tokenizer).encode_batch(pa.array(texts))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [49407]
+
+
+def test_the_precondition_is_read_from_the_definition(library):
+    import json
+
+    own = json.loads(library.to_str())
+    assert tokens.chunks_are_independent(own)
+    spaced = json.loads(library.to_str())
+    spaced["added_tokens"][0]["content"] = "two words"
+    assert not tokens.chunks_are_independent(spaced)
+    spaced["added_tokens"][0] |= {"content": "one", "lstrip": True}
+    assert not tokens.chunks_are_independent(spaced)
+
+
+def test_a_tokenizer_that_keeps_case(library, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    own = json.loads(library.to_str())
+    own["normalizer"]["normalizers"] = [s for s in own["normalizer"]["normalizers"] if s["type"] != "Lowercase"]
+    (tmp_path / "t.json").write_text(json.dumps(own))
+    whole = Tokenizer.from_file(str(tmp_path / "t.json"))
+    texts = ["Hello WORLD <|endoftext|> <|ENDOFTEXT|>", "hello world"]
+    got = [np.frombuffer(g, "<u4").tolist() for g in tokens.word_ids(str(tmp_path / "t.json")).encode_batch(pa.array(texts))]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts] and got[0] != got[1]
+
+
 def test_packing_covers_every_id_once(odd_docs, tokenizer, library):
     rows = packing.pack(odd_docs, tokenizer).collect()
     assert sorted(r["sequence_id"] for r in rows) == list(range(len(rows)))
@@ -77,6 +108,15 @@ def test_token_files_keep_order_and_ids(odd_docs, tokenizer, library):
     assert sorted(zlib.crc32(r["ids"]) for r in rows) == sorted(zlib.crc32(np.array(i, "<u4").tobytes()) for _, i in expected)
 
 
+def test_files_follow_the_size_of_the_input(spark, odd_docs, tokenizer, monkeypatch):
+    from tessera.llm import common
+
+    assert 100_000 < common.planned_bytes(odd_docs, "text") < 10 << 20
+    monkeypatch.setattr(token_files, "FILE_BYTES", common.planned_bytes(odd_docs, "text") // 6)
+    manifest = token_files.write_token_files(odd_docs, tokenizer, common.work_folder(spark, "sized"))
+    assert 4 < manifest.count() <= 7
+
+
 def test_no_token_files(no_docs, tokenizer):
     assert token_files.token_files(no_docs, tokenizer).count() == 0
 
