@@ -14,13 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import claim, small_batches, text_of
+from .common import claim, small_batches, text_of, work_folder, written
 from .linear import Rows, best_threshold, fit, logit, sigmoid
 
-#: Hash space of features, labelled rows that a chain is fitted on at most, features that it keeps, folds.
+#: Hash space of features; labelled rows that a chain is fitted on at most, and features of all these rows together; features that it keeps, folds.
 SPACE = 1 << 18
 SAMPLE = 6000
+SAMPLE_FEATURES = 16_000_000
 SELECTED = 768
 FOLDS = 4
 #: How many times as much recall counts as precision where thresholds are chosen.
@@ -87,39 +89,50 @@ def select(column: np.ndarray, row: np.ndarray, y: np.ndarray, used: np.ndarray,
     return order, odds[order]
 
 
-def derive_categories(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """(rows, 3) labels of CATEGORIES from one label: of the toxic rows, those with a leading marker are explicit,
-    and those with at least the median number of markers severe. Markers are features far commoner in toxic rows."""
-    rows = Rows(sets, SPACE)
-    order, odds = select(rows.column, rows.row, toxic, np.ones(len(sets)))
-    markers = order[odds > 3]
-    mark, lead = np.zeros(SPACE, bool), np.zeros(SPACE, bool)
-    mark[markers], lead[markers[:32]] = True, True
-    counts = np.array([mark[s].sum() for s in sets])
-    leads = np.array([lead[s].any() for s in sets], bool)
-    is_toxic = toxic > 0
-    median = np.median(counts[is_toxic]) if is_toxic.any() else 0
-    return np.stack([is_toxic & leads, is_toxic & (counts >= max(1, median)), is_toxic], axis=1).astype(float)
-
-
-def fit_chain(sets: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], folds: int = FOLDS, seed: int = 1) -> Chain:
-    """Fits the models in order; a category without both classes gets its prior, and a threshold that agrees."""
-    n, width = len(sets), labels.shape[1]
+def derive_categories(sets: list[np.ndarray], toxic: np.ndarray):
+    """A function of used rows (a mask): (rows, 3) labels of CATEGORIES from one label.
+
+    Of the toxic rows, those with a leading marker are explicit, and those with at least the median number of
+    markers severe. Markers are features far commoner in toxic rows; they and the median come from the used rows
+    alone, so that rows held out have no part in the labels that a model is fitted to.
+    """
+    rows, is_toxic = Rows(sets, SPACE), toxic > 0
+
+    def labels(used: np.ndarray) -> np.ndarray:
+        order, odds = select(rows.column, rows.row, toxic, used.astype(float))
+        markers = order[odds > 3]
+        mark, lead = np.zeros(SPACE, bool), np.zeros(SPACE, bool)
+        mark[markers], lead[markers[:32]] = True, True
+        counts = np.array([mark[s].sum() for s in sets])
+        leads = np.array([lead[s].any() for s in sets], bool)
+        median = np.median(counts[is_toxic & used]) if (is_toxic & used).any() else 0
+        return np.stack([is_toxic & leads, is_toxic & (counts >= max(1, median)), is_toxic], axis=1).astype(float)
+
+    return labels
+
+
+def fit_chain(sets: list[np.ndarray], labels, categories: tuple[str, ...], folds: int = FOLDS, seed: int = 1) -> Chain:
+    """Fits the models in order; a category without both classes gets its prior, and a threshold that agrees.
+
+    labels is a matrix (rows, categories), or a function that makes one from the rows that it may look at.
+    """
+    n, width = len(sets), len(categories)
     fold = np.random.default_rng(seed).permutation(n) % folds
+    everyone = np.ones(n, bool)
+    passes = [(f, fold != f) for f in range(folds)] + [(None, everyone)]
+    given = [labels(used) if callable(labels) else labels for _, used in passes] if n else []
     chain = Chain(categories, np.zeros(width), np.zeros((width, SPACE), np.float32), np.zeros((width, width)), np.full(width, 2.0))
     seen, held = np.zeros((n, width)), np.bincount(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), minlength=SPACE)
     few = [s[held[s] > 2] for s in sets]  # a feature of two rows can't tell classes apart
     whole = Rows(few, SPACE)
     column, row = whole.column, whole.row
     for j in range(width):
-        y = labels[:, j]
         if not n:
             chain.biases[j] = -6.0
             continue
         oof = np.zeros(n)
-        for f in [*range(folds), None]:
-            used = fold != f if f is not None else np.ones(n, bool)
-            train = np.flatnonzero(used)
+        for (f, used), matrix in zip(passes, given):
+            y, train = matrix[:, j], np.flatnonzero(used)
             chosen, _ = select(column, row, y, used.astype(float))
             place = np.full(SPACE, -1)
             place[chosen] = np.arange(len(chosen))
@@ -133,21 +146,23 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, categories: tuple[str,
             else:
                 chain.biases[j], chain.links[j, :j] = b, links
                 chain.weights[j, chosen] = w
-        chain.thresholds[j] = best_threshold(oof, y, RECALL)
+        chain.thresholds[j] = best_threshold(oof, given[-1][:, j], RECALL)
         seen[:, j] = logit(oof) / 4
     return chain
 
 
-def sample(df: DataFrame, labels: DataFrame, *, most: int = SAMPLE, label_columns: tuple[str, ...] = ("toxic",), id_column: str = "doc_id", text_column: str = "text", seed: int = 1) -> pd.DataFrame:
-    """Up to `most` labelled rows, those with the least hashes of their ids: features and labels, on the driver.
+def sample(df: DataFrame, labels: DataFrame, *, most: int = SAMPLE, most_features: int = SAMPLE_FEATURES, label_columns: tuple[str, ...] = ("toxic",), id_column: str = "doc_id", text_column: str = "text", seed: int = 1, folder: str | None = None) -> pd.DataFrame:
+    """Up to `most` labelled rows, those with the least hashes of their ids, with `most_features` features together: features and labels, on the driver.
 
     The chosen labels, at most `most` rows, are broadcast; the documents are read once, and only chosen ones
-    reach Python.
+    reach Python. Rows count whole: in the order of the hashes, those that still fit.
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
     known = labels.where(" and ".join(f"{c} is not null" for c in label_columns) + f" and {id_column} is not null")
     known = known.groupBy(F.col(id_column).cast("long").alias("own_id")).agg(*[F.max(c).cast("double").alias(f"label_{c}") for c in label_columns])
-    chosen = known.orderBy(F.xxhash64("own_id", F.lit(seed)), "own_id").limit(most)
+    order = [F.xxhash64("own_id", F.lit(seed)), F.col("own_id")]
+    chosen = known.orderBy(*order).limit(most)
 
     def features(batches):
         cache = Features()
@@ -156,9 +171,12 @@ def sample(df: DataFrame, labels: DataFrame, *, most: int = SAMPLE, label_column
             yield batch
 
     rows = df.select(F.col(id_column).cast("long").alias("own_id"), text_of(text_column).alias("text")).join(F.broadcast(chosen), "own_id")
-    kinds = ", ".join(f"label_{c} double" for c in label_columns)
-    found = rows.select("own_id", *[f"label_{c}" for c in label_columns], "text").mapInPandas(features, f"own_id long, {kinds}, features binary").toPandas()
-    found = found.sort_values(["own_id", *[f"label_{c}" for c in label_columns]]).drop_duplicates("own_id", ignore_index=True)
+    names = [f"label_{c}" for c in label_columns]
+    kinds = ", ".join(f"{n} double" for n in names)
+    made = written(rows.select("own_id", *names, "text").mapInPandas(features, f"own_id long, {kinds}, features binary"), folder or work_folder(spark, "toxicity"))
+    sizes = made.groupBy("own_id").agg(F.max(F.octet_length("features")).alias("size"))  # a row for each chosen label
+    fitting = sizes.withColumn("total", F.sum("size").over(W.orderBy(*order))).where(F.col("total") <= 4 * most_features).select("own_id")
+    found = made.join(F.broadcast(fitting), "own_id", "left_semi").groupBy("own_id", *names).agg(F.min("features").alias("features")).toPandas().sort_values(["own_id", *names], ignore_index=True)
     return found.assign(features=[np.frombuffer(f, "<u4") for f in found["features"]])
 
 
@@ -167,7 +185,7 @@ def train(df: DataFrame, labels: DataFrame, **options) -> Chain:
     rows = sample(df, labels, **options)
     sets = list(rows["features"])
     toxic = rows["label_toxic"].to_numpy(float) if len(rows) else np.zeros(0)
-    return fit_chain(sets, derive_categories(sets, toxic) if len(rows) else np.zeros((0, 3)), CATEGORIES)
+    return fit_chain(sets, derive_categories(sets, toxic), CATEGORIES)
 
 
 def scorer(chain: Chain):
@@ -202,7 +220,11 @@ def toxicity(df: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", tex
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, *, text_column: str = "text", **options) -> DataFrame:
-    """The rows of df that aren't toxic, with all their columns."""
+    """The rows of df that aren't toxic, with all their columns, whatever their names.
+
+    Nulls, empty and very long texts, ties and tables without rows are as in toxicity(): each row is decided by its
+    own text, so repeated rows stay or go together. Nothing is shuffled.
+    """
     chain = train(df, labels, text_column=text_column, **options)
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), scorer(chain)(text_column).alias("own"))
     return whole.where("not own.flag").select("whole.*")
