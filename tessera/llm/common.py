@@ -118,6 +118,46 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of 20 bytes or so up to which a table is sent to every task; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Bits of a map() at most: 128 MB when sent.
+MAP_BITS = 1 << 30
+
+
+def sieved(df: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
+    """df with `maybe`, false only where its key (null among them) isn't one of the n rows of `wanted` (one column).
+
+    A bit map that every task gets, with 16 bits or more a wanted key, which lets one other key in 16 pass; beyond
+    MAP_BITS bits it doesn't grow and lets more pass, so what follows must tell them apart.
+    """
+    bits = min(MAP_BITS, 1 << max(20, (16 * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    parts = wanted.select((F.pmod(F.xxhash64(wanted.columns[0]), F.lit(bits)) + 1).alias("bit"))
+    parts = parts.groupBy(F.bitmap_bucket_number("bit").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    found = df.withColumn("_bit", place).join(F.broadcast(parts), F.bitmap_bucket_number("_bit") == F.col("_part"), "left")
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(bitmap_bit_position(_bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.bitmap_bit_position("_bit") % 8).cast("int")) == 1
+    return found.select(*df.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
+def keep_staying(df: DataFrame, decisions: DataFrame, folder: str, *, id_column: str, text_column: str) -> DataFrame:
+    """The rows of df that decisions (doc_id, text_hash, stays; a row for each of df's) let stay, with all their columns.
+
+    text_hash is xxhash64 of the text, null counting as empty. Rows that repeat an id and a text are one row. Only
+    what goes or repeats is looked up: it is sent to every task if it is few, counted rows, so that texts stay where they
+    are; else texts are shuffled once, by id and hash, which no hot text shares.
+    """
+    told = decisions.groupBy("doc_id", "text_hash").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    told = written(told.select(F.col("doc_id").alias("told_id"), F.col("text_hash").alias("told_hash"), "stays"), folder)
+    n, repeats = told.agg(F.count("*"), F.count_if("stays")).first()
+    own = F.col(id_column).cast("long").alias("own_id"), F.xxhash64(text_of(text_column)).alias("own_hash")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), *own)
+    told = F.broadcast(told) if n <= BROADCAST_ROWS else told.hint("merge")
+    marked = whole.join(told, F.col("own_id").eqNullSafe(F.col("told_id")) & (F.col("own_hash") == F.col("told_hash")), "left")
+    out = marked.where("stays is null").select("whole.*")
+    return out.unionAll(marked.where("stays").dropDuplicates(["own_id", "own_hash"]).select("whole.*")) if repeats else out
+
+
 def in_batches(rows: Iterator[tuple], schema, most_rows: int = 4096, most_bytes: int = 8 << 20, weigh=None) -> Iterator:
     """Arrow batches of a schema from tuples, ended by rows or by bytes (weigh(row))."""
     import pyarrow as pa

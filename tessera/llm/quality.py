@@ -23,8 +23,9 @@ from .linear import best_threshold, fit, platt, sigmoid
 #: Hash spaces of the views, and the width of both together.
 SHAPES, SOURCES, LANGS = 512, 256, 64
 TEXT_WIDTH, META_WIDTH = SHAPES + 4, SOURCES + LANGS + 4
-#: Labelled rows to fit on at most, rounds, documents that a view labels a round (shared among the classes by their shares), its least confidence.
-LABELLED, ROUNDS, GIVEN, SURE = 6000, 4, 200, 0.95
+#: Labelled rows to fit on at most; rounds; the share of all unlabelled documents that a view labels a round, how many these are at most
+#: (the classes get their own shares of them), and its least confidence.
+LABELLED, ROUNDS, SHARE, GIVEN, SURE = 6000, 4, 0.05, 200, 0.95
 CACHE_ENTRIES = 300_000
 #: Bytes from which on a chunk without white space is cut into pieces of so many characters, each with a shape of its own.
 LONG, PIECE = 64, 32
@@ -239,12 +240,12 @@ def surest_of(pool: DataFrame, views, counts: tuple[int, int], sure: float = SUR
     return few.select("view", "side", "code", "views").toPandas().sort_values(["view", "side", "code"])
 
 
-def train(df: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, given: int = GIVEN, sure: float = SURE, rounds: int = ROUNDS, id_column: str = "doc_id", text_column: str = "text", seed: int = 1, folder: str | None = None) -> tuple[CoTrained, DataFrame]:
+def train(df: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, share: float = SHARE, given: int = GIVEN, sure: float = SURE, rounds: int = ROUNDS, id_column: str = "doc_id", text_column: str = "text", seed: int = 1, folder: str | None = None) -> tuple[CoTrained, DataFrame]:
     """The model, and the table of features() that it was fitted on.
 
     The first fit is on up to `labelled` rows of labels (doc_id, quality), those with the least hashes of their ids. In each of
-    `rounds` rounds both views score every document without a label, from its features, and each labels the `given`
-    that it is surest of. So what comes to the driver is bounded: `labelled` + 2 * rounds * `given` rows of about 300
+    `rounds` rounds both views score every document without a label, from its features, and each labels the `share` of them,
+    at most `given`, that it is surest of. So what comes to the driver is bounded: `labelled` + 2 * rounds * `given` rows of about 300
     bytes. Documents with any label never get another.
     """
     spark = df.sparkSession
@@ -256,9 +257,10 @@ def train(df: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, given:
     first = marked.where("quality is not null").groupBy("own_id", "quality").agg(F.min("views").alias("views")).orderBy(*order).limit(labelled)
     rows = first.toPandas().sort_values("own_id")
     pool = marked.where("quality is null")
+    most = min(float(given), share * pool.count())
 
     def surest(views, shares):
-        counts = tuple(int(given * s) + 1 for s in shares)
+        counts = tuple(int(most * s) + 1 for s in shares)
         found = surest_of(pool, views, counts, sure)
         return [(*_split(_unpacked(own["views"])), own["side"].to_numpy(float)) for own in (found[found["view"] == k] for k in (0, 1))]
 

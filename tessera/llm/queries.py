@@ -100,7 +100,7 @@ OP8_SQL = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS t
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 percent of their 3-word shingles."""
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:

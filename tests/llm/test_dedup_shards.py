@@ -31,20 +31,125 @@ def test_exact_groups(spark, odd_docs, no_docs):
 def test_the_index_persists(spark, odd_docs):
     folder = work_folder(spark, "index")
     index = exact_dedup.DigestIndex(spark, folder, 4)
-    first, groups = exact_dedup.ingest(odd_docs, index)
-    kept = exact_dedup.keep_first(odd_docs, groups)
+    first, _ = exact_dedup.ingest(odd_docs, index)
+    kept = exact_dedup.keep_first(odd_docs, first)
     assert kept.columns == odd_docs.columns
     assert kept.count() == len(_groups(odd_docs.collect()))
     index.close()
     again = exact_dedup.DigestIndex(spark, folder)  # opened by its folder alone, as in a later session
     assert again.buckets == 4
     more = odd_docs.unionByName(spark.createDataFrame([(100, "quite new")], "doc_id long, text string"), allowMissingColumns=True)
-    rows, groups = exact_dedup.ingest(more, again)
+    rows, _ = exact_dedup.ingest(more, again)
     assert [r["doc_id"] for r in rows.where("kept").collect()] == [100]
-    assert [r["doc_id"] for r in exact_dedup.keep_first(more, groups).collect()] == [100]
-    plan = again.rows().join(rows.select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan
+    assert [r["doc_id"] for r in exact_dedup.keep_first(more, rows).collect()] == [100]
     assert again.rows().count() == len(_groups(odd_docs.collect())) + 1
+    assert exact_dedup.keep_first(odd_docs.limit(0), rows.limit(0)).count() == 0
+
+
+def _sides(plan):
+    """Operators of the two sides of the plan's sort-merge join."""
+    join = plan
+    while "SortMergeJoin" not in join.getClass().getSimpleName():
+        join = join.children().head()
+    out = []
+    for side in (join.left(), join.right()):
+        names, todo = [], [side]
+        while todo:
+            node = todo.pop()
+            names.append(node.nodeName())
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+        out.append(names)
+    return out
+
+
+def test_the_anti_join_neither_moves_nor_sorts_the_index(spark, odd_docs):
+    index = exact_dedup.DigestIndex(spark, work_folder(spark, "index"), 4)
+    for k in range(3):
+        exact_dedup.ingest(spark.createDataFrame([(10 * k + i, f"text {k} {i}") for i in range(9)], "doc_id long, text string"), index)
+    before = sorted(map(str, index.rows().collect()))
+    assert index.files() == 3 and len(before) == 27
+
+    def index_side():
+        batch = spark.createDataFrame([(bytearray(b"x"),)], "digest binary")
+        with exact_dedup._sorted_buckets(spark):
+            plan = exact_dedup.new_digests(batch, index)._jdf.queryExecution().executedPlan().initialPlan()
+        return _sides(plan)[1]
+
+    assert not any("Exchange" in n for n in index_side()) and "Sort" in index_side()
+    index.compact()
+    assert index.files() == 1 and sorted(map(str, index.rows().collect())) == before
+    assert not any("Exchange" in n or n == "Sort" for n in index_side())
+    rows, _ = exact_dedup.ingest(spark.createDataFrame([(7, "text  1 1"), (8, "text 9 9")], "doc_id long, text string"), index)
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in rows.collect()} == {(7, 11, False), (8, 8, True)}
+    with_many = exact_dedup.DigestIndex(spark, index.folder)
+    assert with_many.generation == 1 and with_many.rows().count() == 28
+
+
+@pytest.mark.parametrize("where", ["groups", "append", "commit"])
+def test_a_batch_that_failed_can_run_again(spark, odd_docs, monkeypatch, where):
+    index = exact_dedup.DigestIndex(spark, work_folder(spark, "index"), 4)
+    exact_dedup.ingest(odd_docs.where("doc_id = 7"), index)
+    store = exact_dedup.written
+
+    def failing(df, folder, *rest):
+        if folder.endswith("groups"):
+            raise RuntimeError("lost")
+        return store(df, folder, *rest)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "written", failing) if where == "groups" else m.setattr(index, where, lost)
+        with pytest.raises(RuntimeError):
+            exact_dedup.ingest(odd_docs, index, batch="monday")
+    if where == "commit":
+        assert spark.table(index.table).count() > index.rows().count() == 1
+    rows, _ = exact_dedup.ingest(odd_docs, index, batch="monday")
+    fresh = {g for g in _groups(odd_docs.collect()) if g not in _groups(odd_docs.where("doc_id = 7").collect())}
+    told = sorted(map(str, rows.collect()))
+    assert exact_dedup.keep_first(odd_docs, rows).count() == len(fresh)
+    again, _ = exact_dedup.ingest(odd_docs, index, batch="monday")  # the caller lost the results: the same ones
+    assert sorted(map(str, again.collect())) == told and index.rows().count() == len(fresh) + 1
+    assert spark.table(index.table).count() == index.rows().count()
+
+
+def test_repeated_rows_and_texts_under_one_id(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "ab"), (1, "a  b"), (2, "a  b"), (None, "x"), (None, "x"), (None, "y"), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"told_id": F.lit(1), "whole": F.lit("w"), "stays": F.lit(False)})
+    decided, _ = exact_dedup.ingest(docs, exact_dedup.DigestIndex(spark, work_folder(spark, "index"), 2))
+    stay = exact_dedup.keep_first(docs, decided)
+    assert stay.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in stay.collect()) == [("1", "a  b"), ("3", ""), ("None", "x"), ("None", "y")]
+    near = near_dedup.keep_first(docs, near_dedup.near_duplicates(docs, words=1))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in near.collect() if r["text"]) == sorted([("1", "ab"), ("1", "a  b" if _first_hash(spark, "a  b", "a b") else "a b"), ("None", "x"), ("None", "y")])
+    assert sorted(str(r["doc_id"]) for r in near.collect() if not r["text"]) == ["3", "4"]
+
+
+def _first_hash(spark, a, b):
+    return spark.range(1).select(F.xxhash64(F.lit(a)) < F.xxhash64(F.lit(b))).first()[0]
+
+
+def test_decisions_beyond_the_broadcast_bound(spark, odd_docs, monkeypatch):
+    from tessera.llm import common
+
+    decided, _ = exact_dedup.ingest(odd_docs, exact_dedup.DigestIndex(spark, work_folder(spark, "index"), 2))
+    want = sorted(map(str, exact_dedup.keep_first(odd_docs, decided).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    stay = exact_dedup.keep_first(odd_docs, decided)
+    assert "SortMergeJoin" in stay._jdf.queryExecution().executedPlan().toString() and sorted(map(str, stay.collect())) == want
+
+
+def test_a_map_lets_every_wanted_key_pass(spark, monkeypatch):
+    from tessera.llm import common
+
+    rows = spark.range(5000).selectExpr("if(id = 7, null, id) AS doc_id", "id AS x")
+    wanted = spark.range(0, 5000, 50).selectExpr("id AS doc_id").unionAll(spark.sql("SELECT cast(null AS long)"))
+    for bits in (1 << 30, 1 << 6):
+        monkeypatch.setattr(common, "MAP_BITS", bits)
+        got = common.sieved(rows, "doc_id", wanted, 101).where("maybe")
+        found = {r["doc_id"] for r in got.collect()}
+        assert {*range(0, 5000, 50), None} <= found and (len(found) < 120 or bits == 64)
 
 
 def _brute(rows, words, percent):
@@ -70,10 +175,12 @@ def _brute(rows, words, percent):
     return sorted(((r["doc_id"] is not None, r["doc_id"], len(sets[k]), least[root(k)] if sets[k] else r["doc_id"]) for k, r in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_near_components(spark, odd_docs, words, percent):
+@pytest.mark.parametrize(("words", "percent", "block"), [(3, 85, 256), (5, 80, 256), (5, 80, 3)])
+def test_near_components(spark, odd_docs, words, percent, block, monkeypatch):
     import random
 
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+
     draw = random.Random(5)
     base = [f"w{draw.randrange(400)}" for _ in range(120)]
     made = []
@@ -91,6 +198,7 @@ def test_near_components(spark, odd_docs, words, percent):
     stay = near_dedup.keep_first(docs, got)
     assert stay.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in stay.collect()) == sorted({str(r["doc_id"]) for r in rows if r["kept"]})
+    assert near_dedup.keep_first(docs.limit(0), got.limit(0)).count() == 0
 
 
 def test_nothing_near(no_docs):

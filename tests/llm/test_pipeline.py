@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import queries
@@ -59,3 +60,25 @@ def test_the_pipeline_runs_on_no_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_every_stage_handles_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, empty and long texts, ties, repeats, clashing columns and no rows, stage by stage."""
+    docs = odd_docs.withColumns({c: F.lit(c) for c in ("own_id", "own_hash", "stays", "told_id", "told_hash", "own", "maybe", "kept", "component_id", "views")})
+    given = [(1, 1, 0), (2, 1, 0), (3, None, None), (None, 0, 1), (7, 1, 0)]
+    spark.createDataFrame(given, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        left = out.collect()
+        assert {tuple(map(str, r)) for r in left} <= {tuple(map(str, r)) for r in docs.collect()}, name
+        assert len(left) == {"quality": rows, "toxicity": rows}.get(name, len(left)), name
+    exact = stages["exact_dedup"](spark, docs, str(tmp_path)).collect()
+    texts = [(r["text"] or "").translate(str.maketrans("", "", " \t\n\x0b\x0c\r")) for r in docs.collect()]
+    assert len(exact) == len(set(texts)) and sum(r["doc_id"] == 10 for r in exact) == 1
+    near = {str(r["doc_id"]) for r in stages["near_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert {"4", "5", "6", "None"} <= near and "8" not in near and len(near & {"1", "2", "3"}) == 1
+    pieces = stages["packing"](spark, docs, str(tmp_path))
+    assert pieces.where("start = 0").count() == rows and stages["packing"](spark, no_docs, str(tmp_path)).count() == 0
