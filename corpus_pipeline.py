@@ -19,30 +19,54 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained views find good enough."""
+    """Documents that the co-trained views find good enough.
+
+    A row is decided by its own text and metadata: null and empty texts by a feature of their own, very long ones as a
+    whole, equal rows alike. Null labels and ids are no labels; without labels all rows stay. Further columns stay as
+    they are, whatever their names. No rows give none.
+    """
     return quality.keep_good(docs, _labels(spark, sf_dir))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't find toxic."""
+    """Documents that the classifier chain doesn't find toxic.
+
+    A row is decided by its whole text: null and empty ones have no features and get the prior, equal ones the same
+    verdict. Null labels and ids are no labels; without labels all rows stay. Further columns stay as they are, whatever
+    their names. No rows give none.
+    """
     return toxicity.keep_clean(docs, _labels(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal without white space.
+
+    The one with the most code points stays, then the smallest id, a null one before others. Null, empty and blank texts
+    are one group. Rows that repeat an id and a text are one row. Further columns stay as they are, whatever their names.
+    No rows give none.
+    """
     index = exact_dedup.DigestIndex(spark, work_folder(spark, "index"))
-    _, groups = exact_dedup.ingest(docs, index)
+    rows, _ = exact_dedup.ingest(docs, index)
     index.close()
-    return exact_dedup.keep_first(docs, groups)
+    return exact_dedup.keep_first(docs, rows)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of documents that share 80 percent of their 5-word shingles."""
+    """One document of each component of documents that share 80 percent of their 5-word shingles.
+
+    The one with the smallest id stays, null only where a component has no other. Texts without words are near nothing and
+    stay. Rows that repeat an id and a text are one row. Very long texts count as a whole. Further columns stay as they
+    are, whatever their names. No rows give none.
+    """
     return near_dedup.keep_first(docs, near_dedup.near_duplicates(docs, words=5, percent=80))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of all documents that are left, with digests of their ids."""
+    """Power-of-two pieces of all documents that are left, with digests of their ids.
+
+    Null text counts as empty, a piece of the end id alone. Null ids stay null, repeated rows are packed as often as they
+    occur, further columns are ignored, and no rows give none.
+    """
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
