@@ -158,3 +158,92 @@ def test_packages_read_by_ranges(spark, monkeypatch):
     assert all(m["method"] == 0 and m["start"] > 0 for m in members)
     assert {m["name"].split("/")[0] for m in members} == {"archive", "indexes"}
     assert warc.read_archives(packages).selectExpr("sum(payload_bytes)").first()[0] == sum(50 * len(str(i)) for i in range(200))
+
+
+def _foreign(kind="response", payload=b"<p>hi</p>", rid="urn:uuid:6b5d0e5c-0000-4000-8000-000000000001", digest=True, http=True, extra=""):
+    """A record as other writers make it."""
+    block = (b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" if http else b"") + payload
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{rid}>\r\nWARC-Target-URI: http://a/\r\n{extra}"
+    if digest:
+        head += f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}\r\n"
+    head += f"Content-Type: {'application/http; msgtype=response' if http else 'application/warc-fields'}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def _zip(place, members, method=zipfile.ZIP_STORED):
+    with zipfile.ZipFile(place, "w", method) as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    return f"file://{place}"
+
+
+def _gz(records):
+    import gzip
+
+    packed = [gzip.compress(r) for r in records]
+    return b"".join(packed), [(sum(map(len, packed[:k])), len(p)) for k, p in enumerate(packed)]
+
+
+def _read(spark, *paths, **options):
+    return warc.read_archives(spark.createDataFrame([(p, 1) for p in paths], "path string, start int"), **options)
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    bodies = [b"<p>%d</p>" % k * 50 for k in range(4)]
+    records = [_foreign("warcinfo", b"software: x\r\n", "urn:uuid:0", False, False)] + [_foreign(payload=b, rid=f"urn:uuid:{k + 1}") for k, b in enumerate(bodies)]
+    data, places = _gz(records)
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"a,/ 2020 http://a/ text/html 200 X - - {n} {at} data.warc.gz\n" for at, n in places[1:])
+    cdxj = "!meta {}\n" + "".join(f'a,/ 2020 {{"url": "http://a/", "length": "{n}", "offset": "{at}", "filename": "data.warc.gz"}}\n' for at, n in places[1:])
+    no_length = "".join(f"a,/ 2020 http://a/ text/html 200 X - {at} data.warc.gz\n" for at, _ in places[1:])
+    import gzip
+
+    layouts = {
+        "cdx": {"archive/data.warc.gz": data, "indexes/index.cdx": cdx, "pages/pages.jsonl": "{}"},
+        "cdxgz": {"archive/data.warc.gz": data, "indexes/index.cdx.gz": gzip.compress(cdx.encode())},
+        "cdxj": {"datapackage.json": "{}", "archive/data.warc.gz": data, "indexes/index.cdxj": cdxj, "indexes/more.cdx": cdx},
+        "nolength": {"data.warc.gz": data, "data.cdx": no_length},
+    }
+    for name, members in layouts.items():
+        rows = _read(spark, _zip(tmp_path / f"{name}.wacz", members)).collect()
+        assert sorted(bytes(r["payload"]) for r in rows) == bodies, name
+        assert sorted(r["record_id"] for r in rows) == [f"urn:uuid:{k}" for k in range(1, 5)] and {r["page_id"] for r in rows} == {None}
+        assert {(r["payload_digest"], bytes(r["payload"])) for r in rows} == {(base64.b32encode(hashlib.sha1(b).digest()).decode(), b) for b in bodies}
+    walked = {"gz": {"a/x.warc.gz": data}, "plain": {"x.warc": b"".join(records)}, "one": {"x.warc.gz": gzip.compress(b"".join(records))}, "two": {"a/x.warc.gz": data, "b/x.warc.gz": data}}
+    for name, members in walked.items():
+        rows = _read(spark, _zip(tmp_path / f"{name}.wacz", members)).collect()
+        assert sorted(r["record_type"] for r in rows) == sorted((["warcinfo"] + ["response"] * 4) * len(members)), name
+    twice = _zip(tmp_path / "cdx.wacz", layouts["cdx"])
+    assert _read(spark, twice, twice, None).count() == 4
+
+
+def test_what_cannot_be_read_is_an_error(spark, tmp_path):
+    data, places = _gz([_foreign(), _foreign(payload=b"other")])
+    line = '{{"filename": "{}", "offset": {}, "length": {}}}\n'
+    wrong = _gz([_foreign().replace(b"<p>hi</p>", b"<p>ho</p>")])[0]
+    cases = {
+        "deflated": ({"archive/x.warc.gz": data}, zipfile.ZIP_DEFLATED, "compressed"),
+        "lost": ({"x.cdxj": line.format("y.warc.gz", 0, 5)}, zipfile.ZIP_STORED, "no record file"),
+        "far": ({"x.warc.gz": data, "x.cdxj": line.format("x.warc.gz", len(data), 50)}, zipfile.ZIP_STORED, "behind the end"),
+        "inside": ({"x.warc.gz": data, "x.cdxj": line.format("x.warc.gz", 3, 50)}, zipfile.ZIP_STORED, "header"),
+        "nowhere": ({"x.warc.gz": data, "x.cdxj": '{"length": 4}\n'}, zipfile.ZIP_STORED, "without an offset"),
+        "short": ({"x.warc.gz": data[:-9]}, zipfile.ZIP_STORED, "truncated"),
+        "changed": ({"x.warc.gz": wrong}, zipfile.ZIP_STORED, "differs"),
+    }
+    paths = []
+    for name, (members, method, reason) in cases.items():
+        paths.append(_zip(tmp_path / f"{name}.wacz", members, method))
+        with pytest.raises(Exception, match=reason):
+            _read(spark, paths[-1]).collect()
+    (tmp_path / "no.zip").write_bytes(b"no package")
+    rows = _read(spark, *paths, f"file://{tmp_path}/no.zip", strict=False).collect()
+    told = {r["path"].rsplit("/", 1)[-1].split(".")[0]: r["error"] for r in rows if r["error"]}
+    assert set(told) == {*cases, "no"} and all(case[2] in told[name] for name, case in cases.items())
+    assert sum(r["payload"] == b"<p>hi</p>" for r in rows) >= 1
+
+
+def test_groups_beyond_the_broadcast_bound(spark, monkeypatch):
+    pages = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 0, 'same', if(id % 7 = 0, concat('x', id % 2), concat('own', id))) AS html")
+    columns = "page_id", "record_type", "refers_to", "payload_digest"
+    want = sorted(map(str, warc.archive(pages).select(*columns).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, warc.archive(pages).select(*columns).collect())) == want
