@@ -106,7 +106,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as motion JPEG and read back: digests, and its shots in seconds."""
     back = media.read_media(media.to_media(_table(spark, sf_dir, "documents")))
-    cuts = F.concat_ws(",", F.transform("shots", lambda k: F.format_string("%.2f", k / F.lit(media.FPS))))
+    cuts = F.concat_ws(",", F.transform(media.timed(), lambda clip: F.format_string("%.2f", clip["start_s"])))
     return back.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256",

@@ -21,7 +21,7 @@ def test_frames_are_lossless(a, b):
     assert len(coded) == 2 * media.CODED
     assert (media.decode_frames(coded) == samples).all()
     n, frames = media.parse_avi(media.avi(1000, coded, 2))
-    assert n == 1000 and b"".join(map(media.coded_part, frames)) == coded
+    assert n == 1000 and b"".join(media.read_frame(f).data for f in frames) == coded
 
 
 def _scalar_decode(jpeg):
@@ -63,10 +63,58 @@ def test_any_decoder_can_read_a_frame():
     assert (_scalar_decode(jpeg) == samples[0]).all()
 
 
+def _scalar_encode(samples, predictor, head=b""):
+    """A lossless JPEG with the codes of 4 bits for categories 0 to 9, and any predictor, bit by bit."""
+    bits, (h, w) = "", samples.shape
+    x = samples.astype(int)
+    for y in range(h):
+        for k in range(w):
+            a, b, c = x[y, k - 1], x[y - 1, k], x[y - 1, k - 1]
+            guess = 128 if not y and not k else a if not y else b if not k else (a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1)[predictor - 1]
+            d = int(x[y, k] - guess)
+            n = abs(d).bit_length()
+            bits += f"{n:04b}" + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "")
+    bits += "1" * (-len(bits) % 8)
+    data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    table = bytes([0, 0, 0, 10] + [0] * 12 + list(range(10)))
+    return (
+        b"\xff\xd8" + head + b"\xff\xc4" + struct.pack(">HB", 3 + len(table), 0) + table
+        + b"\xff\xc3" + struct.pack(">HBHHBBBB", 11, 8, h, w, 1, 1, 0x11, 0) + b"\xff\xda" + struct.pack(">HBBBBBB", 8, 1, 1, 0, predictor, 0, 0) + data + b"\xff\xd9"
+    )
+
+
+@pytest.mark.parametrize("predictor", range(1, 8))
+def test_frames_of_other_writers(predictor):
+    samples = np.random.default_rng(predictor).integers(0, 256, (13, 7)).astype(np.uint8)
+    samples[3:6] = 200
+    jpeg = _scalar_encode(samples, predictor, b"\xff\xe0\0\x06JFIF\xff\xff\xfe\0\x04hi")
+    frame = media.read_frame(jpeg)
+    assert not frame.plain and (media.decode_frame(frame) == samples).all()
+    own = np.random.default_rng(1).integers(0, 256, (2, 24, 24)).astype(np.uint8)
+    plain = [media.read_frame(f) for f in media.parse_avi(media.avi(0, media.code_frames(own), 2))[1]]
+    assert all(f.plain for f in plain) and (media.decode_frame(plain[1]) == own[1]).all()
+    (raw, counts), (other, _) = media.decode_all([[plain[0], frame, plain[1]], [plain[1]]])
+    assert raw == own[0].tobytes() + samples.tobytes() + own[1].tobytes() and other == own[1].tobytes() and counts.sum() == len(raw)
+
+
+def test_frames_that_cannot_be_decoded_are_named():
+    jpeg = _scalar_encode(np.zeros((8, 8), np.uint8), 1)
+    at = jpeg.index(b"\xff\xc3")
+    cases = {
+        "another process": jpeg.replace(b"\xff\xc3", b"\xff\xc0"), "components": jpeg[: at + 9] + b"\3" + jpeg[at + 10 :], "of 12 bits": jpeg[: at + 4] + b"\x0c" + jpeg[at + 5 :],
+        "restart": jpeg[:2] + b"\xff\xdd\0\4\0\2" + jpeg[2:], "without a scan": jpeg[:at], "no JPEG": b"GIF89a", "its end": jpeg[:-2], "doesn't fit": jpeg[:2] + jpeg[at:],
+    }
+    for reason, data in cases.items():
+        with pytest.raises(ValueError, match=reason):
+            media.read_frame(data)
+    with pytest.raises(ValueError, match="shorter"):
+        media.decode_frame(media.read_frame(jpeg[:-6] + b"\xff\xd9"))
+
+
 def test_shots_by_brute_force():
     draw = np.random.default_rng(1)
     samples = np.concatenate([draw.integers(lo, lo + 40, (n, 24, 24)) for lo, n in ((0, 12), (200, 9), (90, 1), (0, 5))]).astype(np.uint8)
-    assert media.shots(samples)[0] == 0 and 12 in media.shots(samples) and 21 in media.shots(samples)
+    assert media.shots(media.histograms(samples))[0] == 0 and 12 in media.shots(media.histograms(samples)) and 21 in media.shots(media.histograms(samples))
     counts = [np.bincount((f >> 3).reshape(-1), minlength=32) for f in samples]
     d = [int(np.abs(b - a).sum()) for a, b in zip(counts, counts[1:])]
     expected = [0]
@@ -74,7 +122,7 @@ def test_shots_by_brute_force():
         near = [d[i] for i in range(max(0, k - 8), min(len(d), k + 9)) if i != k]
         if d[k] * max(len(near), 1) > 2 * sum(near) + 72 * max(len(near), 1):
             expected.append(k + 1)
-    assert media.shots(samples) == expected
+    assert media.shots(media.histograms(samples)) == expected
 
 
 def test_media_columns(spark, odd_docs, no_docs):
@@ -91,6 +139,16 @@ def test_media_columns(spark, odd_docs, no_docs):
     assert media.to_media(no_docs).count() == 0
     broken = spark.createDataFrame([(1, b"RIFF\0\0\0\0WAVE"), (2, None), (3, bytes(media.avi(5, media.code_frames(np.zeros((1, 24, 24), np.uint8)), 1)[:-30]))], "doc_id long, media binary")
     assert all(r["error"] and r["payload"] is None for r in media.read_media(broken).collect())
+    other = [_scalar_encode(np.full((8, 8), k, np.uint8), 4) for k in (1, 200)]
+    file = _avi_of(other)
+    short = _avi_of([other[0], other[1][:-6] + b"\xff\xd9"])
+    rows = {r["doc_id"]: r for r in media.read_media(spark.createDataFrame([(1, bytearray(file)), (2, bytearray(short)), (3, bytearray(file))], "doc_id long, media binary").coalesce(1)).collect()}
+    assert rows[1]["payload"] == rows[3]["payload"] == bytes([1] * 64 + [200] * 64) and rows[1]["frames"] == 2 and "shorter" in rows[2]["error"]
+
+
+def _avi_of(jpegs):
+    movi = media.chunk(b"LIST", b"movi" + b"".join(media.chunk(b"00dc", j) for j in jpegs))
+    return media.chunk(b"RIFF", b"AVI " + movi)
 
 
 @pytest.mark.parametrize("zip64", [False, True])

@@ -85,19 +85,56 @@ def test_byte_bpe(spark, docs):
     assert sorted(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in _rows(spark, "op6_byte_bpe")) == expected
 
 
+def _walk_avi(data):
+    """JPEG frames of an AVI file, by its chunks alone."""
+    assert data[:4] == b"RIFF" and data[8:12] == b"AVI " and int.from_bytes(data[4:8], "little") == len(data) - 8
+    at, frames, index = 12, [], []
+    while at < len(data):
+        name, n = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"LIST" and data[at + 8 : at + 12] == b"movi":
+            first, k = at + 8, at + 12
+            while k < at + 8 + n:
+                size = int.from_bytes(data[k + 4 : k + 8], "little")
+                frames.append((k - first, data[k + 8 : k + 8 + size]))
+                k += 8 + size + size % 2
+        elif name == b"idx1":
+            index = [(int.from_bytes(data[k + 8 : k + 12], "little"), int.from_bytes(data[k + 12 : k + 16], "little")) for k in range(at + 8, at + 8 + n, 16)]
+        at += 8 + n + n % 2
+    assert index == [(place, len(f)) for place, f in frames]
+    return [f for _, f in frames]
+
+
+def _cuts(frames):
+    """Shots of frames (lists of samples) by their histograms, one difference at a time."""
+    counts = [[sum(1 for v in f if v >> 3 == b) for b in range(32)] for f in frames]
+    d = [sum(abs(p - q) for p, q in zip(a, b)) for a, b in zip(counts, counts[1:])]
+    found = [0]
+    for k, own in enumerate(d):
+        near = [d[i] for i in range(max(0, k - 8), min(len(d), k + 9)) if i != k]
+        if own * max(len(near), 1) > 2 * sum(near) + 72 * max(len(near), 1):
+            found.append(k + 1)
+    return found
+
+
 def test_media(spark, docs):
+    """Stored files are taken apart by a second parser and decoder, those of the tests."""
+    from test_media_warc import _scalar_decode
+
     rows = {r["doc_id"]: r for r in _rows(spark, "op10_avi_clips")}
     assert len(rows) == len(docs)
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.to_media(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     for r in docs:
-        raw = (r["text"] or "").encode()
-        n = max(1, -(-len(raw) // 576))
-        padded = raw.ljust(576 * n, b"\xff")
-        samples = np.frombuffer(padded, np.uint8).reshape(n, 24, 24)
-        file = media.avi(len(raw), media.code_frames(samples), n)
-        cuts = ",".join(f"{k / 25:.2f}" for k in media.shots(samples))
-        got = rows[r["doc_id"]]
+        raw, file, got = (r["text"] or "").encode(), files[r["doc_id"]], rows[r["doc_id"]]
+        padded = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (got["n_bytes"], got["payload_bytes"], got["payload_sha256"], got["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
-        assert (got["media_bytes"], got["media_sha256"], got["feature"]) == (len(file), hashlib.sha256(file).hexdigest(), f"frames={n};shots_s={cuts}")
+        assert (got["media_bytes"], got["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        frames = [padded[k : k + 576] for k in range(0, len(padded), 576)]
+        cuts = ",".join(f"{k / 25:.2f}" for k in _cuts(frames))
+        assert got["feature"] == f"frames={len(frames)};shots_s={cuts}"
+        stored = _walk_avi(file)
+        assert len(stored) == len(frames)
+        if r["doc_id"] % 10 == 0:
+            assert all(_scalar_decode(j).astype(np.uint8).tobytes() == f for j, f in zip(stored, frames))
 
 
 def _components(texts, words, percent):
