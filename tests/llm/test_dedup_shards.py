@@ -255,15 +255,15 @@ def test_shards_keep_every_row(spark, odd_docs):
     last = store.append(odd_docs, arrival=F.pmod(F.col("doc_id"), F.lit(3)))
     assert last == 4  # three arrivals and that of the null id
     store.append(odd_docs)
-    before = store.manifest()
+    before, files = store.manifest(), store.shards().count()
     expected = sorted(map(str, odd_docs.unionByName(odd_docs).collect()))
     assert sorted(map(str, store.read().collect())) == expected
     after = store.manifest(store.compact())
-    assert len(after["shards"]) < len(before["shards"]) and after["version"] > before["version"]
+    assert store.shards().count() < files and after["version"] > before["version"]
+    assert store.shards(before["version"]).count() == files
     assert sorted(map(str, store.read().collect())) == expected
     assert sorted(map(str, store.read(before["version"]).collect())) == expected  # older versions stay readable
-    small = [s for s in after["shards"] if s["bytes"] < store.target // 2]
-    tiers = [store.tier(s["bytes"]) for s in small]
+    tiers = [store.tier(s["bytes"]) for s in store.shards().collect() if s["bytes"] < store.target // 2]
     assert all(tiers.count(t) < 2 for t in tiers)
     assert store.vacuum() > 0
     assert sorted(map(str, store.read().collect())) == expected and store.versions() == [after["version"]]
@@ -274,7 +274,7 @@ def test_a_version_is_committed_once(spark, odd_docs):
     store.append(odd_docs)
     base = store.manifest(0)
     with pytest.raises(sharding.Conflict):
-        store.commit(base, [], "another writer", odd_docs.schema.json())
+        store.commit(base, [], [], "another writer", odd_docs.schema.json())
     assert store.read().count() == odd_docs.count()
     with pytest.raises(ValueError):
         store.append(odd_docs.select("doc_id"))
@@ -287,3 +287,29 @@ def test_an_empty_store(spark, no_docs):
     assert not store.versions() or store.read().count() == 0
     with pytest.raises(ValueError):
         sharding.ShardStore(spark, "x", fanout=1)
+
+
+def test_manifests_grow_by_what_changes(spark, monkeypatch):
+    """Versions name segments, checkpoints fold them, and bounded merges lose nothing."""
+    monkeypatch.setattr(sharding, "SEGMENTS", 3)
+    monkeypatch.setattr(sharding, "MERGE_FILES", 3)
+    store = _store(spark, target_bytes=1 << 20, fanout=2)
+    for k in range(6):
+        store.append(spark.range(k * 10, k * 10 + 10).selectExpr("id", "null AS x", "'p' AS path", "1 AS bytes").coalesce(1))
+        assert len(store.manifest()["adds"]) + len(store.manifest()["drops"]) <= 3
+    assert sorted(r["id"] for r in store.read(2).collect()) == list(range(20)) and store.shards().count() == 6
+    store.compact()
+    assert store.shards().count() == 1 and sorted(r["id"] for r in store.read().collect()) == list(range(60))
+    assert store.read(1).count() == 10 and store.vacuum() >= 6 and store.read().count() == 60
+    data = {r["path"] for r in store._listing(f"{store.folder}/data").collect()}
+    assert data == {r["path"] for r in store.shards().collect()}
+    sizes = [1, 100, 1 << 10, 1 << 18, 1 << 19, 1 << 20, 5 << 20]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", store.tier(F.col("n")).alias("t")).collect()
+    assert all(r["t"] == store.tier(r["n"]) for r in got)
+
+
+def test_stores_without_an_atomic_rename_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ATOMIC", {"hdfs"})
+    with pytest.raises(ValueError, match="atomic"):
+        _store(spark)
+    assert _store(spark, single_writer=True).versions() == []
