@@ -186,17 +186,18 @@ def _similar(shared, sizes, percent: int):
     return 100 * shared >= percent * (sizes - shared)
 
 
-def star_links(spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def star_links(spokes: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
     """Those of spokes (pivot, vertex) whose whole sets are similar enough, as edges a, b.
 
     spokes also have the sizes of both sets, and pairs that these rule out aren't made. A pivot's set goes once to
     each of its chunks, of at most some 256 classes, and chunks are dealt to tasks: a task streams through sorted rows and holds
-    the set of one pivot.
+    the set of one pivot. Pairs and numbers of chunks are tables in `folder`, so that Spark splits the join where a pivot is hot.
     """
     able = spokes.where(100 * F.least("n_shingles", "pivot_shingles") >= percent * F.greatest("n_shingles", "pivot_shingles"))
     a, b = F.least("pivot", "vertex"), F.greatest("pivot", "vertex")
     once = able.groupBy(a.alias("a"), b.alias("b")).agg(F.max(F.struct("pivot", "vertex", "n_shingles")).alias("own")).select("own.*")
-    parts = once.groupBy("pivot").agg(_blocks().alias("chunks"))
+    once = written(once, f"{folder}/pairs")
+    parts = written(once.groupBy("pivot").agg(_blocks().alias("chunks")), f"{folder}/chunks")
     outer = once.join(parts.hint("merge"), "pivot").select("pivot", F.pmod(F.xxhash64("vertex"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("side"), "vertex")
     inner = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("pivot").alias("vertex"))
 
@@ -356,7 +357,7 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_colu
     spokes = written(sized.select("pivot", "vertex", "n_shingles", "pivot_shingles"), f"{folder}/spokes")
     wanted = written(classes.select("vertex", "key", "doc_id").join(members.select("vertex").distinct().hint("merge"), "vertex"), f"{folder}/wanted")
     sets = written(whole_sets(texts, words, wanted), f"{folder}/sets", "snappy")
-    labels = written(connected_components(star_links(spokes, sets, percent), f"{folder}/stars"), f"{folder}/labels")
+    labels = written(connected_components(star_links(spokes, sets, percent, folder), f"{folder}/stars"), f"{folder}/labels")
     more = _across(spokes, labels, sets, percent, f"{folder}/across")
     if more is not None:
         stars = labels.select(F.col("vertex").alias("a"), F.col("label").alias("b"))
