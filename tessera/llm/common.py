@@ -107,12 +107,28 @@ def claim(cache: dict) -> dict:
     """The cache, now this worker's only one: Spark reuses workers, so what earlier operators cached would stay beside it."""
     if not any(c is cache for c in _CACHES):
         _CACHES.append(cache)
-    for other in _CACHES:
-        if other is not cache:
-            other.clear()
+    others = [c for c in _CACHES if c is not cache and c]
+    for other in others:
+        other.clear()
+    if others:
+        give_back()
     return cache
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: a worker's heap would keep what an earlier operator has used."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_of(column: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

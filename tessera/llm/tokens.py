@@ -13,7 +13,7 @@ import json
 
 import numpy as np
 
-from .common import claim
+from .common import claim, give_back
 
 #: Entries that one worker's cache holds before it starts anew (about 200 bytes each).
 CACHE_ENTRIES = 1_000_000
@@ -144,7 +144,7 @@ class WordIds:
         at = (4 * ends[first]).tolist()
         return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
 
-    def encode_batch(self, texts, most_bytes: int = 4 << 20):
+    def encode_batch(self, texts, most_bytes: int = 2 << 20):
         """Ids of the texts of an Arrow array, some megabytes of text at a time."""
         import pyarrow.compute as pc
 
@@ -174,5 +174,6 @@ def word_ids(file: str) -> WordIds:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if file not in _BY_FILE:
         _BY_FILE[file] = WordIds(file)
+        give_back()
     claim(_BY_FILE[file].known)
     return _BY_FILE[file]
