@@ -21,6 +21,10 @@ HISTORY = 65536
 MOST_INPUT = 0x7E000000
 MOST_ACCELERATION = 65537
 MOST_LEVEL = 12
+VERSION = (1, 10, 0)
+
+#: Length from which on a repetition of a few bytes is taken without a further search.
+LONG_RUN = 64
 
 
 class BlockError(ValueError):
@@ -201,24 +205,38 @@ def _write(buf: bytes, base: int, matches) -> bytes:
     return out.tobytes() + bytes(rest)
 
 
+def _previous(buf: bytes, width: int) -> np.ndarray:
+    """For each position the distance to the last place of its `width` bytes, 0 if there is none within the window; the last positions have 0.
+
+    All positions are sorted at once by their bytes, two at a time from the last to the first; neighbours that agree are
+    one another's last places.
+    """
+    n = len(buf) - width + 1
+    data = np.frombuffer(buf, np.uint8)
+    keys = [data[k : k + n].astype(np.uint16) | (data[k + 1 : k + 1 + n].astype(np.uint16) << 8 if k + 1 < width else 0) for k in range(0, width, 2)]
+    order = np.argsort(keys[0], kind="stable")  # 16-bit keys: radix sorts
+    for key in keys[1:]:
+        order = order[np.argsort(key[order], kind="stable")]
+    same = np.ones(n - 1, bool)
+    for key in keys:
+        own = key[order]
+        same &= own[1:] == own[:-1]
+    distance = np.zeros(len(buf), np.int32)
+    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
+    distance[distance > WINDOW] = 0
+    return distance
+
+
 def _fast(buf: bytes, base: int, acceleration: int) -> list[tuple[int, int, int]]:
-    """Greedy parse over the last place of each position's four bytes, found for all positions by one sort.
+    """Greedy parse over the last place of each position's four bytes.
 
     Neighbours with the same distance are one match, so lengths come with the distances; a match is made longer
     only where the bytes behind it agree too. Acceleration looks at every so manieth position.
     """
     limit, end = len(buf) - MATCH_LIMIT, len(buf) - LAST_LITERALS
-    data = np.frombuffer(buf, np.uint8)
-    low = data[:-3].astype(np.uint16) | data[1:-2].astype(np.uint16) << 8
-    high = data[2:-1].astype(np.uint16) | data[3:].astype(np.uint16) << 8
-    first = np.argsort(low, kind="stable")  # 16-bit keys: radix sorts
-    order = first[np.argsort(high[first], kind="stable")]
-    same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
-    places = np.arange(len(low), dtype=np.int32)
-    distance = np.zeros(len(low) + 1, np.int32)
-    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
-    distance[distance > WINDOW] = 0
-    stops = np.where(distance[1:] != distance[:-1], places, len(low))
+    distance = _previous(buf, 4)[: len(buf) - 2]
+    places = np.arange(len(buf) - 3, dtype=np.int32)
+    stops = np.where(distance[1:] != distance[:-1], places, len(places))
     stops = np.minimum.accumulate(stops[::-1])[::-1]
     length = (stops - places + 4).astype(np.int32)
     starts = (distance[:-1] > 0) & (places >= base) & (places <= limit)
@@ -241,6 +259,36 @@ def _fast(buf: bytes, base: int, acceleration: int) -> list[tuple[int, int, int]
     return found
 
 
+def _mid(buf: bytes, base: int) -> list[tuple[int, int, int]]:
+    """Parse over two distances a position: to the last place of its seven bytes and of its four.
+
+    The seven bytes come first; a match by four gives way to a longer one by seven that starts a byte later. Matches
+    also grow backwards into literals.
+    """
+    limit, end = len(buf) - MATCH_LIMIT, len(buf) - LAST_LITERALS
+    short = _previous(buf, 4)
+    far = _previous(buf, 7)
+    near = np.flatnonzero((short[: limit + 1] > 0) & (np.arange(limit + 1) >= base))
+    short, far, found, at, anchor, k = memoryview(short), memoryview(far), [], base, base, 0
+    near = near.tolist()
+    while k < len(near):
+        at = near[k]
+        k += 1
+        if at < anchor:
+            continue
+        by = far[at] or short[at]
+        n = _extend(buf, at - by, at, end)
+        if not far[at] and at < limit and far[at + 1]:
+            more = _extend(buf, at + 1 - far[at + 1], at + 1, end)
+            if more > n:
+                at, by, n = at + 1, far[at + 1], more
+        while at > anchor and at > by and buf[at - 1] == buf[at - 1 - by]:
+            at, n = at - 1, n + 1
+        found.append((at, by, n))
+        anchor = at + n
+    return found
+
+
 class _Chains:
     """Positions of each 4 bytes, newest last, for the searching parsers."""
 
@@ -267,8 +315,12 @@ class _Chains:
 
     def _longest(self, at: int, end: int, tries: int, longer_than: int) -> tuple[int, int]:
         self.fill(at)
-        best, offset = longer_than, 0
-        buf = self.buf
+        buf, best, offset = self.buf, longer_than, 0
+        inside = self._run(at, end)
+        if inside and not self.favor_decode and inside[0] > best:
+            best, offset = inside
+            if best >= LONG_RUN:
+                return best, offset  # a run this long isn't worth a search among its own places
         places = self.places.get(buf[at : at + 4], ())
         for seen in reversed(places[-tries:]):
             if at - seen > WINDOW:
@@ -282,9 +334,31 @@ class _Chains:
                 best, offset = n, at - seen
         return (best, offset) if offset else (0, 0)
 
+    def _run(self, at: int, end: int) -> tuple[int, int] | None:
+        """(length, period) of the repetition of 1, 2 or 4 bytes that goes on at a position, None if there is none of four bytes."""
+        buf = self.buf
+        for period in (1, 2, 4):
+            if at >= period and buf[at - period : at + 4 - period] == buf[at : at + 4]:
+                return 4 + _extend(buf, at + 4 - period, at + 4, end), period
+        return None
+
+    def wider(self, at: int, least: int, end: int, tries: int, longer_than: int) -> tuple[int, int, int] | None:
+        """(start, offset, length) of the longest match around a position, which may start from `least` on; None unless it is longer than the given length."""
+        n, offset = self.longest(at, end, tries, 3)
+        if not n:
+            return None
+        buf, start = self.buf, at
+        while start > least and start > offset and buf[start - 1] == buf[start - 1 - offset]:
+            start, n = start - 1, n + 1
+        return (start, offset, n) if n > longer_than else None
+
 
-def _lazy(buf: bytes, base: int, tries: int, favor_decode: bool = False) -> list[tuple[int, int, int]]:
-    """Takes a match unless one that starts at the next byte is longer by more than it costs."""
+def _overlapping(buf: bytes, base: int, tries: int, favor_decode: bool = False) -> list[tuple[int, int, int]]:
+    """Parse that looks behind each match for a longer one that overlaps it, and behind that for a third.
+
+    The first is cut where the second starts, if four bytes of it are left, else the second takes its place. A second
+    whose third would leave it fewer than four bytes is passed over, and the first reaches up to the third.
+    """
     chains, found, at = _Chains(buf, base, favor_decode), [], base
     limit, end = len(buf) - MATCH_LIMIT, len(buf) - LAST_LITERALS
     while at <= limit:
@@ -292,16 +366,33 @@ def _lazy(buf: bytes, base: int, tries: int, favor_decode: bool = False) -> list
         if not n:
             at += 1
             continue
-        while at + 1 <= limit:
-            later, by = chains.longest(at + 1, end, tries, n + 1)
-            if not later:
+        first, second = (at, offset, n), None
+        while True:
+            last = second or first
+            place = last[0] + last[2] - 2
+            third = chains.wider(place, last[0] + 1, end, tries, last[2]) if place <= limit else None
+            if third and third[0] > limit:
+                third = None
+            if not third:
                 break
-            at, n, offset = at + 1, later, by
-        found.append((at, offset, n))
-        at += n
+            if second is None:
+                first, second = (third, None) if third[0] - first[0] < LEAST_MATCH else (first, third)
+            elif third[0] - second[0] < LEAST_MATCH:
+                second = third
+            else:
+                found.append(_cut(first, second[0]))
+                first, second = second, third
+        found.append(_cut(first, second[0]) if second else first)
+        if second:
+            found.append(second)
+        at = found[-1][0] + found[-1][2]
     return found
 
 
+def _cut(match: tuple[int, int, int], before: int) -> tuple[int, int, int]:
+    return match[0], match[1], min(match[2], before - match[0])
+
+
 def literals_price(n: int) -> int:
     """Bytes that a run of n literals takes, without its token."""
     return n + (1 + (n - 15) // 255 if n >= 15 else 0)
@@ -350,17 +441,34 @@ def _optimal(buf: bytes, base: int, tries: int, favor_decode: bool = False) -> l
 
 
 def tries_of(level: int) -> tuple[str, int]:
-    """Strategy and number of places searched of a level: 0 and below greedy, 1-2 short, 3-9 lazy, 10-12 optimal; above 12 is 12."""
+    """Strategy and number of places searched of a level: 0 and below greedy, 1-2 two distances, 3-9 overlapping, 10-12 optimal; above 12 is 12."""
     level = min(level, MOST_LEVEL)
     if level < 1:
         return "fast", 1
     if level < 3:
-        return "lazy", 2
+        return "mid", 2
     if level < 10:
-        return "lazy", 1 << (level - 1)
+        return "overlapping", 1 << (level - 1)
     return "optimal", {10: 96, 11: 512, 12: 16384}[level]
 
 
+def _matches(buf: bytes, base: int, acceleration: int, level: int, favor_decode: bool) -> list[tuple[int, int, int]]:
+    """Matches (position, offset, length) of buf from base on, by the level's strategy."""
+    if level < 0:
+        level, acceleration = 0, 1 - level
+    if len(buf) - base <= MATCH_LIMIT:
+        return []
+    kind, tries = tries_of(level)
+    if kind == "fast":
+        return _fast(buf, base, min(max(1, acceleration), MOST_ACCELERATION))
+    if kind == "mid":
+        found = _mid(buf, base)
+    else:
+        found = (_overlapping if kind == "overlapping" else _optimal)(buf, base, tries, favor_decode)
+    # A match that was grown or cut after it was chosen may again be of a kind that is slow to decode.
+    return [(at, by, 18 if 19 <= n <= 36 else n) for at, by, n in found if by >= 8] if favor_decode else found
+
+
 def encode(data: bytes, acceleration: int = 1, level: int = 0, history: bytes = b"", favor_decode: bool = False) -> bytes:
     """A compressed block of data, whose matches may reach into the last 64 KB of history.
 
@@ -370,38 +478,39 @@ def encode(data: bytes, acceleration: int = 1, level: int = 0, history: bytes =
     """
     if len(data) > MOST_INPUT:
         raise ValueError("too much input for a block")
-    if level < 0:
-        level, acceleration = 0, 1 - level
     history = history[-HISTORY:]
     buf, base = history + data, len(history)
-    if len(data) <= MATCH_LIMIT:
-        return _write(buf, base, [])
-    kind, tries = tries_of(level)
-    if kind == "fast":
-        found = _fast(buf, base, min(max(1, acceleration), MOST_ACCELERATION))
-    elif kind == "lazy":
-        found = _lazy(buf, base, tries, favor_decode)
-    else:
-        found = _optimal(buf, base, tries, favor_decode)
-    return _write(buf, base, found)
+    return _write(buf, base, _matches(buf, base, acceleration, level, favor_decode))
+
 
+def _fitting_literals(room: int) -> int:
+    """The longest run of literals that takes at most `room` bytes, without its token."""
+    if room < 16:
+        return min(room, 14) if room > 0 else 0
+    n = room - 1 - (room - 16) // 256
+    return n if literals_price(n) <= room else n - 1
 
-def encode_into(data: bytes, room: int, acceleration: int = 1, level: int = 0) -> tuple[bytes, int]:
-    """(block of at most `room` bytes, how much of data it holds): the longest beginning that a halving search finds."""
+
+def encode_into(data: bytes, room: int, acceleration: int = 1, level: int = 0, history: bytes = b"") -> tuple[bytes, int]:
+    """(block of at most `room` bytes, how much of data it holds): as many sequences of one parse as fit, and literals to fill up."""
     if room < 1:
         raise ValueError("a block takes a byte at least")
-    whole = encode(data, acceleration, level)
-    if len(whole) <= room:
-        return whole, len(data)
-    lo, hi, best = 0, len(data) - 1, encode(b"")
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        block = encode(data[:mid], acceleration, level)
-        if len(block) <= room:
-            lo, best = mid, block
-        else:
-            hi = mid - 1
-    return best, lo
+    history = history[-HISTORY:]
+    buf, base = history + data, len(history)
+    found = _matches(buf, base, acceleration, level, False)
+    ends, sizes, at = [base], [0], base
+    for start, _, n in found:
+        sizes.append(sizes[-1] + sequence_price(start - at, n))
+        at = start + n
+        ends.append(at)
+    for k in range(len(found), -1, -1):
+        left = room - sizes[k] - 1
+        if left < 0:
+            continue
+        stop = min(len(buf), ends[k] + _fitting_literals(left))
+        if not k or stop - ends[k] >= LAST_LITERALS and stop - found[k - 1][0] >= MATCH_LIMIT:
+            return _write(buf[:stop], base, found[:k]), stop - base
+    raise AssertionError("no sequence always fits")
 
 
 def zero_runs(data: bytes, least: int = 8) -> list[tuple[int, int]]:
@@ -411,9 +520,9 @@ def zero_runs(data: bytes, least: int = 8) -> list[tuple[int, int]]:
     return [(m.start(), m.end() - m.start()) for m in re.finditer(rb"\x00{%d,}" % max(1, least), data)]
 
 
-def pack_messages(messages: list[bytes], width: int = 4, level: int = 0, linked: bool = True) -> bytes:
-    """Messages as blocks behind their little-endian lengths of `width` bytes, each with those before as history if linked."""
-    out, history = bytearray(), b""
+def pack_messages(messages: list[bytes], width: int = 4, level: int = 0, linked: bool = True, dictionary: bytes = b"") -> bytes:
+    """Messages as blocks behind their little-endian lengths of `width` bytes, each with those before as history if linked, the dictionary before all."""
+    out, history = bytearray(), dictionary[-HISTORY:]
     for m in messages:
         packed = encode(m, level=level, history=history)
         out += len(packed).to_bytes(width, "little") + packed
@@ -422,9 +531,9 @@ def pack_messages(messages: list[bytes], width: int = 4, level: int = 0, linked:
     return bytes(out)
 
 
-def unpack_messages(data: bytes, width: int = 4, linked: bool = True) -> list[bytes]:
+def unpack_messages(data: bytes, width: int = 4, linked: bool = True, dictionary: bytes = b"") -> list[bytes]:
     """The messages of pack_messages."""
-    found, history, at = [], b"", 0
+    found, history, at = [], dictionary[-HISTORY:], 0
     while at < len(data):
         n = int.from_bytes(data[at : at + width], "little")
         if at + width + n > len(data):

@@ -21,6 +21,8 @@ SKIPPABLE = 0x184D2A50
 LEGACY = 0x184C2102
 LEGACY_BLOCK = 8 << 20
 BLOCK_SIZES = {4: 64 << 10, 5: 256 << 10, 6: 1 << 20, 7: 4 << 20}
+LEAST_BLOCK, MOST_BLOCK = 32, 4 << 20
+LEAST_LEVEL, LEAST_LEGACY_LEVEL = 2, 3  # below, frames are greedy
 STORED = 0x80000000
 
 
@@ -36,7 +38,8 @@ class FrameError(ValueError):
 class Options:
     """How frames are written. The defaults are those of the command line: 4 MB independent blocks, a content checksum.
 
-    store keeps every block as it is.
+    block_size cuts blocks of any size from 32 bytes to 4 MB, beyond which it is clamped; the header then names the smallest id that
+    holds it. Levels 0 and 1 are greedy. store keeps every block as it is.
     """
 
     block_id: int = 7
@@ -49,6 +52,18 @@ class Options:
     acceleration: int = 1
     favor_decode: bool = False
     store: bool = False
+    block_size: int | None = None
+
+    @property
+    def cut(self) -> int:
+        """Bytes in a block."""
+        return min(max(self.block_size, LEAST_BLOCK), MOST_BLOCK) if self.block_size else BLOCK_SIZES[self.block_id]
+
+    def fitted(self, n: int) -> "Options":
+        """These options for n bytes: the id shrinks to the custom size, and to what the data need; a single block is independent."""
+        most = fitting_id(self.cut) if self.block_size else self.block_id
+        own = replace(self, block_id=fitting_id(n, most))
+        return replace(own, independent=True) if n <= own.cut else own
 
 
 @dataclass
@@ -97,11 +112,12 @@ def header(options: Options, size: int | None) -> bytes:
 
 def encode_blocks(data: bytes, options: Options, history: bytes = b"") -> bytes:
     """The block words of data; `history` is what precedes it in a linked frame, or a dictionary."""
-    size, out = BLOCK_SIZES[options.block_id], bytearray()
+    size, out = options.cut, bytearray()
+    level = options.level if not 0 <= options.level < LEAST_LEVEL else 0
     for at in range(0, len(data), size):
         raw = data[at : at + size]
         before = history if options.independent else (history + data[:at])[-codec.HISTORY :]
-        packed = raw if options.store else codec.encode(raw, options.acceleration, options.level, before, options.favor_decode)
+        packed = raw if options.store else codec.encode(raw, options.acceleration, level, before, options.favor_decode)
         stored = len(packed) >= len(raw)
         packed = raw if stored else packed
         out += (len(packed) | stored << 31).to_bytes(4, "little") + packed
@@ -112,9 +128,9 @@ def encode_blocks(data: bytes, options: Options, history: bytes = b"") -> bytes:
 
 def encode(data: bytes, options: Options = Options(), dictionary: bytes = b"") -> bytes:
     """One frame. The block size shrinks to what the data need, and a single block is independent."""
-    options = replace(options, block_id=fitting_id(len(data), options.block_id))
-    if len(data) <= BLOCK_SIZES[options.block_id]:
-        options = replace(options, independent=True)
+    if options.block_id not in BLOCK_SIZES:
+        raise FrameError("block_size_invalid")
+    options = options.fitted(len(data))
     return header(options, len(data) if options.content_size else None) + encode_blocks(data, options, dictionary[-codec.HISTORY :]) + ending(data, options)
 
 
@@ -130,7 +146,8 @@ def skippable(data: bytes, number: int = 0) -> bytes:
 
 
 def legacy(data: bytes, level: int = 0) -> bytes:
-    """A legacy frame: each 8 MB block's compressed size, then the block."""
+    """A legacy frame: each 8 MB block's compressed size, then the block. Levels 0 to 2 are greedy."""
+    level = level if not 0 <= level < LEAST_LEGACY_LEVEL else 0
     out = bytearray(LEGACY.to_bytes(4, "little"))
     for at in range(0, len(data), LEGACY_BLOCK):
         packed = codec.encode(data[at : at + LEGACY_BLOCK], level=level)
@@ -182,10 +199,12 @@ def _word(data: bytes, at: int) -> int:
     return int.from_bytes(data[at : at + 4], "little")
 
 
-def _standard(data: bytes, start: int, decode: bool, verify: bool, dictionary: bytes) -> Frame:
-    if start + 7 > len(data):
+def _header(data, start: int) -> tuple[Frame, int]:
+    """A standard frame's header, and where its blocks begin."""
+    head = data[start : start + 19]
+    if len(head) < 7:
         raise FrameError("truncated")
-    flags, sizes = data[start + 4], data[start + 5]
+    flags, sizes = head[4], head[5]
     if flags >> 6 != 1:
         raise FrameError("version_wrong")
     if flags & 2 or sizes & 0x8F:
@@ -193,19 +212,25 @@ def _standard(data: bytes, start: int, decode: bool, verify: bool, dictionary: b
     frame = Frame("standard", start, block_id=sizes >> 4 & 7, independent=bool(flags & 32), block_checksum=bool(flags & 16), content_checksum=bool(flags & 4))
     if frame.block_id not in BLOCK_SIZES:
         raise FrameError("block_size_invalid")
-    at = start + 6
+    at = 6
     if flags & 8:
-        frame.content_size, at = int.from_bytes(data[at : at + 8], "little"), at + 8
+        frame.content_size, at = int.from_bytes(head[at : at + 8], "little"), at + 8
     if flags & 1:
-        frame.dict_id, at = int.from_bytes(data[at : at + 4], "little"), at + 4
-    if at >= len(data):
+        frame.dict_id, at = int.from_bytes(head[at : at + 4], "little"), at + 4
+    if at >= len(head):
         raise FrameError("truncated")
-    if xxhash.xxh32_intdigest(data[start + 4 : at]) >> 8 & 0xFF != data[at]:
+    if xxhash.xxh32_intdigest(head[4:at]) >> 8 & 0xFF != head[at]:
         raise FrameError("header_checksum_invalid")
-    at += 1
-    frame.header_size = at - start
-    most, out = BLOCK_SIZES[frame.block_id], bytearray()
+    frame.header_size = at + 1
+    return frame, start + at + 1
+
+
+def _standard(data, start: int, decode: bool, verify: bool, dictionary: bytes):
+    """(frame, bytes of a block) for each block, bytes null unless they are decoded; then (frame, None), its end known."""
+    frame, at = _header(data, start)
+    most, whole, size = BLOCK_SIZES[frame.block_id], xxhash.xxh32(), 0
     dictionary = dictionary[-codec.HISTORY :]
+    tail = dictionary
     while word := _word(data, at):
         stored, n, at = bool(word & STORED), word & ~STORED, at + 4
         if n > most:
@@ -213,31 +238,34 @@ def _standard(data: bytes, start: int, decode: bool, verify: bool, dictionary: b
         if at + n > len(data):
             raise FrameError("truncated")
         frame.blocks.append((at, n, stored))
-        raw = data[at : at + n]
+        raw = data[at : at + n] if decode else b""
         at += n
         if frame.block_checksum:
-            if verify and _word(data, at) != xxhash.xxh32_intdigest(raw):
+            if decode and verify and _word(data, at) != xxhash.xxh32_intdigest(raw):
                 raise FrameError("block_checksum_invalid")
             at += 4
         if decode:
-            history = dictionary if frame.independent else (dictionary + bytes(out[-codec.HISTORY :]))[-codec.HISTORY :]
-            out += raw if stored else _block(raw, most, history)
+            raw = raw if stored else _block(raw, most, tail)
+            size += len(raw)
+            if verify and frame.content_checksum:
+                whole.update(raw)
+            if not frame.independent:
+                tail = (tail + raw)[-codec.HISTORY :]
+        yield frame, raw if decode else b""
     at += 4
     if frame.content_checksum:
         told, at = _word(data, at), at + 4
-        if decode and verify and told != xxhash.xxh32_intdigest(bytes(out)):
+        if decode and verify and told != whole.intdigest():
             raise FrameError("content_checksum_invalid")
-    if decode:
-        if frame.content_size is not None and frame.content_size != len(out):
-            raise FrameError("content_size_wrong")
-        frame.payload = bytes(out)
+    if decode and frame.content_size is not None and frame.content_size != size:
+        raise FrameError("content_size_wrong")
     frame.end = at
-    return frame
+    yield frame, None
 
 
-def _legacy(data: bytes, start: int, decode: bool) -> Frame:
-    """Blocks until the end or a word that is a magic or no possible size."""
-    frame, at, out = Frame("legacy", start, magic=LEGACY, header_size=4), start + 4, bytearray()
+def _legacy(data, start: int, decode: bool):
+    """As _standard; blocks until the end or a word that is a magic or no possible size."""
+    frame, at = Frame("legacy", start, magic=LEGACY, header_size=4), start + 4
     while at < len(data):
         n = _word(data, at)
         if n > codec.compress_bound(LEGACY_BLOCK):
@@ -245,18 +273,18 @@ def _legacy(data: bytes, start: int, decode: bool) -> Frame:
         if at + 4 + n > len(data):
             raise FrameError("truncated")
         frame.blocks.append((at + 4, n, False))
-        if decode:
-            out += _block(data[at + 4 : at + 4 + n], LEGACY_BLOCK, b"")
+        yield frame, _block(data[at + 4 : at + 4 + n], LEGACY_BLOCK, b"") if decode else b""
         at += 4 + n
-    frame.end, frame.payload = at, bytes(out) if decode else None
-    return frame
+    frame.end = at
+    yield frame, None
 
 
-def frames(data: bytes, decode: bool = True, verify: bool = True, dictionary: bytes = b"") -> Iterator[Frame]:
-    """The frames of a file in order; without `decode` only headers and block words are looked at.
+def blocks(data, decode: bool = True, verify: bool = True, dictionary: bytes = b"") -> Iterator[tuple[Frame, bytes | None]]:
+    """(frame, bytes) of each block of the frames of a file in order, with (frame, None) at each frame's end.
 
-    Something else at the start, or nothing but it, is a FrameError `unknown_format`; behind a whole frame it is
-    `trailing_garbage`.
+    data is bytes, or anything that has their length and slices, such as a View of a file; without `decode` only headers
+    and block words are looked at. Holds a block, and the 64 KB before it. Something else at the start, or nothing but it, is
+    a FrameError `unknown_format`; behind a whole frame it is `trailing_garbage`.
     """
     at = 0
     while at < len(data):
@@ -264,20 +292,80 @@ def frames(data: bytes, decode: bool = True, verify: bool = True, dictionary: by
             raise FrameError("trailing_garbage" if at else "unknown_format")
         magic = _word(data, at)
         if magic == MAGIC:
-            frame = _standard(data, at, decode, verify, dictionary)
+            found = _standard(data, at, decode, verify, dictionary)
         elif magic & 0xFFFFFFF0 == SKIPPABLE:
             end = at + 8 + _word(data, at + 4)
             if end > len(data):
                 raise FrameError("truncated")
-            frame = Frame("skippable", at, end, header_size=8, magic=magic, payload=b"" if decode else None)
+            found = [(Frame("skippable", at, end, header_size=8, magic=magic), None)]
         elif magic == LEGACY:
-            frame = _legacy(data, at, decode)
+            found = _legacy(data, at, decode)
         else:
             raise FrameError("trailing_garbage" if at else "unknown_format")
-        yield frame
+        for frame, raw in found:
+            yield frame, raw
         at = frame.end
 
 
+def frames(data, decode: bool = True, verify: bool = True, dictionary: bytes = b"") -> Iterator[Frame]:
+    """The frames of a file in order, as blocks() finds them; with `decode` each has its payload."""
+    held = []
+    for frame, raw in blocks(data, decode, verify, dictionary):
+        if raw is not None:
+            held.append(raw)
+        else:
+            frame.payload = b"".join(held) if decode else None
+            held = []
+            yield frame
+
+
+class View:
+    """A file's bytes by range reads: len() and slices, small ones from a piece that is read ahead."""
+
+    def __init__(self, read, size: int, ahead: int = 64 << 10):
+        self.read, self.size, self.ahead = read, size, ahead  # read(position, n)
+        self.first, self.held = 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, b, _ = part.indices(self.size)
+        if b - a > self.ahead:
+            return self.read(a, b - a)
+        if a < self.first or b > self.first + len(self.held):
+            self.first, self.held = a, self.read(a, min(self.ahead, self.size - a))
+        return self.held[a - self.first : b - self.first]
+
+
+class FrameWriter:
+    """Writes one standard frame block by block: holds a block, and the 64 KB before it."""
+
+    def __init__(self, out, options: Options, size: int | None = None, dictionary: bytes = b""):
+        most = fitting_id(options.cut) if options.block_size else options.block_id
+        self.out, self.options, self.tail = out, replace(options, block_id=most), dictionary[-codec.HISTORY :]
+        self.held, self.whole = b"", xxhash.xxh32()
+        out.write(header(self.options, size))
+
+    def add(self, data: bytes) -> None:
+        self.held += data
+        whole = len(self.held) // self.options.cut * self.options.cut
+        if whole:
+            self._blocks(self.held[:whole])
+            self.held = self.held[whole:]
+
+    def _blocks(self, data: bytes) -> None:
+        self.out.write(encode_blocks(data, self.options, self.tail))
+        self.whole.update(data)
+        if not self.options.independent:
+            self.tail = (self.tail + data)[-codec.HISTORY :]
+
+    def close(self) -> None:
+        self._blocks(self.held)
+        self.out.write(bytes(4) + (self.whole.intdigest().to_bytes(4, "little") if self.options.content_checksum else b""))
+        self.out.close()
+
+
 def decode(data: bytes, dictionary: bytes = b"", verify: bool = True, pass_through: bool = False, ignore_garbage: bool = False) -> bytes:
     """The bytes of all frames; with pass_through a file of another format as it is, with ignore_garbage the frames before what is no frame."""
     out = []

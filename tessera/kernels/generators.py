@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Syllables of the word generator.
-SYLLABLES = ("lo", "rem", "ip", "sum", "do", "lor", "sit", "a", "met", "con", "sec", "te", "tur", "ad", "pis", "cing", "e", "lit")
+#: Letters that the words are made from.
+CONSONANTS, VOWELS = "bcdfghjklmnprstvz", "aeiou"
 
 
 def noise(size: int, seed: int = 0, matches: float = 0.5, literals: float | None = None) -> bytes:
@@ -30,11 +30,19 @@ def noise(size: int, seed: int = 0, matches: float = 0.5, literals: float | None
 
 
 def words(size: int, seed: int = 0) -> str:
-    """About `size` characters of sentences of made-up words."""
+    """About `size` characters of sentences of made-up words: syllables of a consonant, a vowel and at times another consonant.
+
+    The seed makes a vocabulary of 400 words, of which early ones are commoner.
+    """
     draw = np.random.default_rng(seed)
+
+    def syllable() -> str:
+        return str(draw.choice(list(CONSONANTS))) + str(draw.choice(list(VOWELS))) + (str(draw.choice(list(CONSONANTS))) if draw.random() < 0.3 else "")
+
+    vocabulary = ["".join(syllable() for _ in range(int(draw.integers(1, 4)))) for _ in range(400)]
     out, length = [], 0
     while length < size:
-        sentence = " ".join("".join(draw.choice(SYLLABLES, int(draw.integers(1, 4)))) for _ in range(int(draw.integers(4, 16))))
+        sentence = " ".join(vocabulary[int(400 * x * x)] for x in draw.random(int(draw.integers(4, 16))))
         out.append(sentence.capitalize() + ".")
         length += len(out[-1]) + 1
     return " ".join(out)[:size]

@@ -86,14 +86,107 @@ def test_filling_a_room():
     assert used == len(raw)
 
 
-def test_levels_and_history_help():
-    raw = generators.words(30_000, 4).encode()
-    sizes = [len(block.encode(raw, level=k)) for k in (-50, 0, 3, 9, 12)]
-    assert sizes == sorted(sizes, reverse=True)
+def _corpus(n):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
+    return "\n".join(t for t in texts if t).encode()[:n]
+
+
+@pytest.mark.parametrize("make", [lambda: generators.words(30_000, 4).encode(), lambda: _corpus(60_000), lambda: generators.noise(30_000, 2, 0.7)])
+def test_levels_and_history_help(make):
+    raw = make()
+    sizes = [len(block.encode(raw, level=k)) for k in (-50, 0, 2, 3, 9, 12)]
+    assert all(a >= b for a, b in zip(sizes, sizes[1:])), sizes
     assert len(block.encode(raw[:2000], history=raw[2000:])) < len(block.encode(raw[:2000]))
     assert block.tries_of(99) == block.tries_of(12) and block.tries_of(-3)[0] == "fast"
 
 
+def test_distances_to_the_last_place_of_some_bytes():
+    raw = generators.noise(3000, 9, 0.7) + b"abababababab" * 3
+    for width in (4, 7):
+        seen, expected = {}, []
+        for i in range(len(raw) - width + 1):
+            expected.append(i - seen[raw[i : i + width]] if raw[i : i + width] in seen else 0)
+            seen[raw[i : i + width]] = i
+        assert block._previous(raw, width)[: len(expected)].tolist() == expected
+
+
+def test_runs_are_found_without_a_search():
+    for period in (b"a", b"ab", b"abcd"):
+        raw = os.urandom(30) + period * 20_000 + b"end of it, and more"
+        assert len(block.encode(raw, level=12)) < 450
+        at = 30 + 4 * len(period)
+        chains = block._Chains(raw, 0)
+        assert chains._run(at, len(raw) - 5)[1] == len(period) and chains._run(20, len(raw) - 5) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc ", max_size=700).map(str.encode), st.integers(1, 300), st.sampled_from((0, 2, 9, 12)))
+def test_any_room_is_kept(raw, room, level):
+    packed, used = block.encode_into(raw, room, level=level, history=b"abc " * 9)
+    assert len(packed) <= room and block.decode(packed, history=b"abc " * 9) == raw[:used]
+    assert used == len(raw) or used >= room - 2 - room // 255
+    found, at = block.sequences(packed), 0
+    for s in found[:-1]:
+        at += len(s.literals)
+        assert at <= used - 12
+        at += s.match_len
+        assert at <= used - 5
+
+
+@pytest.mark.parametrize(("size", "block_id"), [(31, 4), (32, 4), (65535, 4), (65536, 4), (65537, 5), (262144, 5), (262145, 6), (1048576, 6), (1048577, 7), (10485760, 7)])
+def test_custom_block_sizes(size, block_id):
+    """Sizes and ids that the command line's own test expects, too large and too small ones clamped."""
+    cut = min(max(size, 32), 4 << 20)
+    raw = os.urandom(1000) * (2 * cut // 1000 + 2)
+    for independent in (True, False):
+        one = frames.encode(raw, frames.Options(independent=independent, store=True, block_size=size))
+        found = list(frames.frames(one + one))
+        assert len(found) == 2 and all(f.block_id == block_id and f.independent == independent and f.payload == raw for f in found)
+        assert {n for _, n, _ in found[0].blocks[:-1]} == {cut}
+    packed = frames.encode(raw[:5000], frames.Options(independent=False, block_size=size))
+    assert frames.decode(packed) == raw[:5000]
+
+
+def test_low_levels_of_frames_are_greedy():
+    raw = generators.words(20_000, 7).encode()
+    same = [frames.encode(raw, frames.Options(level=k)) for k in (0, 1)]
+    assert same[0] == same[1] != frames.encode(raw, frames.Options(level=2))
+    assert frames.legacy(raw, 2) == frames.legacy(raw) != frames.legacy(raw, 3)
+
+
+@pytest.mark.parametrize("options", [frames.Options(4), frames.Options(4, False, True, True), frames.Options(independent=False, block_size=1000, dict_id=3)])
+def test_frames_block_by_block(options):
+    import io
+
+    class Out(io.BytesIO):
+        def close(self):
+            pass
+
+    raw, asked = generators.words(300_000, 3).encode(), []
+    out = Out()
+    writer = frames.FrameWriter(out, options, len(raw), raw[:500])
+    for at in range(0, len(raw), 777):
+        writer.add(raw[at : at + 777])
+    writer.close()
+    file = out.getvalue() + frames.skippable(b"x" * 100_000) + frames.legacy(raw[:100])
+
+    def read(at, n):
+        asked.append(n)
+        return file[at : at + n]
+
+    view = frames.View(read, len(file), 4096)
+    got = [(f.kind, data) for f, data in frames.blocks(view, dictionary=raw[:500])]
+    assert b"".join(d for k, d in got if k == "standard" and d is not None) == raw and got[-2] == ("legacy", raw[:100])
+    assert max(asked) <= max(options.cut, 4096)
+    assert frames.decode(file, raw[:500]) == raw + raw[:100]
+    asked.clear()
+    heads = [f for f, data in frames.blocks(view, decode=False) if data is None]
+    assert [f.kind for f in heads] == ["standard", "skippable", "legacy"] and max(asked) <= 4096
+    assert frames.decode(frames.encode(b"", options)) == b""
+
+
 def test_prices_are_sizes():
     for n in (0, 1, 14, 15, 16, 269, 270, 271):
         assert block.literals_price(n) == len(block.encode(os.urandom(n))) - 1 if n <= 12 else True
