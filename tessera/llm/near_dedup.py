@@ -287,6 +287,7 @@ def _across(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     label, hub = F.coalesce("label", "vertex"), F.coalesce("pivot_label", "pivot")
     tagged = written(tagged.select("pivot", "vertex", "n_shingles", label.alias("label"), (2 * step + (label == hub).cast("long")).alias("of")), f"{folder}/tagged")
     open_ = tagged.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("pivot")
+    open_ = written(open_, f"{folder}/open")  # a table, so that Spark splits the join where a pivot is hot
     groups = tagged.join(open_.hint("merge"), "pivot", "left_semi").groupBy("pivot", "of").agg(_blocks().alias("blocks"))
     groups = written(groups, f"{folder}/groups")
     if groups.isEmpty():
