@@ -190,31 +190,71 @@ def register(spark: SparkSession) -> None:
         spark.udtf.register(name, F.udtf(handler, returnType=schema))
 
 
+_MOST32 = 0xFFFFFFFF
+# Fixed values of the 32-bit hash.
+_PRIMES32 = (2654435761, 2246822519, 3266489917, 668265263, 374761393)
+
+
+def _with(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _times(x: Column, k: int) -> Column:
+    """x * k modulo 2**32, in halves that fit a long."""
+    return _with(x, lambda v: (v * (k & 0xFFFF) + F.shiftleft((v * (k >> 16)).bitwiseAND(0xFFFF), 16)).bitwiseAND(_MOST32))
+
+
+def _turned(x: Column, by: int) -> Column:
+    return _with(x.bitwiseAND(_MOST32), lambda v: F.shiftleft(v, by).bitwiseAND(_MOST32).bitwiseOR(F.shiftright(v, 32 - by)))
+
+
+def header_checksum(words: Column, last: Column, n: Column) -> Column:
+    """The checksum byte of a header's n = 2, 6, 10 or 14 bytes, by built-in expressions: the second byte of their 32-bit hash.
+
+    words are the little-endian longs of four bytes each, last the two bytes behind them.
+    """
+    p1, p2, p3, p4, p5 = _PRIMES32
+    h = F.aggregate(words, (F.lit(p5) + n.cast("long")).bitwiseAND(_MOST32), lambda h, w: _times(_turned(h + _times(w, p3), 17), p4))
+    h = F.aggregate(last, h, lambda h, w: _times(_turned(h + _times(w, p5), 11), p1))
+
+    def folded(x: Column, by: int) -> Column:
+        return _with(x, lambda v: v.bitwiseXOR(F.shiftright(v, by)))
+
+    h = folded(_times(folded(_times(folded(h, 15), p2), 13), p3), 16)
+    return F.shiftright(h, 8).bitwiseAND(0xFF).cast("int")
+
+
 def header_fields(c) -> Column:
     """struct of a standard frame header's fields and `error`, by built-in functions on its first bytes.
 
-    The checks are those that need no hash: magic, version, reserved bits, block size. content_size is a decimal,
-    as Spark has no unsigned 64-bit numbers.
+    All checks are made that a decoder makes of a header: length, magic, version, reserved bits, block size, checksum. content_size is a
+    decimal, as Spark has no unsigned 64-bit numbers.
     """
     data = F.col(c).cast("binary") if isinstance(c, str) else c.cast("binary")
 
-    def byte(k):
-        return F.conv(F.hex(F.substring(data, F.lit(k + 1), F.lit(1))), 16, 10).cast("int")
-
-    def little(first, n):
-        return F.conv(F.concat(*[F.hex(F.substring(data, F.lit(first + 1) + k if not isinstance(first, Column) else first + 1 + k, F.lit(1))) for k in range(n - 1, -1, -1)]), 16, 10).cast("decimal(20,0)")
+    def at(first, n):
+        """The little-endian number of n bytes from a place on, null behind the end."""
+        place = first if isinstance(first, Column) else F.lit(first)
+        number = F.conv(F.concat(*[F.hex(F.substring(data, place + 1 + k, F.lit(1))) for k in range(n - 1, -1, -1)]), 16, 10)
+        return F.when(F.octet_length(data) >= place + n, number)
 
-    flags, sizes = byte(4), byte(5)
+    flags, sizes = at(4, 1).cast("int"), at(5, 1).cast("int")
     has_size, has_dict = flags.bitwiseAND(8) != 0, flags.bitwiseAND(1) != 0
     block_id = F.shiftright(sizes, 4).bitwiseAND(7)
+    n = 2 + F.when(has_size, 8).otherwise(0) + F.when(has_dict, 4).otherwise(0)
+    told = at(4 + n, 1).cast("int")
+    words = F.slice(F.array(*[F.coalesce(at(4 + k, 4).try_cast("long"), F.lit(0).cast("long")) for k in (0, 4, 8)]), F.lit(1), F.floor(n / 4).cast("int"))
+    checksum = header_checksum(words, F.array(at(2 + n, 1).cast("long"), at(3 + n, 1).cast("long")), n)
     error = (
-        F.when(F.octet_length(data) < 7, "truncated").when(little(0, 4) != frames.MAGIC, "wrong_magic").when(F.shiftright(flags, 6) != 1, "version_wrong")
+        F.when(F.octet_length(data) < 7, "truncated").when(at(0, 4).cast("long") != frames.MAGIC, "wrong_magic").when(F.shiftright(flags, 6) != 1, "version_wrong")
         .when((flags.bitwiseAND(2) != 0) | (sizes.bitwiseAND(0x8F) != 0), "reserved_flag_set").when(block_id < 4, "block_size_invalid")
+        .when(F.octet_length(data) < 5 + n, "truncated").when(told != checksum, "header_checksum_invalid")
     )
     return F.struct(
         error.alias("error"), block_id.alias("block_id"), (flags.bitwiseAND(32) != 0).alias("independent"), (flags.bitwiseAND(16) != 0).alias("block_checksum"),
-        (flags.bitwiseAND(4) != 0).alias("content_checksum"), F.when(has_size, little(6, 8)).alias("content_size"),
-        F.when(has_dict, little(F.when(has_size, 14).otherwise(6), 4).cast("long")).alias("dict_id"),
+        (flags.bitwiseAND(4) != 0).alias("content_checksum"), F.when(has_size, at(6, 8).try_cast("decimal(20,0)")).alias("content_size"),
+        F.when(has_dict, at(F.when(has_size, 14).otherwise(6), 4).try_cast("long")).alias("dict_id"),
     )
 
 

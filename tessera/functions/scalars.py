@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.kernels.block import MOST_INPUT
+from tessera.kernels.block import MOST_INPUT, VERSION
 
 __all__ = [
     "acceleration_of_level", "base_name", "block_label", "block_size_of", "compress_bound", "container_member", "fitting_block_id", "frame_bound",
     "human_size", "in_place_margin", "is_skippable_magic", "literals_price", "megabytes", "mode_of_name", "net_power", "parse_list", "parse_size", "range_bounds",
-    "ratio_pct", "ring_buffer_size", "sequence_price", "split_share", "workers_of", "frequency_point", "last_number", "clamp_block_size",
+    "ratio_pct", "ring_buffer_size", "sequence_price", "split_share", "workers_of", "frequency_point", "last_number", "clamp_block_size", "version_number", "version_string", "hash_version",
 ]
 
 
@@ -78,6 +78,24 @@ def parse_size(text) -> Column:
     return F.when(number != "", F.try_to_number(number, F.lit("999999999999")).cast("long") * F.when(unit == "K", 1024).when(unit == "M", 1048576).otherwise(1))
 
 
+def version_number() -> Column:
+    """The format's version as one number: 100 * 100 * major + 100 * minor + release."""
+    major, minor, release = VERSION
+    return F.lit(10_000 * major + 100 * minor + release)
+
+
+def version_string() -> Column:
+    return F.lit(".".join(map(str, VERSION)))
+
+
+def hash_version() -> Column:
+    """The hashes' version as one number, from the library that computes them."""
+    import xxhash
+
+    major, minor, release = (int(x) for x in xxhash.XXHASH_VERSION.split("."))
+    return F.lit(10_000 * major + 100 * minor + release)
+
+
 def clamp_block_size(n) -> Column:
     """A custom block size: 32 bytes to 4 MB."""
     return F.least(F.greatest(_c(n), F.lit(32)), F.lit(4 << 20))

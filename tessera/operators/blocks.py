@@ -33,11 +33,23 @@ def decode(blocks: DataFrame, dictionary: bytes = b"") -> DataFrame:
     return back.withColumn("ok", F.coalesce(F.col("back") == F.col("raw"), F.lit(False)))
 
 
-def assemble(blocks: DataFrame, keys: list[str], data: str = "raw", order: str = "block_no") -> DataFrame:
-    """One row for each key with its blocks joined in order. A key's blocks meet in one task, so keys are files or documents, not whole corpora."""
-    held = F.sort_array(F.collect_list(F.struct(order, data)))
-    joined = F.aggregate(F.transform(held, lambda x: x[data]), F.lit(b""), lambda a, b: F.concat(a, b))
-    return blocks.groupBy(*keys).agg(joined.alias(data), F.count("*").alias("blocks"))
+def assemble(blocks: DataFrame, keys: list[str], data: str = "raw", order: str = "block_no", whole: bool = True) -> DataFrame:
+    """keys, data, blocks and error: one row for each key with its blocks joined in order.
+
+    Numbers must follow one another, from 0 if the key is to be whole. A missing, repeated or null block gives null data and an
+    error that says so. A key's blocks meet in one task, so keys are files or documents, not whole corpora.
+    """
+    numbers = F.sort_array(F.collect_list(order))
+    joined = blocks.groupBy(*keys).agg(
+        F.expr(f"listagg(`{data}`, X'') WITHIN GROUP (ORDER BY `{order}`)").alias("_data"), numbers.alias("_numbers"), F.count("*").alias("blocks"), F.count(data).alias("_known")
+    )
+    first, n = F.lit(0) if whole else F.col("_numbers")[0], F.size("_numbers")
+    expected = F.transform("_numbers", lambda x, i: x == first + i)
+    error = (
+        F.when((n < F.col("blocks")) | (F.col("_known") < F.col("blocks")), "a null block")
+        .when(F.size(F.array_distinct("_numbers")) < n, "a repeated block").when(~F.forall(expected, lambda x: x), "a missing block")
+    )
+    return joined.withColumn("error", error).select(*keys, F.when(F.col("error").isNull(), F.coalesce("_data", F.lit(b""))).alias(data), "blocks", "error")
 
 
 def offsets(blocks: DataFrame, keys: list[str], size: str, order: str = "block_no") -> DataFrame:
@@ -53,40 +65,43 @@ def covering(blocks: DataFrame, start, length, size: int, number: str = "block_n
 
 
 def read_range(blocks: DataFrame, keys: list[str], start: int, length: int, size: int, dictionary: bytes = b"") -> DataFrame:
-    """Bytes [start, start + length) of each key, decoding only the blocks that hold them."""
+    """Bytes [start, start + length) of each key, decoding only the blocks that hold them; null where one of these can't be decoded."""
     few = covering(blocks, start, length, size).withColumn("raw", block_decode("packed", dictionary=dictionary))
     first = start // size * size
+    few = few.withColumn("block_no", F.col("block_no") - F.lit(start // size))
     return assemble(few, keys).select(*keys, F.expr(f"substring(raw, {start - first + 1}, {length})").alias("slice"))
 
 
-def linked_streams(df: DataFrame, key: str, order: str, data: str, level: int = 0, window: int = block.HISTORY) -> DataFrame:
-    """Each key's messages, in order, packed with up to 64 KB of the messages before as history: key, order, packed, raw_size.
+def linked_streams(df: DataFrame, key: str, order: str, data: str, level: int = 0, window: int = block.HISTORY, dictionary: bytes = b"") -> DataFrame:
+    """Each key's messages, in order, packed with up to 64 KB of the messages before as history: key, order, seq, packed, raw_size.
 
-    The state of a key is its history alone; its messages come sorted and a batch at a time, so a long stream
-    isn't held as a whole. Null messages count as empty.
+    seq numbers a key's messages from 0; it is the order that unlinked_streams needs, also where `order` repeats. A dictionary
+    is what precedes every key's first message. The state of a key is its history alone; its messages come sorted and a batch at a time, so a
+    long stream isn't held as a whole. Null messages count as empty.
     """
     kinds = dict(df.dtypes)
 
     def run(batches):
-        now, history = None, b""
+        now, history, seq = None, b"", 0
         for batch in batches:
-            packed = []
+            packed, numbers = [], []
             for own, message in zip(batch["own_key"], batch["message"]):
                 message = bytes(message)
-                if own != now:
-                    now, history = own, b""
+                if now is None or own != now[0]:
+                    now, history, seq = (own,), dictionary[-window:], 0
                 packed.append(block.encode(message, level=level, history=history))
-                history = (history + message)[-window:]
-            yield pd.DataFrame({"own_key": batch["own_key"], "own_order": batch["own_order"], "packed": packed, "raw_size": [len(m) for m in batch["message"]]})
+                numbers.append(seq)
+                history, seq = (history + message)[-window:], seq + 1
+            yield pd.DataFrame({"own_key": batch["own_key"], "own_order": batch["own_order"], "seq": numbers, "packed": packed, "raw_size": [len(m) for m in batch["message"]]})
 
     rows = df.select(F.col(key).alias("own_key"), F.col(order).alias("own_order"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("message"))
     ordered = rows.repartition("own_key").sortWithinPartitions("own_key", "own_order", "message")
-    out = ordered.mapInPandas(run, f"own_key {kinds[key]}, own_order {kinds[order]}, packed binary, raw_size int")
-    return out.select(F.col("own_key").alias(key), F.col("own_order").alias(order), "packed", "raw_size")
+    out = ordered.mapInPandas(run, f"own_key {kinds[key]}, own_order {kinds[order]}, seq long, packed binary, raw_size int")
+    return out.select(F.col("own_key").alias(key), F.col("own_order").alias(order), "seq", "packed", "raw_size")
 
 
-def unlinked_streams(df: DataFrame, key: str, order: str, window: int = block.HISTORY) -> DataFrame:
-    """The messages of linked_streams' rows: key, order, message."""
+def unlinked_streams(df: DataFrame, key: str, order: str, window: int = block.HISTORY, dictionary: bytes = b"") -> DataFrame:
+    """The messages of linked_streams' rows: key, order, seq, message. Rows may come in any order, and from files."""
     kinds = dict(df.dtypes)
 
     def run(batches):
@@ -94,16 +109,16 @@ def unlinked_streams(df: DataFrame, key: str, order: str, window: int = block.HI
         for batch in batches:
             found = []
             for own, packed in zip(batch["own_key"], batch["packed"]):
-                if own != now:
-                    now, history = own, b""
+                if now is None or own != now[0]:
+                    now, history = (own,), dictionary[-window:]
                 found.append(block.decode(bytes(packed), history=history))
                 history = (history + found[-1])[-window:]
-            yield pd.DataFrame({"own_key": batch["own_key"], "own_order": batch["own_order"], "message": found})
+            yield pd.DataFrame({"own_key": batch["own_key"], "own_order": batch["own_order"], "seq": batch["seq"], "message": found})
 
-    rows = df.select(F.col(key).alias("own_key"), F.col(order).alias("own_order"), "packed", F.monotonically_increasing_id().alias("row"))
-    ordered = rows.repartition("own_key").sortWithinPartitions("own_key", "own_order", "row").drop("row")
-    out = ordered.mapInPandas(run, f"own_key {kinds[key]}, own_order {kinds[order]}, message binary")
-    return out.select(F.col("own_key").alias(key), F.col("own_order").alias(order), "message")
+    rows = df.select(F.col(key).alias("own_key"), F.col(order).alias("own_order"), "seq", "packed")
+    ordered = rows.repartition("own_key").sortWithinPartitions("own_key", "seq")
+    out = ordered.mapInPandas(run, f"own_key {kinds[key]}, own_order {kinds[order]}, seq long, message binary")
+    return out.select(F.col("own_key").alias(key), F.col("own_order").alias(order), "seq", "message")
 
 
 def match_candidates(df: DataFrame, key: str, data: str, size: int = 4) -> DataFrame:
@@ -154,13 +169,13 @@ def fold_hash(blocks: DataFrame, keys: list[str], data: str = "raw", order: str
 
 
 def sequence_rows(df: DataFrame, key: str, packed: str) -> DataFrame:
-    """key, seq_no, lit_len, offset, match_len of every sequence of every block, by Arrow batches."""
+    """key, seq_no, lit_len, offset, match_len of every sequence of every block, by Arrow batches; null blocks have none."""
     kinds = dict(df.dtypes)
 
     def run(batches):
         for batch in batches:
-            out = [(own, s.seq_no, len(s.literals), s.offset, s.match_len) for own, data in zip(batch["own_key"], batch["data"]) for s in block.sequences(bytes(data))]
+            out = [(own, s.seq_no, len(s.literals), s.offset, s.match_len) for own, data in zip(batch["own_key"], batch["data"]) if data is not None for s in block.sequences(bytes(data))]
             yield pd.DataFrame(out, columns=["own_key", "seq_no", "lit_len", "offset", "match_len"]).astype({"offset": "Int32", "match_len": "Int32"})
 
-    rows = df.where(F.col(packed).isNotNull()).select(F.col(key).alias("own_key"), F.col(packed).alias("data"))
+    rows = df.select(F.col(key).alias("own_key"), F.col(packed).alias("data"))  # a filter on nulls would make what an encoder yields twice
     return rows.mapInPandas(run, f"own_key {kinds[key]}, seq_no int, lit_len int, offset int, match_len int").withColumnRenamed("own_key", key)

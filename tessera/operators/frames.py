@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +20,15 @@ def list_frames(files: DataFrame, path: str = "path", content: str = "content")
     """A row for each frame of each file, from headers and block words only.
 
     frame_size counts all of a frame's bytes, its header and checksums among them. content_size is null where the header
-    has none, or 0. A damaged file's last row has its error and no kind.
+    has none, or 0. A damaged file's last row has its error and no kind. Null contents have no rows.
     """
 
     def run(batches):
         for batch in batches:
             out = []
             for name, data in zip(batch["path"], batch["content"]):
+                if data is None:
+                    continue
                 data, n = bytes(data), 0
                 try:
                     for f in frames.frames(data, decode=False):
@@ -34,7 +38,7 @@ def list_frames(files: DataFrame, path: str = "path", content: str = "content")
                     out.append((name, len(data), n, None, None, None, None, None, None, e.code))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"content_size": "Int64", "frame_size": "Int64", "blocks": "Int32", "frame_no": "int32"})
 
-    return files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content")).where("content is not null").mapInPandas(run, ROWS)
+    return files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content")).mapInPandas(run, ROWS)
 
 
 def list_files(listed: DataFrame) -> DataFrame:
@@ -42,8 +46,8 @@ def list_files(listed: DataFrame) -> DataFrame:
 
     uncompressed and ratio are null unless every frame carries its content size.
     """
-    same_kind = F.count_distinct("kind") == 1
-    same_block = (F.count_distinct("block") == 1) & F.bool_and(F.col("kind") == "standard")
+    same_kind = F.min("kind") == F.max("kind")  # one pass and one shuffle, where distinct counts take two
+    same_block = (F.min("block") == F.max("block")) & F.bool_and(F.col("kind") == "standard")
     name = F.min("kind")
     label = F.when(name == "standard", KIND_NAMES["standard"]).when(name == "legacy", KIND_NAMES["legacy"]).otherwise(KIND_NAMES["skippable"])
     whole = F.count_if(F.col("content_size").isNull()) == 0
@@ -69,14 +73,14 @@ def test_files(files: DataFrame, path: str = "path", content: str = "content", d
 def write_files(df: DataFrame, key: str, data: str, options: frames.Options = frames.Options(), chunk: int = 4 << 20) -> DataFrame:
     """One frame for each row: key, content, packed in parallel chunk by chunk and joined in order.
 
-    Chunks of a linked frame get the 64 KB before them as raw history, so that they are packed in parallel too.
+    Chunks of a linked frame get the 64 KB before them as raw history, so that they are packed in parallel too. Null data have no frame.
     """
-    size = frames.BLOCK_SIZES[options.block_id]
-    chunk = max(size, chunk // size * size)
+    own = replace(options, block_id=frames.fitting_id(options.cut)) if options.block_size else options
+    chunk = max(own.cut, chunk // own.cut * own.cut)
 
     def run(batches):
         for batch in batches:
-            packed = [frames.encode_blocks(bytes(raw), options, bytes(tail)) for raw, tail in zip(batch["raw"], batch["tail"])]
+            packed = [frames.encode_blocks(bytes(raw), own, bytes(tail)) for raw, tail in zip(batch["raw"], batch["tail"])]
             yield pd.DataFrame({"own_key": batch["own_key"], "block_no": batch["block_no"], "packed": packed})
 
     raw = F.col(data).cast("binary")
@@ -84,16 +88,15 @@ def write_files(df: DataFrame, key: str, data: str, options: frames.Options = fr
     each = df.where(F.col(data).isNotNull()).select(F.col(key).alias("own_key"), raw.alias("whole"), F.explode(F.sequence(F.lit(0), last)).alias("block_no"))
     at = F.col("block_no") * chunk
     tail = F.substring("whole", F.greatest(at - 65536, F.lit(0)) + 1, F.least(at, F.lit(65536)))
-    pieces = each.select("own_key", "block_no", F.substring("whole", at + 1, F.lit(chunk)).alias("raw"), (F.lit(b"") if options.independent else tail).alias("tail"))
+    pieces = each.select("own_key", "block_no", F.substring("whole", at + 1, F.lit(chunk)).alias("raw"), (F.lit(b"") if own.independent else tail).alias("tail"))
     kind = dict(df.dtypes)[key]
     packed = pieces.repartition("own_key", "block_no").mapInPandas(run, f"own_key {kind}, block_no int, packed binary")
-    held = F.sort_array(F.collect_list(F.struct("block_no", "packed")))
-    joined = packed.groupBy("own_key").agg(F.aggregate(F.transform(held, lambda x: x["packed"]), F.lit(b""), lambda a, b: F.concat(a, b)).alias("body"))
+    joined = packed.groupBy("own_key").agg(F.expr("listagg(packed, X'') WITHIN GROUP (ORDER BY block_no)").alias("body"))
     ends = df.where(F.col(data).isNotNull()).select(F.col(key).alias("own_key"), raw.alias("whole"))
 
     @F.pandas_udf("struct<head: binary, tail: binary>")
     def edges(whole: pd.Series) -> pd.DataFrame:
-        rows = [(frames.header(options, len(w) if options.content_size else None), frames.ending(bytes(w), options)) for w in whole]
+        rows = [(frames.header(own, len(w) if own.content_size else None), frames.ending(bytes(w), own)) for w in whole]
         return pd.DataFrame(rows, columns=["head", "tail"])
 
     both = joined.join(ends.select("own_key", edges("whole").alias("edge")), "own_key")

@@ -26,9 +26,17 @@ def measures(values: Column, prefix: str) -> list[Column]:
     ]
 
 
+MEASURES = ("n", "mean", "median", "stdev", "cv_pct", "ci95_half")
+
+
+def population_stdev(values: Column) -> Column:
+    """The deviation of all values, 0 of one, null of none."""
+    return F.stddev_pop(values)
+
+
 def chosen(primary: Column, fallback: Column, prefix: str) -> list[Column]:
     """measures() of the primary values of a group, or of the fallback's where the group has no primary one."""
-    return [F.when(F.count(primary) > 0, a).otherwise(b).alias(f"{prefix}_{name}") for name, a, b in zip(("n", "mean", "median", "stdev", "cv_pct", "ci95_half"), measures(primary, ""), measures(fallback, ""))]
+    return [F.when(F.count(primary) > 0, a).otherwise(b).alias(f"{prefix}_{name}") for name, a, b in zip(MEASURES, measures(primary, ""), measures(fallback, ""))]
 
 
 #: Columns that make a case of a raw benchmark row.
@@ -48,22 +56,41 @@ def per_file_summary(raw: DataFrame, case: tuple[str, ...] = CASE) -> DataFrame:
         return F.when(rows, F.col(name).try_cast("double"))
 
     verified = F.lower(F.col("verify_ok").cast("string")).isin("true", "yes", "1")
-    manual_rounds = F.count_if(manual)
-    ratio = [F.when(manual_rounds > 0, a).otherwise(b) for a, b in zip(measures(of(manual, "ratio_pct"), ""), measures(of(bench, "ratio_pct"), ""))]
-    names = ("n", "mean", "median", "stdev", "cv_pct", "ci95_half")
-    return raw.groupBy(*case).agg(
+    # Each phase is aggregated once, and what counts is chosen behind the aggregate.
+    aggregated = {
+        "_manual_ratio": of(manual, "ratio_pct"), "_bench_ratio": of(bench, "ratio_pct"),
+        "_manual_comp": of(manual, "manual_comp_kernel_mbs"), "_bench_comp": of(bench, "bench_comp_kernel_mbs"),
+        "_manual_dec": of(manual, "manual_dec_kernel_mbs"), "_bench_dec": of(bench, "bench_dec_kernel_mbs"),
+        "e2e_comp_mbs": of(manual, "manual_comp_no_ocl_mbs"), "e2e_dec_mbs": of(manual, "manual_dec_no_ocl_mbs"),
+    }
+    named = raw.select(*case, "input_bytes", "compressed_bytes", bench.alias("_bench"), manual.alias("_manual"), verified.alias("_verified"), *[c.alias(name) for name, c in aggregated.items()])
+    each = named.groupBy(*case).agg(
         F.min("input_bytes").alias("input_bytes"),
         F.min("compressed_bytes").alias("compressed_bytes"),
-        F.count_if(bench).alias("bench_rounds"),
-        manual_rounds.alias("manual_rounds"),
-        F.coalesce(F.bool_and(F.when(manual, F.coalesce(verified, F.lit(False)))), F.lit(False)).alias("ok"),
-        *[c.alias(f"ratio_pct_{n}") for n, c in zip(names, ratio)],
-        *chosen(of(manual, "manual_comp_kernel_mbs"), of(bench, "bench_comp_kernel_mbs"), "comp_mbs"),
-        *chosen(of(manual, "manual_dec_kernel_mbs"), of(bench, "bench_dec_kernel_mbs"), "dec_mbs"),
-        *measures(of(manual, "manual_comp_no_ocl_mbs"), "e2e_comp_mbs"),
-        *measures(of(manual, "manual_dec_no_ocl_mbs"), "e2e_dec_mbs"),
+        F.count_if("_bench").alias("bench_rounds"),
+        F.count_if("_manual").alias("manual_rounds"),
+        F.coalesce(F.bool_and(F.when(F.col("_manual"), F.coalesce("_verified", F.lit(False)))), F.lit(False)).alias("ok"),
+        *[x for name in aggregated for x in (F.count(name).alias(f"{name}_n"), F.avg(name).alias(f"{name}_mean"), F.median(name).alias(f"{name}_median"), F.stddev_samp(name).alias(f"{name}_spread"))],
     )
 
+    def picked(first: str, second: str | None, use_first: Column, prefix: str) -> list[Column]:
+        def value(name: str) -> Column:
+            return F.when(use_first, F.col(f"{first}_{name}")).otherwise(F.col(f"{second}_{name}")) if second else F.col(f"{first}_{name}")
+
+        n, mean = value("n"), value("mean")
+        spread = F.when(n == 1, F.lit(0.0)).otherwise(value("spread"))
+        cv = F.when(mean == 0, F.lit(0.0)).otherwise(100.0 * spread / mean)
+        return [c.alias(f"{prefix}_{name}") for name, c in zip(MEASURES, (n, mean, value("median"), spread, cv, 1.96 * spread / F.sqrt(n.cast("double"))))]
+
+    return each.select(
+        *case, "input_bytes", "compressed_bytes", "bench_rounds", "manual_rounds", "ok",
+        *picked("_manual_ratio", "_bench_ratio", F.col("manual_rounds") > 0, "ratio_pct"),
+        *picked("_manual_comp", "_bench_comp", F.col("_manual_comp_n") > 0, "comp_mbs"),
+        *picked("_manual_dec", "_bench_dec", F.col("_manual_dec_n") > 0, "dec_mbs"),
+        *picked("e2e_comp_mbs", None, F.lit(True), "e2e_comp_mbs"),
+        *picked("e2e_dec_mbs", None, F.lit(True), "e2e_dec_mbs"),
+    )
+
 
 def aggregate_summary(per_file: DataFrame, case: tuple[str, ...] = CASE[1:], metrics: tuple[str, ...] = ("ratio_pct", "comp_mbs", "dec_mbs", "e2e_comp_mbs", "e2e_dec_mbs")) -> DataFrame:
     """A row for each configuration over its files: samples, verify_all, and median and mean of the files' medians."""
@@ -109,13 +136,15 @@ def compare_modes(df: DataFrame, keys: list[str], mode: str, first: str, second:
 
 
 def best_by(df: DataFrame, keys: list[str], metric: str, config: list[str]) -> DataFrame:
-    """A row for each key: its number of rows, the best value of the metric, and the configuration that has it (the least one of equals)."""
-    settings = F.struct(*[F.col(c) for c in config])
-    top = F.max(F.col(metric))
-    best = df.groupBy(*keys).agg(F.count("*").alias("configs"), top.alias(f"best_{metric}"))
-    own = df.join(best.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(f"best_{metric}").alias("_top")), [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(metric) == F.col("_top")], "left_semi")
-    named = own.groupBy(*keys).agg(F.min(settings).alias("own"))
-    return best.join(named, keys, "left").select(*keys, "configs", f"best_{metric}", *[F.col(f"own.{c}").alias(f"best_{c}") for c in config])
+    """A row for each key: its number of rows, the best value of the metric, and the configuration that has it (the least one of equals).
+
+    One aggregate and one shuffle, combined before it: the least of (worse value, configuration). Null metrics are the worst, and
+    name no configuration.
+    """
+    known = F.col(metric).isNotNull()
+    least = F.min(F.when(known, F.struct((-F.col(metric)).alias("_less"), *[F.col(c) for c in config])))
+    best = df.groupBy(*keys).agg(F.count("*").alias("configs"), F.max(metric).alias(f"best_{metric}"), least.alias("own"))
+    return best.select(*keys, "configs", f"best_{metric}", *[F.col(f"own.{c}").alias(f"best_{c}") for c in config])
 
 
 def top(df: DataFrame, metric: str, n: int, ties: list[str], ascending: bool = False) -> DataFrame:
@@ -125,12 +154,40 @@ def top(df: DataFrame, metric: str, n: int, ties: list[str], ascending: bool = F
     return few.withColumn("place", F.row_number().over(W.orderBy(order, *ties)))
 
 
-def top_by(df: DataFrame, keys: list[str], metric: str, n: int, ties: list[str]) -> DataFrame:
+def top_by(df: DataFrame, keys: list[str], metric: str, n: int, ties: list[str], ascending: bool = False) -> DataFrame:
     """top() within each key."""
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(metric).desc(), *ties))
+    order = F.col(metric).asc() if ascending else F.col(metric).desc()
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(order, *ties))
     return df.where(F.col(metric).isNotNull()).withColumn("place", place).where(F.col("place") <= n)
 
 
+def exact_medians(df: DataFrame, keys: list[str], value: str, folder: str) -> DataFrame:
+    """keys, n and the exact median of the values that aren't null, for groups of any size.
+
+    F.median holds a map of all distinct values of a group in one task. Here distinct values are counted before they are shuffled, dealt
+    by ranges of (key, value) and written to `folder`; totals of the ranges say which of them hold a key's middle ranks,
+    and only those are looked into. Null keys are a group like others; keys without a value have n 0 and no median.
+    """
+    spark = df.sparkSession
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(f"{folder}/values")
+    ranged = spark.read.schema(ranged.schema).parquet(f"{folder}/values")
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))  # a row for each key and range
+    w = W.partitionBy(*keys)
+    parts = parts.select(*keys, "_part", "_in", (F.sum("_in").over(w.orderBy("_part")) - F.col("_in")).alias("_before"), F.sum("_in").over(w).alias("n"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    middle = parts.where((F.col("_before") < high) & (F.col("_before") + F.col("_in") >= low)).withColumns({"_low": low, "_high": high})
+    joined = ranged.alias("r").join(middle.alias("m"), [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys] + [F.col("r._part") == F.col("m._part")])
+    few = joined.select(*[F.col(f"r.{k}") for k in keys], F.col("m._part").alias("_part"), "_v", "_n", "_before", "_low", "_high", "n")
+    upto = few.withColumn("_upto", F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_part").orderBy("_v")))
+    at = upto.where((F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col("_n") < F.col("_high")))
+    found = at.groupBy(*keys).agg(F.max("n").alias("n"), ((F.min("_v") + F.max("_v")) / 2).alias("median"))
+    everyone = df.select(*keys).distinct()
+    both = everyone.alias("e").join(found.alias("f"), [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "left")
+    return both.select(*[F.col(f"e.{k}") for k in keys], F.coalesce("n", F.lit(0)).cast("long").alias("n"), "median")
+
+
 def dominant(parts: dict[str, str]) -> Column:
     """The name of the largest of the columns {name: column}; of equals the last named; 'other' where none is known."""
     largest = F.greatest(*[F.col(c) for c in parts.values()])

@@ -31,8 +31,19 @@ def work_items(ratios: DataFrame, cpu_points: DataFrame, gpu_points: DataFrame,
 
 
 def split_plan(blocks: DataFrame, keys: list[str], ratio: float, order: str = "block_no") -> DataFrame:
-    """Adds `device`: the first blocks of each key go to the gpu, by the ratio, the others to the cpu."""
+    """Adds `device`: the first blocks of each key go to the gpu, by the ratio, the others to the cpu. One shuffle by key."""
+    from pyspark.sql import Window as W
+
+    from tessera.functions.scalars import split_share
+
+    counted = blocks.withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
+    return counted.withColumn("device", F.when(F.col(order) < split_share("_n", ratio), "gpu").otherwise("cpu")).drop("_n")
+
+
+def split_counts(items: DataFrame, keys: list[str], ratio: float) -> DataFrame:
+    """keys, gpu_blocks and cpu_blocks of split_plan, by arithmetic on the number of rows of each key: no block is made or looked at."""
     from tessera.functions.scalars import split_share
 
-    counts = blocks.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return blocks.join(counts, keys).withColumn("device", F.when(F.col(order) < split_share("_n", ratio), "gpu").otherwise("cpu")).drop("_n")
+    counts = items.groupBy(*keys).agg(F.count("*").alias("_n"))
+    first = split_share("_n", ratio)
+    return counts.select(*keys, first.alias("gpu_blocks"), (F.col("_n") - first).alias("cpu_blocks"))

@@ -15,19 +15,41 @@ def wrapped_delta(start: Column, end: Column, most: float) -> Column:
     return F.when(start.isNull() | end.isNull(), F.lit(0.0)).when(end >= start, end - start).otherwise(fell)
 
 
-def intervals(samples: DataFrame, run: str, ts: str, ties: list[str], counters: dict[str, float], powers: list[str]) -> DataFrame:
-    """A row for each sample but a run's first: run, ts, dt, <counter>_delta and <power>_mean, <power>_area between it and the one before."""
+def intervals(samples: DataFrame, run: str, ts: str, ties: list[str], counters: dict[str, float], powers: list[str], clamped: bool = True) -> DataFrame:
+    """A row for each sample but a run's first: run, ts, dt, <counter>_delta and <power>_mean, <power>_area between it and the one before.
+
+    Mean power is 0 at least if clamped, as in summaries; the difference of two snapshots takes it as it is.
+    """
     w = W.partitionBy(run).orderBy(ts, *ties)
     named = samples.withColumns({f"_{c}": F.lag(c).over(w) for c in [ts, *counters, *powers]} | {"_n": F.row_number().over(w)})
     dt = F.greatest(F.col(ts) - F.col(f"_{ts}"), F.lit(LEAST_SECONDS))
     out = [wrapped_delta(F.col(f"_{c}"), F.col(c), most).alias(f"{c}_delta") for c, most in counters.items()]
     for p in powers:
-        mean = F.greatest((F.col(f"_{p}") + F.col(p)) * 0.5, F.lit(0.0))
+        mean = (F.col(f"_{p}") + F.col(p)) * 0.5
+        mean = F.greatest(mean, F.lit(0.0)) if clamped else mean
         mean = F.when(F.col(f"_{p}").isNotNull() & F.col(p).isNotNull(), mean)
         out += [mean.alias(f"{p}_mean"), (mean * dt).alias(f"{p}_area")]
     return named.where("_n > 1").select(run, ts, dt.alias("dt"), *out)
 
 
+def difference(samples: DataFrame, run: str, ts: str, ties: list[str], domains: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """A row for each run: elapsed_s between its first and its last snapshot, and <name>_energy_j of each domain (as in summary()).
+
+    The energy is what the counter has grown by, past its `most` once, else the unclamped mean of both powers over the time; 0 where neither is known
+    at both ends.
+    """
+    at = F.struct(ts, *ties)
+    named = [c for energy, power, _ in domains.values() for c in (energy, power)]
+    ends = samples.groupBy(run).agg(*[f(F.struct(at.alias("at"), ts, *dict.fromkeys(named))).alias(side) for side, f in (("a", F.min), ("b", F.max))])
+    elapsed = F.greatest(F.col(f"b.{ts}") - F.col(f"a.{ts}"), F.lit(LEAST_SECONDS))
+    out = [elapsed.alias("elapsed_s")]
+    for name, (energy, power, most) in domains.items():
+        by_power = (F.col(f"a.{power}") + F.col(f"b.{power}")) * 0.5 * elapsed
+        a, b = F.col(f"a.{energy}"), F.col(f"b.{energy}")
+        out.append(F.when(a.isNotNull() & b.isNotNull(), wrapped_delta(a, b, most)).otherwise(F.coalesce(by_power, F.lit(0.0))).alias(f"{name}_energy_j"))
+    return ends.select(run, *out)
+
+
 def summary(samples: DataFrame, run: str, ts: str, ties: list[str], domains: dict[str, tuple[str, str, float]]) -> DataFrame:
     """A row for each run: samples, elapsed_s, and for each domain {name: (energy, power, counter's most)} energy_j, peak_w and avg_w.
 

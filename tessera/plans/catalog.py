@@ -5,14 +5,20 @@ Each query applies operators to a whole table. Floating results are rounded, as
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera import functions as X
 from tessera.kernels import frames
-from tessera.operators import blocks, stats, sweeps, telemetry
+from tessera.operators import bench, blocks, stats, sweeps, telemetry
 from tessera.operators import frames as files_of
+from tessera.plans.folders import work_folder
 from tessera.plans.spread import spread
+from tessera.sources import dictionary_from, generated, read_results, write_results
+from tessera.sources import register as register_source
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -178,14 +184,99 @@ def passed_through(table):
 
 @query("SELECT item_id, md5(text) AS back_md5, true AS smaller FROM benchmark")
 def dictionary_roundtrip(table):
-    """Items packed with a dictionary that holds their own words are smaller than without."""
+    """Items packed with the last 64 KB of all items as dictionary are no larger than without."""
     rows = table("benchmark")
-    words = bytes(rows.agg(F.encode(F.concat_ws("\n", F.sort_array(F.collect_list("text"))), "UTF-8").alias("d")).first()["d"])[:65536]
+    words = dictionary_from(rows, "text", "item_id")
     data = F.encode("text", "UTF-8")
     packed = rows.select("item_id", X.block_encode(data, dictionary=words).alias("with"), X.block_encode(data).alias("without"))
     return packed.select("item_id", F.md5(X.block_decode("with", dictionary=words, strict=True)).alias("back_md5"), (F.octet_length("with") <= F.octet_length("without")).alias("smaller"))
 
 
+@query("SELECT item_id, md5(text) AS back_md5, CAST(77 AS BIGINT) AS dict_id FROM benchmark")
+def dictionary_frames(table):
+    """Items as linked frames that name their dictionary."""
+    rows = table("benchmark")
+    words = dictionary_from(rows, "text", "item_id")
+    packed = rows.select("item_id", X.frame_encode(F.encode("text", "UTF-8"), frames.Options(4, False, True, True, True, 77), words).alias("packed"))
+    return packed.select("item_id", F.md5(X.frame_decode("packed", words, strict=True)).alias("back_md5"), X.header_fields("packed")["dict_id"].alias("dict_id"))
+
+
+@query("SELECT item_id, octet_length(encode(text)) AS n_bytes, true AS ok, true AS no_larger FROM benchmark")
+def optimal_levels(table):
+    """Levels 10 to 12 give the same bytes back, and no more of them than level 9 does."""
+    df = table("benchmark").select("item_id", F.encode("text", "UTF-8").alias("data"))
+    df = df.withColumns({f"l{k}": X.block_encode("data", level=k) for k in (9, 10, 11, 12)})
+    ok = reduce(lambda a, b: a & b, [X.block_decode(f"l{k}") == F.col("data") for k in (10, 11, 12)])
+    no_larger = reduce(lambda a, b: a & b, [F.octet_length(f"l{k}") <= F.octet_length("l9") for k in (10, 11, 12)])
+    return df.select("item_id", F.octet_length("data").alias("n_bytes"), ok.alias("ok"), no_larger.alias("no_larger"))
+
+
+@query("SELECT lang, count(*) AS docs, true AS ok, true AS in_order FROM documents GROUP BY lang")
+def strategies_by_size(table):
+    """The greedy, two-distance and overlapping parses, from the largest result by language to the smallest."""
+    df = table("documents").select("lang", _bytes().alias("data"))
+    df = df.withColumns({f"l{k}": X.block_encode("data", level=k) for k in (0, 2, 5)})
+    ok = reduce(lambda a, b: a & b, [X.block_decode(f"l{k}") == F.col("data") for k in (0, 2, 5)])
+    out = df.groupBy("lang").agg(F.count("*").alias("docs"), F.bool_and(ok).alias("ok"), *[F.sum(F.octet_length(f"l{k}")).alias(f"s{k}") for k in (0, 2, 5)])
+    return out.select("lang", "docs", "ok", ((F.col("s0") >= F.col("s2")) & (F.col("s2") >= F.col("s5"))).alias("in_order"))
+
+
+@query("SELECT doc_id, true AS fits, true AS same, octet_length(encode(coalesce(text, ''))) <= 300 AS whole FROM documents WHERE octet_length(encode(coalesce(text, ''))) <= 300 OR octet_length(encode(coalesce(text, ''))) > 20000")
+def filled_rooms(table):
+    """As much of a text as fits 310 bytes, of short texts, which do, and of long ones, which don't."""
+    n = F.octet_length(_bytes())
+    df = table("documents").where((n <= 300) | (n > 20000)).select("doc_id", _bytes().alias("data"))
+    df = df.withColumn("own", X.block_encode_into("data", 310))
+    back = X.block_decode("own.block", strict=True)
+    return df.select("doc_id", (F.octet_length("own.block") <= 310).alias("fits"), (back == F.substring("data", F.lit(1), F.col("own.consumed").cast("int"))).alias("same"), (F.col("own.consumed") == F.octet_length("data")).alias("whole"))
+
+
+@query("""
+SELECT doc_id, md5(coalesce(text, '')) AS back_md5, CAST((octet_length(encode(coalesce(text, ''))) + 999) // 1000 AS INTEGER) AS blocks FROM documents""")
+def custom_block_frames(table):
+    """Linked frames with blocks of 1000 bytes, and their blocks by the headers alone."""
+    packed = table("documents").select("doc_id", X.frame_encode(_bytes(), frames.Options(independent=False, block_size=1000)).alias("packed"))
+    listed = files_of.list_frames(packed.select(F.col("doc_id").cast("string").alias("path"), F.col("packed").alias("content"))).select(F.col("path").cast("long").alias("doc_id"), "blocks")
+    return packed.select("doc_id", F.md5(X.frame_decode("packed", strict=True)).alias("back_md5")).join(listed, "doc_id")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS back_md5 FROM documents")
+def written_frames(table):
+    """Linked frames whose chunks of 64 KB are packed in parallel and joined."""
+    df = table("documents").select("doc_id", _bytes().alias("data"))
+    packed = files_of.write_files(df, "doc_id", "data", frames.Options(4, False, True, True, True), 65536)
+    return packed.select("doc_id", F.md5(X.frame_decode("content", strict=True)).alias("back_md5"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS m, greatest(1, (octet_length(encode(coalesce(text, ''))) + 499) // 500) AS n FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 1 AND n > 2 OR doc_id % 4 IN (2, 3) THEN NULL ELSE m END AS back_md5,
+  CASE WHEN doc_id % 4 = 1 AND n > 2 THEN 'a missing block' WHEN doc_id % 4 = 2 THEN 'a repeated block' WHEN doc_id % 4 = 3 THEN 'a null block' END AS error FROM d""")
+def blocks_in_order(table):
+    """Blocks joined by number; missing, repeated and null ones are errors."""
+    each = blocks.split(table("documents").select("doc_id", _bytes().alias("data")), "data", 500, ("doc_id",))
+    kind = F.col("doc_id") % 4
+    n = F.count("*").over(W.partitionBy("doc_id"))
+    left = each.withColumn("n", n).where((kind != 1) | (F.col("block_no") != 1) | (F.col("n") <= 2)).drop("n")
+    again = each.where((kind == 2) & (F.col("block_no") == 0))
+    rows = left.unionAll(again).withColumn("raw", F.when((kind == 3) & (F.col("block_no") == 0), F.lit(None)).otherwise(F.col("raw")))
+    return blocks.assemble(rows.repartition("block_no"), ["doc_id"]).select("doc_id", F.md5("raw").alias("back_md5"), "error")
+
+
+@query("SELECT count(*) AS docs, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes, true AS bounded FROM documents WHERE text <> ''")
+def frame_files(table):
+    """Texts written as frame files, a task's as one linked frame block by block, and read back block by block."""
+    df = table("documents").where("text <> ''")
+    spark = df.sparkSession
+    register_source(spark)
+    folder = work_folder(spark, "frame-files")
+    rows = df.select(F.lit("").alias("path"), F.lit(0).alias("frame_no"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("content_size"), _bytes().alias("data"))
+    rows.write.format("tessera_frames").mode("append").option("blockSize", 65536).option("independent", "false").save(folder)
+    back = spark.read.format("tessera_frames").option("rows", "blocks").load(folder)
+    found = back.agg(F.sum(F.octet_length("data")).alias("raw_bytes"), (F.max(F.octet_length("data")) <= 65536).alias("bounded"))
+    return df.agg(F.count("*").alias("docs")).crossJoin(found)
+
+
 @query("""
 SELECT conv_id, count(*) AS messages, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes, true AS ok FROM conversations GROUP BY conv_id""")
 def linked_conversations(table):
@@ -197,6 +288,21 @@ def linked_conversations(table):
     return found.join(told, "conv_id").select("conv_id", "messages", "raw_bytes", (F.col("told") == F.col("found")).alias("ok"))
 
 
+@query("""
+SELECT conv_id, count(*) AS messages, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes, true AS ok FROM conversations GROUP BY conv_id""")
+def linked_with_dictionary(table):
+    """Linked streams at level 9 behind a shared dictionary, all of equal order, written and read back."""
+    rows = table("conversations").select("conv_id", F.lit(0).alias("turn"), "text")
+    words = dictionary_from(table("benchmark"), "text", "item_id")
+    packed = blocks.linked_streams(rows, "conv_id", "turn", "text", level=9, dictionary=words)
+    folder = work_folder(rows.sparkSession, "linked")
+    packed.repartition(3).write.parquet(folder)
+    back = blocks.unlinked_streams(rows.sparkSession.read.schema(packed.schema).parquet(folder), "conv_id", "turn", dictionary=words)
+    told = rows.groupBy("conv_id").agg(F.expr("bit_xor(xxhash64(cast(coalesce(text, '') as binary)))").alias("told"))
+    found = back.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.octet_length("message")).alias("raw_bytes"), F.expr("bit_xor(xxhash64(message))").alias("found"))
+    return found.join(told, "conv_id").select("conv_id", "messages", "raw_bytes", (F.col("told") == F.col("found")).alias("ok"))
+
+
 @query("SELECT doc_id, md5(encode(coalesce(text, ''))[1501:1700]) AS slice_md5 FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 1500")
 def random_access(table):
     """Bytes 1500 to 1700 by decoding only the 1 KB blocks that hold them."""
@@ -240,17 +346,77 @@ def hash32_of_names(table):
     return table("nation").select("n_name", X.xxh32("n_name").alias("hash"))
 
 
-@query()
+def _xxh64_sql() -> str:
+    """64-bit hashes of names of fewer than 32 bytes, in numbers of 128 bits; a step for each part of a name that is there."""
+    # Fixed values of the 64-bit hash.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    most = "18446744073709551616::UHUGEINT"
+
+    def turned(x: str, by: int) -> str:
+        return f"(({x}) * {1 << by}::UHUGEINT % {most} + ({x}) // {1 << (64 - by)}::UHUGEINT)"
+
+    def mixed(a: str, b: str) -> str:
+        return f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+
+    def number(first: str, size: int) -> str:
+        return "(" + " + ".join(f"ascii(n_name[{first} + {k}])::UHUGEINT * {1 << (8 * k)}::UHUGEINT" for k in range(size)) + ")"
+
+    steps = [("s0", f"SELECT n_name, octet_length(encode(n_name)) AS n, 1 AS pos, ({p5}::UHUGEINT + octet_length(encode(n_name))::UHUGEINT) % {most} AS h FROM nation")]
+
+    def step(columns: str) -> None:
+        steps.append((f"s{len(steps)}", f"SELECT {columns} FROM s{len(steps) - 1}"))
+
+    for _ in range(3):
+        there = "n - pos + 1 >= 8"
+        step(f"n_name, n, pos, h, CASE WHEN {there} THEN {number('pos', 8)} * {p2}::UHUGEINT % {most} END AS x")
+        step(f"n_name, n, pos, h, {turned('x', 31)} * {p1}::UHUGEINT % {most} AS x")
+        step(f"n_name, n, pos, h, CASE WHEN x IS NOT NULL THEN {mixed('h', 'x')} END AS x")
+        step(f"n_name, n, CASE WHEN x IS NULL THEN pos ELSE pos + 8 END AS pos, CASE WHEN x IS NULL THEN h ELSE ({turned('x', 27)} * {p1}::UHUGEINT + {p4}::UHUGEINT) % {most} END AS h")
+    step(f"n_name, n, pos, h, CASE WHEN n - pos + 1 >= 4 THEN {mixed('h', number('pos', 4) + f' * {p1}::UHUGEINT % {most}')} END AS x")
+    step(f"n_name, n, CASE WHEN x IS NULL THEN pos ELSE pos + 4 END AS pos, CASE WHEN x IS NULL THEN h ELSE ({turned('x', 23)} * {p2}::UHUGEINT + {p3}::UHUGEINT) % {most} END AS h")
+    for _ in range(3):
+        step(f"n_name, n, pos, h, CASE WHEN pos <= n THEN {mixed('h', number('pos', 1) + f' * {p5}::UHUGEINT % {most}')} END AS x")
+        step(f"n_name, n, CASE WHEN x IS NULL THEN pos ELSE pos + 1 END AS pos, CASE WHEN x IS NULL THEN h ELSE {turned('x', 11)} * {p1}::UHUGEINT % {most} END AS h")
+    step(f"n_name, {mixed('h', f'h // {1 << 33}::UHUGEINT')} * {p2}::UHUGEINT % {most} AS h")
+    step(f"n_name, {mixed('h', f'h // {1 << 29}::UHUGEINT')} * {p3}::UHUGEINT % {most} AS h")
+    step(f"n_name, {mixed('h', f'h // {1 << 32}::UHUGEINT')} AS h")
+    return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in steps) + f" SELECT n_name, CAST(h AS VARCHAR) AS hash FROM s{len(steps) - 1}"
+
+
+_XXH64_SQL = _xxh64_sql()
+
+
+@query(_XXH64_SQL)
+def hash64_of_names(table):
+    """64-bit hashes of names, as unsigned numbers."""
+    signed = X.xxh64("n_name").cast("decimal(20,0)")
+    return table("nation").select("n_name", F.when(signed < 0, signed + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(signed).cast("decimal(20,0)").cast("string").alias("hash"))
+
+
+@query(_XXH64_SQL)
+def hash64_of_pieces(table):
+    """The same hashes folded over ordered pieces of 3 bytes."""
+    pieces = blocks.split(table("nation").select("n_name", F.encode("n_name", "UTF-8").alias("data")), "data", 3, ("n_name",))
+    return blocks.fold_hash(pieces, ["n_name"], bits=64).select("n_name", F.col("hash").cast("string").alias("hash"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
 def hash64_of_documents(table):
-    """64-bit hashes with seeds 0 and 42; the built-in one runs in the JVM."""
-    return table("documents").select("doc_id", X.xxh64(_bytes()).alias("seed_0"), X.xxh64(_bytes(), 42).alias("seed_42"))
+    """With seed 42 the 64-bit hash is the built-in one, which runs in the JVM; held against it, folded over pieces of a document."""
+    rows = table("documents").select("doc_id", _bytes().alias("data"))
+    folded = blocks.fold_hash(blocks.split(rows, "data", 1000, ("doc_id",)), ["doc_id"], bits=64, seed=42)
+    built_in = X.xxh64("data", 42).cast("decimal(20,0)")
+    unsigned = F.when(built_in < 0, built_in + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(built_in)
+    return rows.join(folded, "doc_id").select("doc_id", (unsigned == F.col("hash")).alias("same"))
 
 
-@query()
+@query("SELECT lang, source, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw, true AS smaller, true AS bounded FROM documents GROUP BY lang, source")
 def compressed_sizes(table):
-    """Compressed bytes and ratio by language and source."""
+    """Compressed bytes by language and source: fewer than raw ones, and no block beyond its bound."""
     df = table("documents").select("lang", "source", _bytes().alias("data"), X.block_encode(_bytes()).alias("packed"))
-    return df.groupBy("lang", "source").agg(F.sum(F.octet_length("data")).alias("raw"), F.sum(F.octet_length("packed")).alias("packed")).withColumn("ratio_pct", X.ratio_pct("packed", "raw"))
+    bounded = F.bool_and(F.octet_length("packed") <= X.compress_bound(F.octet_length("data")))
+    out = df.groupBy("lang", "source").agg(F.sum(F.octet_length("data")).alias("raw"), F.sum(F.octet_length("packed")).alias("packed"), bounded.alias("bounded"))
+    return out.select("lang", "source", "raw", (X.ratio_pct("packed", "raw") < 100).alias("smaller"), "bounded")
 
 
 _MEASURES = ("n", "mean", "median", "stdev", "cv_pct", "ci95_half")
@@ -304,6 +470,89 @@ def primary_or_fallback(table):
     return rows.groupBy("sample", "engine", "accel").agg(*stats.chosen(F.col("p"), F.col("f"), "mbs")).select("sample", "engine", "accel", "mbs_n", "mbs_mean", "mbs_median")
 
 
+_RUNS_SQL = """
+SELECT 's' || (l_suppkey % 20) AS sample, CASE l_linestatus WHEN 'O' THEN 'gpu' ELSE 'native_cpu' END AS engine, l_linenumber AS accel,
+  CASE WHEN l_returnflag = 'R' OR l_suppkey % 20 = 7 THEN 'bench' ELSE 'manual' END AS phase, CASE WHEN l_quantity < 2 THEN 'failed' ELSE 'ok' END AS status,
+  l_quantity > 3 OR l_suppkey % 20 > 10 AS verify_ok, l_discount * 100 / 7.0 AS ratio_pct, l_extendedprice / 7.0 AS bench_comp, l_tax / 7.0 AS bench_dec,
+  CASE WHEN l_suppkey % 20 < 5 THEN NULL ELSE l_quantity / 7.0 END AS manual_comp, (l_tax + 1) / 7.0 AS manual_dec, l_quantity / 7.0 AS comp_all, NULL::DOUBLE AS dec_all, l_orderkey AS input_bytes, l_partkey AS compressed_bytes
+FROM lineitem"""
+
+
+def _picked_sql(first: str, second: str | None, use_first: str, prefix: str) -> str:
+    def measured(v: str) -> list[str]:
+        s = f"CASE WHEN count({v}) = 1 THEN 0 ELSE stddev_samp({v}) END"
+        return [f"count({v})", f"avg({v})", f"median({v})", s, f"CASE WHEN avg({v}) = 0 THEN 0 ELSE 100.0 * ({s}) / avg({v}) END", f"1.96 * ({s}) / sqrt(count({v}))"]
+
+    pairs = zip(measured(first), measured(second or first))
+    chosen = [f"CASE WHEN {use_first} THEN {a} ELSE {b} END" for a, b in pairs]
+    return ", ".join(f"{c if name == 'n' else f'round({c}, 6)'} AS {prefix}_{name}" for name, c in zip(_MEASURES, chosen))
+
+
+@query(f"""
+WITH r AS ({_RUNS_SQL}),
+v AS (SELECT *, status = 'ok' AND phase = 'manual' AS m, status = 'ok' AND phase = 'bench' AS b FROM r),
+x AS (SELECT *, CASE WHEN m THEN ratio_pct END AS rm, CASE WHEN b THEN ratio_pct END AS rb, CASE WHEN m THEN manual_comp END AS cm, CASE WHEN b THEN bench_comp END AS cb,
+  CASE WHEN m THEN manual_dec END AS dm, CASE WHEN b THEN bench_dec END AS db, CASE WHEN m THEN comp_all END AS ea, CASE WHEN m THEN dec_all END AS da FROM v)
+SELECT sample, engine, accel, min(input_bytes) AS input_bytes, min(compressed_bytes) AS compressed_bytes, count_if(b)::BIGINT AS bench_rounds, count_if(m)::BIGINT AS manual_rounds,
+  coalesce(bool_and(verify_ok) FILTER (WHERE m), false) AS ok, {_picked_sql('rm', 'rb', 'count_if(m) > 0', 'ratio_pct')}, {_picked_sql('cm', 'cb', 'count(cm) > 0', 'comp_mbs')},
+  {_picked_sql('dm', 'db', 'count(dm) > 0', 'dec_mbs')}, {_picked_sql('ea', None, 'true', 'e2e_comp_mbs')}, {_picked_sql('da', None, 'true', 'e2e_dec_mbs')}
+FROM x GROUP BY sample, engine, accel""")
+def runs_by_file(table):
+    """The summary of raw runs by file and configuration: rounds by phase, verification, and measures that prefer manual rounds."""
+    n = F.col("l_suppkey") % 20
+    raw = table("lineitem").select(
+        F.concat(F.lit("s"), n.cast("string")).alias("sample"), F.when(F.col("l_linestatus") == "O", "gpu").otherwise("native_cpu").alias("engine"), F.col("l_linenumber").alias("accel"),
+        F.when((F.col("l_returnflag") == "R") | (n == 7), "bench").otherwise("manual").alias("phase"), F.when(F.col("l_quantity") < 2, "failed").otherwise("ok").alias("status"),
+        F.when((F.col("l_quantity") > 3) | (n > 10), "True").otherwise("no").alias("verify_ok"), (F.col("l_discount") * 100 / 7.0).alias("ratio_pct"), (F.col("l_extendedprice") / 7.0).alias("bench_comp_kernel_mbs"),
+        (F.col("l_tax") / 7.0).alias("bench_dec_kernel_mbs"), F.when(n >= 5, F.col("l_quantity") / 7.0).alias("manual_comp_kernel_mbs"), ((F.col("l_tax") + 1) / 7.0).alias("manual_dec_kernel_mbs"),
+        (F.col("l_quantity") / 7.0).alias("manual_comp_no_ocl_mbs"), F.lit("NA").alias("manual_dec_no_ocl_mbs"), F.col("l_orderkey").alias("input_bytes"), F.col("l_partkey").alias("compressed_bytes"),
+    )
+    out = stats.per_file_summary(raw, ("sample", "engine", "accel"))
+    return _rounded(out, 6, *[f"{p}_{m}" for p in ("ratio_pct", "comp_mbs", "dec_mbs", "e2e_comp_mbs", "e2e_dec_mbs") for m in _MEASURES[1:]])
+
+
+@query("""
+WITH g AS (SELECT l_suppkey % 50 AS sample, l_linestatus AS mode, count(*) AS runs, min(l_orderkey * 1048576) AS input_bytes, avg(l_extendedprice) AS total, avg(l_quantity) AS kernel, avg(l_tax) AS h2d, avg(l_discount) AS d2h
+  FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)
+SELECT CAST(sample AS BIGINT) AS sample, mode, runs, round(CASE WHEN total > 0 THEN input_bytes / 1048576.0 / (total / 1000.0) END, 6) AS comp_throughput_total, round(CASE WHEN kernel > 0 THEN input_bytes / 1048576.0 / (kernel / 1000.0) END, 6) AS decomp_throughput_kernel,
+  round(100 - 100.0 * kernel / total - 100.0 * h2d / total - 100.0 * d2h / total, 6) AS comp_overhead_pct FROM g""")
+def throughput_by_run(table):
+    """Runs averaged by configuration, and their throughput and shares."""
+    ms = {"comp_total_ms": "l_extendedprice", "comp_kernel_ms": "l_quantity", "comp_h2d_ms": "l_tax", "comp_d2h_ms": "l_discount", "dec_total_ms": "l_extendedprice", "dec_kernel_ms": "l_quantity", "dec_h2d_ms": "l_tax", "dec_d2h_ms": "l_discount"}
+    raw = table("lineitem").select(
+        (F.col("l_suppkey") % 50).alias("sample"), F.col("l_linestatus").alias("mode"), F.when(F.col("l_returnflag") != "R", "OK").otherwise("FAIL").alias("ok"), F.lit(1).alias("run"),
+        (F.col("l_orderkey") * 1048576).alias("input_bytes"), F.lit(1.0).alias("compressed_bytes"), F.lit(1.0).alias("compression_ratio"), *[F.col(c).alias(name) for name, c in ms.items()],
+    )
+    out = stats.throughput(stats.average_runs(raw, ("sample", "mode")))
+    return _rounded(out, 6, "comp_throughput_total", "decomp_throughput_kernel", "comp_overhead_pct").select("sample", "mode", "runs", "comp_throughput_total", "decomp_throughput_kernel", "comp_overhead_pct")
+
+
+@query("""
+WITH g AS (SELECT l_linestatus AS mode, l_suppkey, round(avg(l_extendedprice), 4) AS mbs FROM lineitem GROUP BY ALL),
+b AS (SELECT *, 'best' AS side, row_number() OVER (PARTITION BY mode ORDER BY mbs DESC, l_suppkey) AS place FROM g),
+w AS (SELECT *, 'worst' AS side, row_number() OVER (PARTITION BY mode ORDER BY mbs, l_suppkey) AS place FROM g)
+SELECT mode, side, CAST(place AS INTEGER) AS place, l_suppkey, mbs FROM b WHERE place <= 10 UNION ALL SELECT mode, side, CAST(place AS INTEGER), l_suppkey, mbs FROM w WHERE place <= 10""")
+def top_ten_by_mode(table):
+    """The ten best and the ten worst of each mode."""
+    each = table("lineitem").groupBy(F.col("l_linestatus").alias("mode"), "l_suppkey").agg(F.round(F.avg("l_extendedprice"), 4).alias("mbs"))
+    sides = [stats.top_by(each, ["mode"], "mbs", 10, ["l_suppkey"], worst).withColumn("side", F.lit("worst" if worst else "best")) for worst in (False, True)]
+    return sides[0].unionByName(sides[1]).select("mode", "side", "place", "l_suppkey", "mbs")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, round(median(l_extendedprice), 6) AS median FROM lineitem GROUP BY ALL")
+def medians_of_large_groups(table):
+    """Exact medians of few large groups, by ranges: no task holds a group."""
+    rows = table("lineitem")
+    out = stats.exact_medians(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", work_folder(rows.sparkSession, "medians"))
+    return _rounded(out, 6, "median")
+
+
+@query("SELECT l_linenumber, round(stddev_pop(l_quantity), 6) AS spread FROM lineitem GROUP BY 1")
+def population_spread(table):
+    """Deviations of whole groups."""
+    return _rounded(table("lineitem").groupBy("l_linenumber").agg(stats.population_stdev(F.col("l_quantity")).alias("spread")), 6, "spread")
+
+
 @query("""
 WITH g AS (SELECT l_partkey, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1),
 t AS (SELECT *, 'top' AS side, row_number() OVER (ORDER BY price DESC, l_partkey) AS place FROM g),
@@ -381,6 +630,18 @@ def power_summary(table):
     return _rounded(_rounded(out, 4, "pkg_peak_w", "pkg_avg_w"), 3, "elapsed_s").select("user_id", "samples", "elapsed_s", "pkg_peak_w", "pkg_avg_w")
 
 
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, value, first_value(value) OVER w AS v0, last_value(value) OVER w AS v1, first_value(epoch_us(ts) / 1e6) OVER w AS t0, last_value(epoch_us(ts) / 1e6) OVER w AS t1,
+  row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT user_id, round(greatest(t1 - t0, 1e-9), 3) AS elapsed_s, round(CASE WHEN v1 >= v0 THEN v1 - v0 ELSE 1000.0 - v0 + v1 END, 4) AS cpu_energy_j,
+  round((v0 + v1 - 100) * 0.5 * greatest(t1 - t0, 1e-9), 2) AS gpu_energy_j FROM e WHERE n = 1""")
+def snapshot_difference(table):
+    """Energy between a run's first and last snapshot: by a counter that wraps, and by power as it is, below 0 too."""
+    rows = table("events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), "value", (F.col("value") - 50).alias("power"), F.lit(None).cast("double").alias("none"))
+    out = telemetry.difference(rows, "user_id", "t", ["event_id"], {"cpu": ("value", "none", 1000.0), "gpu": ("none", "power", 0.0)})
+    return _rounded(_rounded(_rounded(out, 3, "elapsed_s"), 4, "cpu_energy_j"), 2, "gpu_energy_j")
+
+
 @query("SELECT user_id, coalesce(min(CASE WHEN value > 0 THEN value END), 0.0) AS idle_w FROM events GROUP BY user_id")
 def idle_power(table):
     return telemetry.idle_power(table("events"), "user_id", "value")
@@ -431,9 +692,60 @@ f AS (SELECT l_orderkey, CASE WHEN blocks < 2 THEN blocks - CAST(floor(blocks *
 SELECT l_orderkey, first AS gpu_blocks, blocks - first AS cpu_blocks FROM f""")
 def device_split(table):
     """Blocks between two devices at a ratio of 0.3, each device getting one at least."""
-    lines = table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    numbered = lines.select("l_orderkey", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("block_no"))
-    return sweeps.split_plan(numbered, ["l_orderkey"], 0.3).groupBy("l_orderkey").agg(F.count_if(F.col("device") == "gpu").alias("gpu_blocks"), F.count_if(F.col("device") == "cpu").alias("cpu_blocks"))
+    return sweeps.split_counts(table("lineitem"), ["l_orderkey"], 0.3)
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS blocks, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS block_no FROM lineitem),
+f AS (SELECT *, CASE WHEN blocks < 2 THEN blocks - CAST(floor(blocks * 0.4 + 0.5) AS BIGINT) ELSE least(greatest(blocks - CAST(floor(blocks * 0.4 + 0.5) AS BIGINT), 1), blocks - 1) END AS first FROM n)
+SELECT l_orderkey, CAST(block_no AS INTEGER) AS block_no, l_linenumber, CASE WHEN block_no < first THEN 'gpu' ELSE 'cpu' END AS device FROM f""")
+def device_plan(table):
+    """Which device gets which block at a ratio of 0.6."""
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    rows = table("lineitem").select("l_orderkey", "l_linenumber", place.alias("block_no"))
+    return sweeps.split_plan(rows, ["l_orderkey"], 0.6).select("l_orderkey", "block_no", "l_linenumber", "device")
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS sample, engine, CAST(accel AS INTEGER) AS accel, CAST(2 AS BIGINT) AS rounds, true AS verify_all, octet_length(encode(text)) AS input_bytes, true AS bounded FROM benchmark, (SELECT unnest(['block', 'frame', 'linked', 'legacy', 'container', 'dictionary']) AS engine), (SELECT unnest([-3, 2, 9]) AS accel)")
+def level_sweep(table):
+    """Each item by each strategy and level, warmed up, twice timed and verified; of the speeds only that there are any."""
+    rows = table("benchmark")
+    raw = bench.sweep(rows, "item_id", "text", bench.strategies(dictionary_from(rows, "text", "item_id")), [-3, 2, 9], rounds=2)
+    bounded = (F.col("compressed_bytes") <= F.col("input_bytes") + F.col("input_bytes") / 255 + 64) & (F.col("comp_mbs_median") > 0) & (F.col("dec_mbs_best") >= F.col("dec_mbs_median"))
+    return bench.summarize(raw).select("sample", "engine", "accel", "rounds", "verify_all", "input_bytes", bounded.alias("bounded"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS sample, function, true AS ok FROM benchmark, (SELECT unnest(['encode_fast', 'encode_fast_accelerated', 'encode_mid', 'encode_high', 'encode_with_history', 'encode_into', 'encode_frame', 'decode', 'decode_partial', 'decode_frame', 'list_frame', 'hash32', 'hash64']) AS function)")
+def function_times(table):
+    """Single functions of the kernels on each item: right, and in measurable time."""
+    timed = bench.time_functions(table("benchmark"), "item_id", "text")
+    return timed.select("sample", "function", (F.col("ok") & (F.col("mbs") > 0)).alias("ok"))
+
+
+@query("""
+SELECT p_partkey, CAST(23 + p_size * 1000 + greatest(ceil(p_size * 1000 / 65536.0), 0) * 8 + 4 AS BIGINT) AS bound, CAST(floor(3 * p_size / 8) AS BIGINT) AS first, CAST(floor(4 * p_size / 8) AS BIGINT) AS last,
+  CASE WHEN p_size % 3 = 0 THEN 'c.bin' ELSE 'b' END AS name, [1, p_size] AS items, round(p_size * 1000 / 1048576.0, 6) AS mb,
+  CAST(least(greatest(p_size, 32), 4194304) AS INTEGER) AS clamped, 11000 AS version, '1.10.0' AS version_name FROM part""")
+def bounds_and_names(table):
+    """Frame bounds, ranges of blocks, base names, lists, megabytes, clamped sizes and versions."""
+    n = F.col("p_size") * 1000
+    path = F.when(F.col("p_size") % 3 == 0, "x\\y\\c.bin").otherwise("a\\x/b")
+    both = X.range_bounds(F.lit(3), F.lit(8), F.col("p_size"))
+    return table("part").select(
+        "p_partkey", X.frame_bound(n, 4, True, True).alias("bound"), both["first"].alias("first"), both["last"].alias("last"), X.base_name(path).alias("name"),
+        X.parse_list(F.concat(F.lit(" 1,, "), F.col("p_size").cast("string"), F.lit(" ,")), "int").alias("items"), F.round(X.megabytes(n), 6).alias("mb"), X.clamp_block_size("p_size").alias("clamped"),
+        X.version_number().alias("version"), X.version_string().alias("version_name"),
+    )
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey / 4.0 END AS ms FROM nation")
+def results_as_csv(table):
+    """Results written as CSV and read back: missing numbers stay missing."""
+    rows = table("nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey") / 4.0).alias("ms"))
+    folder = work_folder(rows.sparkSession, "results")
+    write_results(rows, folder, ["n_nationkey", "n_name", "ms", "lacking"])
+    back = read_results(rows.sparkSession, folder, ["n_nationkey", "ms"])
+    return back.where("lacking is null").select(F.col("n_nationkey").cast(rows.schema["n_nationkey"].dataType).alias("n_nationkey"), "n_name", "ms")
 
 
 @query("SELECT event_id, CAST(value AS DOUBLE) AS last_value, greatest(value - least(10, value * 0.95), 0) AS net_w FROM events WHERE value > 0")
@@ -466,17 +778,18 @@ def frames_in_sql(table):
 
 
 @query("""
-SELECT doc_id, 7 AS block_id, false AS independent, true AS block_checksum, false AS content_checksum, octet_length(encode(coalesce(text, ''))) AS content_size, CAST(77 AS BIGINT) AS dict_id
-FROM documents""")
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'header_checksum_invalid' WHEN doc_id % 5 = 1 THEN 'truncated' END AS error, 4 AS block_id, n <= 1000 AS independent, true AS block_checksum, false AS content_checksum,
+  n AS content_size, CASE WHEN doc_id % 5 <> 1 THEN CAST(77 AS BIGINT) END AS dict_id FROM d""")
 def header_predicates(table):
-    """Header fields by built-in functions."""
-    options = frames.Options(7, False, True, False, True, 77)
-    header = F.lit(frames.header(options, 0)[:6])
-    size = F.lpad(F.hex(F.octet_length(_bytes()).cast("long")), 16, "0")
-    little = F.unhex(F.concat(*[F.substring(size, k, 2) for k in range(15, 0, -2)]))
-    content = F.concat(header, little, F.lit((77).to_bytes(4, "little")), F.lit(b"\0"))
-    fields = table("documents").select("doc_id", X.header_fields(content).alias("h"))
-    return fields.where("h.error IS NULL").select("doc_id", "h.block_id", "h.independent", "h.block_checksum", "h.content_checksum", F.col("h.content_size").cast("long").alias("content_size"), "h.dict_id")
+    """Header fields and checks of frames, some with a damaged or cut header, by built-in functions."""
+    options = frames.Options(7, False, True, False, True, 77, block_size=1000)
+    packed = table("documents").select("doc_id", X.frame_encode(_bytes(), options).alias("packed"))
+    kind, wrong = F.col("doc_id") % 5, F.when(F.expr("substring(packed, 19, 1)") == F.lit(b"\0"), F.lit(b"\1")).otherwise(F.lit(b"\0"))
+    damaged = F.concat(F.substring("packed", F.lit(1), F.lit(18)), wrong, F.expr("substring(packed, 20)"))
+    content = F.when(kind == 0, damaged).when(kind == 1, F.substring("packed", F.lit(1), F.lit(15))).otherwise(F.col("packed"))
+    h = packed.select("doc_id", content.alias("content")).select("doc_id", X.header_fields("content").alias("h"))
+    return h.select("doc_id", "h.error", "h.block_id", "h.independent", "h.block_checksum", "h.content_checksum", F.col("h.content_size").cast("long").alias("content_size"), "h.dict_id")
 
 
 @query(_XXH32_SQL)
@@ -490,13 +803,11 @@ def hash32_of_pieces(table):
 SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes FROM conversations GROUP BY conv_id""")
 def streamed_frames(table):
     """Conversations as a stream into one frame for each key and micro-batch, read back."""
-    import uuid
-
     from tessera.streaming import frame_sink
 
     rows = table("conversations")
     spark = rows.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/tessera-stream').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "stream")
     rows.select("conv_id", "turn", "text").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
     frame_sink(stream, "conv_id", "turn", "text", f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
@@ -504,15 +815,28 @@ def streamed_frames(table):
     return back.groupBy("conv_id").agg(F.sum("messages").alias("messages"), F.sum("n").cast("long").alias("raw_bytes"))
 
 
-@query("SELECT l_orderkey % 100 AS row_id, 3000 AS n_bytes, true AS ok FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 100 GROUP BY ALL")
+@query("""
+SELECT conv_id, count(*) AS messages, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes, count(*) AS numbers FROM conversations GROUP BY conv_id""")
+def streamed_links(table):
+    """Conversations as a stream of linked messages behind a dictionary, its state kept by key, read back."""
+    from tessera.streaming import linked_stream
+
+    rows, words = table("conversations").select("conv_id", "turn", "text"), dictionary_from(table("benchmark"), "text", "item_id")
+    spark = rows.sparkSession
+    folder = work_folder(spark, "links")
+    rows.write.parquet(f"{folder}/in")
+    out = linked_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "conv_id", "turn", "text", dictionary=words)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    back = blocks.unlinked_streams(spark.read.schema(out.schema).parquet(f"{folder}/out"), "conv_id", "turn", dictionary=words)
+    return back.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.octet_length("message")).alias("raw_bytes"), (F.max("seq") + 1).alias("numbers"))
+
+
+@query("SELECT range AS row_id, 3000 AS n_bytes, true AS ok FROM range(100)")
 def generated_noise(table):
     """Seeded noise, packed and unpacked."""
-    from tessera.sources import generated
-
-    keys = table("lineitem").where("l_linenumber = 1 AND l_orderkey < 100").select("l_orderkey").distinct()
-    made = generated(keys.sparkSession, 100, 3000, 0.6)
+    made = generated(table("region").sparkSession, 100, 3000, 0.6)
     ok = X.block_decode(X.block_encode("data")) == F.col("data")
-    return made.join(keys, F.col("row_id") == F.col("l_orderkey"), "left_semi").select("row_id", F.octet_length("data").alias("n_bytes"), ok.alias("ok"))
+    return made.select("row_id", F.octet_length("data").alias("n_bytes"), ok.alias("ok"))
 
 
 def queries() -> dict:

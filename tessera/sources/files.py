@@ -27,6 +27,19 @@ def dictionary_of(spark: SparkSession, path: str) -> bytes:
     return bytes(row["d"]) if row else b""
 
 
+def dictionary_from(df: DataFrame, column: str, order: str) -> bytes:
+    """The last 64 KB of a column's texts joined by line feeds in an order. The driver reads rows from the end until they are full."""
+    cell = F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
+    held: list[bytes] = []
+    size = 0
+    for row in df.orderBy(F.desc(order)).limit(65536).select(cell.alias("c")).toLocalIterator():  # a text takes a line feed at least
+        held.append(bytes(row["c"])[-65536:])
+        size += len(held[-1]) + 1
+        if size > 65536:
+            break
+    return b"\n".join(reversed(held))[-65536:]
+
+
 def read_results(spark: SparkSession, path: str, numeric: list[str]) -> DataFrame:
     """A CSV of results: NA, N/A and empty cells are null, numbers that can't be read too."""
     df = spark.read.option("header", True).csv(path)
@@ -36,6 +49,12 @@ def read_results(spark: SparkSession, path: str, numeric: list[str]) -> DataFram
     return df
 
 
+def write_results(df: DataFrame, path: str, fields: list[str] | None = None) -> None:
+    """Writes rows as CSV with a header, the named fields in order; a field that df lacks, and nulls, are empty cells. read_results reads them back."""
+    named = [F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields or df.columns]
+    df.select(*named).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
 def generated(spark: SparkSession, rows: int, size: int, matches: float = 0.5, seed: int = 0, kind: str = "noise") -> DataFrame:
     """row_id and data of seeded compressible noise, or of words; each row's seed is seed + row_id, so any partitioning gives the same rows."""
     from tessera.kernels import generators

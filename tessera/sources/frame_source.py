@@ -1,7 +1,9 @@
-"""`spark.read.format("tessera_frames")`: blocks of frame files as rows, and a writer of frame files.
+"""`spark.read.format("tessera_frames")`: frame files as rows, and a writer of frame files.
 
-Reading, a file is a partition. Without `data` among the wanted columns (option `payload` = false) only headers
-and block words are read. Writing, each task makes a file of one frame from its rows' `data`.
+Reading, a file is a partition, read by ranges. A row is a frame, or with option `rows` = "blocks" a block: then `frame_no` and `block_no`
+number rows, and a task holds one block and the 64 KB before it, however large a frame is. With option `payload` = false only
+headers and block words are read. Writing, each task makes a file of one frame from its rows' `data`, block by block; with option `contentSize` =
+true, which the header needs before the first block, it holds the data of its rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ class FrameSource(DataSource):
         return "tessera_frames"
 
     def schema(self) -> str:
-        return "path string, frame_no int, kind string, content_size long, data binary"
+        by_block = self.options.get("rows", "frames").lower() == "blocks"
+        return "path string, frame_no int, kind string, content_size long, data binary" + (", block_no int" if by_block else "")
 
     def reader(self, schema) -> "FrameReader":
         return FrameReader(self.options)
@@ -48,6 +51,7 @@ class FilePartition(InputPartition):
 class FrameReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
+        self.by_block = options.get("rows", "frames").lower() == "blocks"
         self.payload = options.get("payload", "true").lower() != "false"
         self.verify = options.get("skipchecksums", options.get("skipChecksums", "false")).lower() != "true"
 
@@ -64,9 +68,18 @@ class FrameReader(DataSourceReader):
     def read(self, partition):
         system, _ = _fs(self.path)
         with system.open_input_file(partition.path) as source:
-            data = source.read()
-        for n, f in enumerate(frames.frames(data, decode=self.payload, verify=self.verify)):
-            yield partition.path, n, f.kind, f.content_size, f.payload
+            view = frames.View(lambda at, n: source.read_at(n, at), source.size())
+            if not self.by_block:
+                for n, f in enumerate(frames.frames(view, decode=self.payload, verify=self.verify)):
+                    yield partition.path, n, f.kind, f.content_size, f.payload
+                return
+            frame_no = block_no = 0
+            for f, data in frames.blocks(view, decode=self.payload, verify=self.verify):
+                if data is None:
+                    frame_no, block_no = frame_no + 1, 0
+                else:
+                    yield partition.path, frame_no, f.kind, f.content_size, data if self.payload else None, block_no
+                    block_no += 1
 
 
 @dataclass
@@ -80,19 +93,27 @@ class FrameWriter(DataSourceWriter):
     def __init__(self, options, overwrite: bool, columns: list[str]):
         self.path, self.overwrite = options["path"], overwrite
         self.data = columns.index("data")
-        self.options = frames.Options(content_size=options.get("contentsize", options.get("contentSize", "true")).lower() == "true", level=int(options.get("level", "0")))
+        given = {k.lower(): v for k, v in options.items()}
+        self.sized = given.get("contentsize", "false").lower() == "true"
+        size = int(given["blocksize"]) if "blocksize" in given else None
+        self.options = frames.Options(content_size=self.sized, level=int(given.get("level", "0")), independent=given.get("independent", "true").lower() == "true", block_size=size)
 
     def write(self, iterator):
         import uuid
 
-        data = b"".join(bytes(row[self.data]) for row in iterator if row[self.data] is not None)
-        if not data:
+        rows = (bytes(row[self.data]) for row in iterator if row[self.data])
+        whole = b"".join(rows) if self.sized else None
+        first = whole if self.sized else next(rows, None)
+        if not first:
             return Written(None)
         system, place = _fs(self.path)
         system.create_dir(place, recursive=True)
         draft = f"{place}/.draft-{uuid.uuid4().hex}"
-        with system.open_output_stream(draft) as out:
-            out.write(frames.encode(data, self.options))
+        writer = frames.FrameWriter(system.open_output_stream(draft), self.options, len(whole) if self.sized else None)
+        writer.add(first)
+        for data in rows:
+            writer.add(data)
+        writer.close()
         return Written(draft)
 
     def commit(self, messages):

@@ -16,8 +16,8 @@ def frame_sink(stream: DataFrame, key: str, order: str, data: str, path: str, ch
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("data"))))
-        joined = batch.groupBy(key).agg(F.aggregate(F.transform(held, lambda x: x["data"]), F.lit(b""), lambda a, b: F.concat(a, b)).alias("whole"), F.count("*").alias("messages"))
+        rows = batch.select(F.col(key), F.col(order).alias("_at"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("_data"))
+        joined = rows.groupBy(key).agg(F.expr("listagg(_data, X'') WITHIN GROUP (ORDER BY _at)").alias("whole"), F.count("*").alias("messages"))
 
         @F.pandas_udf("binary")
         def pack(cells: pd.Series) -> pd.Series:
@@ -30,23 +30,24 @@ def frame_sink(stream: DataFrame, key: str, order: str, data: str, path: str, ch
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def linked_stream(stream: DataFrame, key: str, order: str, data: str, level: int = 0) -> DataFrame:
-    """A stream of key, order, packed and raw_size: each message packed with its key's last 64 KB as history.
+def linked_stream(stream: DataFrame, key: str, order: str, data: str, level: int = 0, dictionary: bytes = b"") -> DataFrame:
+    """A stream of key, order, seq, packed and raw_size: each message packed with its key's last 64 KB as history.
 
-    A key's state is that history. Messages of a micro-batch are taken in `order`; between batches arrival counts.
+    A key's state is that history, at first the dictionary, and the number of its messages, which seq counts. Messages of a micro-batch are taken in `order`; between
+    batches arrival counts. blocks.unlinked_streams reads what a stream has written.
     """
     kinds = dict(stream.dtypes)
 
     def run(own_key, batches, state):
-        history = bytes(state.get[0]) if state.exists else b""
+        history, seq = (bytes(state.get[0]), state.get[1]) if state.exists else (dictionary[-block.HISTORY :], 0)
         rows = pd.concat(list(batches)).sort_values("own_order", kind="stable")
         packed = []
         for message in rows["message"]:
             message = bytes(message)
             packed.append(block.encode(message, level=level, history=history))
             history = (history + message)[-block.HISTORY :]
-        state.update((history,))
-        yield pd.DataFrame({key: own_key[0], order: rows["own_order"].to_numpy(), "packed": packed, "raw_size": [len(m) for m in rows["message"]]})
+        state.update((history, seq + len(packed)))
+        yield pd.DataFrame({key: own_key[0], order: rows["own_order"].to_numpy(), "seq": range(seq, seq + len(packed)), "packed": packed, "raw_size": [len(m) for m in rows["message"]]})
 
     rows = stream.select(key, F.col(order).alias("own_order"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("message"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, packed binary, raw_size int", "history binary", "append", "NoTimeout")
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, seq long, packed binary, raw_size int", "history binary, seq long", "append", "NoTimeout")

@@ -43,3 +43,40 @@ def test_entry_and_guard(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("broken", [None, "raise RuntimeError('broken')", "import lacking_module"])
+def test_the_engine_does_not_need_the_corpus_operators(tmp_path, broken):
+    """A copy without them, or with broken ones, registers the engine's queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if broken:
+        (tmp_path / "tessera" / "llm").mkdir()
+        (tmp_path / "tessera" / "llm" / "__init__.py").write_text("")
+        (tmp_path / "tessera" / "llm" / "queries.py").write_text(broken)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))]
+    assert ("can't be imported" in done.stderr) == bool(broken)
+
+
+def test_no_query_of_the_engine_lacks_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+def test_plans_of_byte_queries(spark):
+    """What an encoder yields is made once, and listings and bests take one shuffle."""
+    tables = {"list_concatenated_files": 1, "sequence_lengths": 1, "list_mixed_files": 1}
+    for name, nodes in tables.items():
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == nodes, (name, plan)
+    plan = catalog.queries()["best_configuration"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1
+    plan = catalog.queries()["device_split"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan

@@ -78,3 +78,24 @@ def test_sql_names(spark, cells):
 def test_scalars(spark, column, want):
     got = spark.range(1).select(column()).first()[0]
     assert got == pytest.approx(want) if isinstance(want, float) else (tuple(got) if isinstance(want, tuple) else got) == want
+
+
+def test_header_checks_are_those_of_the_decoder(spark):
+    """Every header field and check by expressions, against the kernel."""
+    import itertools
+
+    rows = [(b"abc",), (b"abcdefghij",), (b"",)]
+    for sized, name, independent, blocks, content in itertools.product((True, False), (None, 77, 0xFFFFFFF0), (True, False), (True, False), (True, False)):
+        one = frames.encode(b"abc" * 30_000, frames.Options(4, independent, blocks, content, sized, name))
+        size = next(frames.frames(one)).header_size
+        damaged = bytearray(one)
+        damaged[size - 1] ^= 1
+        rows += [(one,), (bytes(damaged),), (one[: size - 1],), (one[:4] + b"\x44" + one[5:],), (one[:5] + b"\x30" + one[6:],), (one[:4] + bytes([one[4] ^ 2]) + one[5:],)]
+    got = spark.createDataFrame([(bytearray(x),) for x, in rows], "c binary").select("c", X.header_fields("c").alias("h")).collect()
+    for r in got:
+        data, told = bytes(r["c"]), r["h"]["error"]
+        try:
+            f = next(frames.frames(data, decode=False))
+            assert told is None and (r["h"]["block_id"], r["h"]["independent"], r["h"]["block_checksum"], r["h"]["content_checksum"], r["h"]["content_size"], r["h"]["dict_id"]) == (f.block_id, f.independent, f.block_checksum, f.content_checksum, f.content_size, f.dict_id)
+        except (frames.FrameError, StopIteration) as e:
+            assert told == ("truncated" if len(data) < 7 else "wrong_magic" if data[:1] == b"a" else e.code)

@@ -21,6 +21,7 @@ def test_blocks_split_pack_and_come_back(docs):
     assert back.where("not ok").count() == 0
     whole = {r["id"]: bytes(r["back"]) for r in blocks.assemble(back, ["id"], "back").collect()}
     assert whole == {r["id"]: bytes(r["data"]) for r in docs.collect() if r["data"] is not None}
+    assert blocks.assemble(back, ["id"], "back").where("error is not null").count() == 0
     placed = blocks.offsets(each, ["id"], "packed_size").where("id = 3").orderBy("block_no").collect()
     assert [r["offset"] for r in placed] == [sum(p["packed_size"] for p in placed[:k]) for k in range(len(placed))]
 
@@ -34,6 +35,30 @@ def test_ranges_read_only_their_blocks(docs):
     assert blocks.covering(packed, 1500, 600, 1000).select("block_no").distinct().count() == 2
 
 
+def test_blocks_out_of_order_are_errors(spark):
+    rows = [("whole", 1, b"b"), ("whole", 0, b"a"), ("gap", 0, b"a"), ("gap", 2, b"c"), ("late", 1, b"b"), ("twice", 0, b"a"), ("twice", 0, b"a"), ("null", 0, None), ("null", 1, b"b"), ("empty", 0, b"")]
+    df = spark.createDataFrame([(k, n, None if d is None else bytearray(d)) for k, n, d in rows], "k string, block_no int, raw binary")
+    got = {r["k"]: (None if r["raw"] is None else bytes(r["raw"]), r["blocks"], r["error"]) for r in blocks.assemble(df, ["k"]).collect()}
+    assert got == {
+        "whole": (b"ab", 2, None), "gap": (None, 2, "a missing block"), "late": (None, 1, "a missing block"), "twice": (None, 2, "a repeated block"), "null": (None, 2, "a null block"), "empty": (b"", 1, None)
+    }
+    assert {r["k"]: r["error"] for r in blocks.assemble(df, ["k"], whole=False).collect()}["late"] is None
+
+
+def test_streams_of_equal_order_survive_files(spark, tmp_path):
+    """With one order for all messages, what was written and read again decodes to the same messages; a dictionary helps."""
+    words = generators.words(3000, 1).encode()
+    rows = [(k, 0, f"{i} {words[50 * i : 50 * i + 300].decode()}") for k in range(3) for i in range(9)]
+    df = spark.createDataFrame(rows, "k int, t int, text string").repartition(4)
+    for level in (0, 2, 9):
+        packed = blocks.linked_streams(df, "k", "t", "text", level=level, dictionary=words)
+        packed.orderBy(F.rand(3)).write.mode("overwrite").parquet(f"{tmp_path}/p{level}")
+        back = blocks.unlinked_streams(spark.read.parquet(f"{tmp_path}/p{level}"), "k", "t", dictionary=words).collect()
+        assert sorted((r["k"], bytes(r["message"]).decode()) for r in back) == sorted((k, x) for k, _, x in rows)
+        plain = blocks.linked_streams(df, "k", "t", "text", level=level)
+        assert packed.agg(F.sum(F.octet_length("packed"))).first()[0] < plain.agg(F.sum(F.octet_length("packed"))).first()[0]
+
+
 def test_linked_streams(spark):
     rows = [(k, t, f"message {t} of {k}: " + "the same words again " * 5) for k in range(4) for t in range(6)] + [(9, 0, None), (9, 1, "")]
     df = spark.createDataFrame(rows, "k int, t int, text string").repartition(5)
@@ -130,6 +155,53 @@ def test_ties(spark):
     assert [r["c"] for r in stats.top(same, "m", 5, ["c"]).orderBy("place").collect()] == [1, 2]
 
 
+def test_exact_medians(spark, tmp_path):
+    import random
+
+    draw = random.Random(2)
+    rows = [(k, draw.choice([None, 1.5, draw.random(), float(draw.randrange(5))])) for k in (1, 1, 1, 2, None) for _ in range(draw.randrange(1, 120))] + [(3, None), (4, 7.0), (5, 1.0), (5, 2.0)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(6)
+    got = {r["k"]: (r["n"], r["median"]) for r in stats.exact_medians(df, ["k"], "v", f"{tmp_path}/m").collect()}
+    for key in (None, 1, 2, 3, 4, 5):
+        values = [v for k, v in rows if k == key and v is not None]
+        assert got[key] == (len(values), pytest.approx(statistics.median(values)) if values else None)
+    assert stats.exact_medians(df.limit(0), ["k"], "v", f"{tmp_path}/none").count() == 0
+
+
+def test_population_deviation(spark):
+    df = spark.createDataFrame([("one", 4.0), ("two", 1.0), ("two", 3.0), ("none", None)], "k string, v double")
+    assert {r["k"]: r["s"] for r in df.groupBy("k").agg(stats.population_stdev(F.col("v")).alias("s")).collect()} == {"one": 0.0, "two": 1.0, "none": None}
+
+
+def test_differences_of_snapshots(spark):
+    rows = [("wrap", 0.0, 90.0, -2.0), ("wrap", 2.0, 10.0, -4.0), ("by_power", 0.0, None, -2.0), ("by_power", 4.0, None, -4.0), ("one", 1.0, 5.0, 3.0), ("none", 0.0, None, None), ("none", 1.0, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "run string, ts double, e double, p double")
+    got = {r["run"]: (r["elapsed_s"], r["cpu_energy_j"]) for r in telemetry.difference(df, "run", "ts", [], {"cpu": ("e", "p", 100.0)}).collect()}
+    assert got["wrap"] == (2.0, 20.0) and got["by_power"] == (4.0, -12.0) and got["none"] == (1.0, 0.0) and got["one"] == (telemetry.LEAST_SECONDS, 0.0)
+    steps = telemetry.intervals(df.where("run = 'wrap'"), "run", "ts", [], {}, ["p"], clamped=False).first()
+    assert (steps["p_mean"], steps["p_area"]) == (-3.0, -6.0)
+
+
+def test_sweeps_time_and_verify(spark):
+    from tessera.operators import bench
+
+    own = bench.strategies(b"hello hello " * 50)
+    own["wrong"] = bench.Strategy("wrong", own["block"].encode, lambda p, n: b"other")
+    own["fails"] = bench.Strategy("fails", own["block"].encode, lambda p, n: block.decode(b""))
+    df = spark.createDataFrame([("a", bytearray(b"hello hello hello " * 100)), ("empty", bytearray()), ("null", None)], "name string, data binary")
+    raw = bench.sweep(df, "name", "data", own, [0, 9], rounds=2)
+    rows = {(r["sample"], r["engine"], r["accel"]): r for r in bench.summarize(raw).collect()}
+    assert len(rows) == 3 * len(own) * 2
+    good = [r for r in rows.values() if r["engine"] not in ("wrong", "fails")]
+    assert all(r["rounds"] == 2 and r["verify_all"] and r["comp_mbs_best"] >= r["comp_mbs_median"] >= 0 for r in good)
+    assert all(not r["verify_all"] and r["rounds"] == 0 for r in rows.values() if r["engine"] in ("wrong", "fails"))
+    assert rows["a", "dictionary", 9]["compressed_bytes"] <= rows["a", "block", 9]["compressed_bytes"]
+    files = stats.per_file_summary(raw.withColumnsRenamed({"comp_mbs": "bench_comp_kernel_mbs", "dec_mbs": "bench_dec_kernel_mbs"}).withColumns({c: F.lit(None).cast("double") for c in ("manual_comp_kernel_mbs", "manual_dec_kernel_mbs", "manual_comp_no_ocl_mbs", "manual_dec_no_ocl_mbs")}), ("sample", "engine", "accel"))
+    assert files.where("sample = 'a' and engine = 'frame' and accel = 0").first()["bench_rounds"] == 2
+    timed = bench.time_functions(df, "name", "data").collect()
+    assert len(timed) == 3 * len(bench.functions(b"x")) and all(r["ok"] for r in timed)
+
+
 def test_telemetry(spark):
     rows = [("w", 0.0, 990.0, 10.0), ("w", 1.0, 5.0, None), ("w", 3.0, 25.0, 30.0), ("one", 5.0, 1.0, 7.0), ("gap", 0.0, None, None), ("gap", 0.0, 3.0, 4.0)]
     df = spark.createDataFrame(rows, "run string, ts double, e double, p double")

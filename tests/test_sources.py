@@ -22,6 +22,36 @@ def test_frame_source(spark, tmp_path):
     assert spark.read.format("tessera_frames").load(folder).count() == 1
 
 
+def test_frames_stream_block_by_block(spark, tmp_path):
+    sources.register(spark)
+    folder, raw = f"file://{tmp_path}/frames", [generators.words(70_000, k).encode() for k in range(4)]
+    df = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(raw)], "id int, data binary").coalesce(1).sortWithinPartitions("id")
+    columns = "'x' AS path", "0 AS frame_no", "'k' AS kind", "0L AS content_size", "data"
+    df.selectExpr(*columns).write.format("tessera_frames").mode("append").option("blockSize", 10_000).option("independent", "false").save(folder)
+    df.selectExpr(*columns).write.format("tessera_frames").mode("append").option("contentSize", "true").save(folder)
+    whole = spark.read.format("tessera_frames").load(folder).collect()
+    assert [bytes(r["data"]) for r in whole] == [b"".join(raw)] * 2 and sorted(r["content_size"] or 0 for r in whole) == [0, 280_000]
+    each = spark.read.format("tessera_frames").option("rows", "blocks").load(folder).where("content_size is null").orderBy("block_no").collect()
+    assert b"".join(bytes(r["data"]) for r in each) == b"".join(raw) and max(len(r["data"]) for r in each) == 10_000 and [r["block_no"] for r in each] == list(range(28))
+    heads = spark.read.format("tessera_frames").option("rows", "blocks").option("payload", "false").load(folder)
+    assert heads.where("data is null").count() == heads.count() == 28 + 1
+
+
+def test_results_come_back(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5, None), ("b, c", None, "x")], "sample string, ms double, note string")
+    sources.write_results(df, f"{tmp_path}/r", ["sample", "ms", "lacking", "note"])
+    assert [line for f in (tmp_path / "r").glob("*.csv") for line in f.read_text().splitlines()][0] == "sample,ms,lacking,note"
+    back = sources.read_results(spark, f"{tmp_path}/r", ["ms"]).orderBy("sample").collect()
+    assert [(r["sample"], r["ms"], r["lacking"], r["note"]) for r in back] == [("a", 1.5, None, None), ("b, c", None, None, "x")]
+
+
+def test_dictionaries_of_columns(spark):
+    df = spark.createDataFrame([(k, "w%d " % k * 2000) for k in range(20)] + [(99, None)], "id int, text string").repartition(3)
+    whole = "\n".join([("w%d " % k * 2000) for k in range(20)] + [""]).encode()
+    assert sources.dictionary_from(df, "text", "id") == whole[-65536:]
+    assert sources.dictionary_from(df.limit(0), "text", "id") == b""
+
+
 def test_a_bad_file_is_an_error(spark, tmp_path):
     sources.register(spark)
     (tmp_path / "bad").write_bytes(frames.encode(b"abc")[:-2])
@@ -73,6 +103,11 @@ def test_linked_streams_keep_state_between_batches(spark, tmp_path, stream):
     query.awaitTermination()
     got = {(r["k"], r["t"]): bytes(r["packed"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(got) == len(rows)
+    from tessera.operators import blocks
+
+    back = blocks.unlinked_streams(spark.read.parquet(f"{tmp_path}/out"), "k", "t").collect()
+    assert {(r["k"], r["t"]): bytes(r["message"]).decode() for r in back} == {(k, t): x for k, t, x in rows}
+    assert sorted((r["k"], r["seq"]) for r in back) == [(k, i) for k in range(3) for i in range(8)]
     text = {(k, t): x.encode() for k, t, x in rows}
     for k in range(3):
         for halves in ((range(4), range(4, 8)), (range(4, 8), range(4))):  # either file may have come first
