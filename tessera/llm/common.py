@@ -2,61 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.folders import hadoop, release, shared_folder, work_folder  # noqa: F401
+
 #: The six characters of ``[\x20\x09-\x0D]``, the only white space of the text contracts.
 SPACES = " \t\n\x0b\x0c\r"
 
-_LOCAL: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests, a notebook on one machine) a temporary folder is made and
-    set; it goes when the process ends.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="tessera-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
-
-
-_MADE: list[tuple] = []
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new, unused folder for one run of an operator; its name is unique, so that reruns never meet.
-
-    Results read from it, so it stays until release(), or the end of the driver's process.
-    """
-    folder = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    if not _MADE:
-        atexit.register(release)
-    _MADE.append(hadoop(spark, folder))
-    return folder
-
-
-def release() -> None:
-    """Deletes the work folders of this process; results that weren't stored elsewhere go with them."""
-    while _MADE:
-        fs, path = _MADE.pop()
-        try:
-            fs.delete(path, True)
-        except Exception:  # the JVM has ended, or the store can't be reached: what is left is the folder's owner's
-            return
-
-
 def written(df: DataFrame, folder: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet and read back: lineage ends in files that outlive executors."""
     df.write.option("compression", codec).parquet(folder)
@@ -76,12 +31,6 @@ def planned_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(text_of(column)).cast("long"))).first()[0] or 0
 
 
-def hadoop(spark: SparkSession, uri: str):
-    """(file system, path) by Hadoop's own API, for the driver's few manifest files."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
 def files_at(uri: str):
     """(Arrow file system, path) for an executor's range reads and writes below the shared folder."""
     from pyarrow import fs
