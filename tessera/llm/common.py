@@ -105,24 +105,37 @@ def sieved(df: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
     return found.select(*df.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
 
 
+def _looked_up(df: DataFrame, told: DataFrame, n: int, id_column: str, own_hash) -> DataFrame:
+    """df's rows as one struct `whole`, with own_id and own_hash, and the columns of the n rows of told (told_id, told_hash, ...) that have both; null where none has.
+
+    told goes to every task if it is few, counted rows, so that texts stay where they are; else texts are shuffled once, by id
+    and hash, which no hot text shares.
+    """
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(id_column).cast("long").alias("own_id"), own_hash.alias("own_hash"))
+    told = F.broadcast(told) if n <= BROADCAST_ROWS else told.hint("merge")
+    return whole.join(told, F.col("own_id").eqNullSafe(F.col("told_id")) & (F.col("own_hash") == F.col("told_hash")), "left")
+
+
 def keep_staying(df: DataFrame, decisions: DataFrame, folder: str, *, id_column: str, text_column: str) -> DataFrame:
     """The rows of df that decisions (doc_id, text_hash, stays; a row for each of df's) let stay, with all their columns.
 
     text_hash is xxhash64 of the text, null counting as empty. Rows that repeat an id and a text are one row. Only
-    what goes or repeats is looked up: it is sent to every task if it is few, counted rows, so that texts stay where they
-    are; else texts are shuffled once, by id and hash, which no hot text shares.
+    what goes or repeats is looked up.
     """
     told = decisions.groupBy("doc_id", "text_hash").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
     told = written(told.select(F.col("doc_id").alias("told_id"), F.col("text_hash").alias("told_hash"), "stays"), folder)
     n, repeats = told.agg(F.count("*"), F.count_if("stays")).first()
-    own = F.col(id_column).cast("long").alias("own_id"), F.xxhash64(text_of(text_column)).alias("own_hash")
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), *own)
-    told = F.broadcast(told) if n <= BROADCAST_ROWS else told.hint("merge")
-    marked = whole.join(told, F.col("own_id").eqNullSafe(F.col("told_id")) & (F.col("own_hash") == F.col("told_hash")), "left")
+    marked = _looked_up(df, told, n, id_column, F.xxhash64(text_of(text_column)))
     out = marked.where("stays is null").select("whole.*")
     return out.unionAll(marked.where("stays").dropDuplicates(["own_id", "own_hash"]).select("whole.*")) if repeats else out
 
 
+def leave_out(df: DataFrame, gone: DataFrame, folder: str, *, id_column: str, own_hash) -> DataFrame:
+    """The rows of df but those of gone (an id, and a hash that own_hash, a column of df, gives too), with all their columns; repeats go or stay together."""
+    told = written(gone.toDF("told_id", "told_hash").distinct().withColumn("gone", F.lit(True)), folder)
+    return _looked_up(df, told, told.count(), id_column, own_hash).where("gone is null").select("whole.*")
+
+
 def in_batches(rows: Iterator[tuple], schema, most_rows: int = 4096, most_bytes: int = 8 << 20, weigh=None) -> Iterator:
     """Arrow batches of a schema from tuples, ended by rows or by bytes (weigh(row))."""
     import pyarrow as pa

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import claim, small_batches, text_of, work_folder, written
+from .common import claim, leave_out, small_batches, text_of, work_folder, written
 from .linear import best_threshold, fit, platt, sigmoid
 
 #: Hash spaces of the views, and the width of both together.
@@ -163,6 +163,10 @@ def _inputs(columns: list[str], text_column: str) -> list:
     return [text, *optional, n_chars]
 
 
+def _hash(columns: list[str], text_column: str):
+    return F.xxhash64(*_inputs(columns, text_column))
+
+
 def _views(cache: Shapes, texts, sources, langs, n_chars) -> np.ndarray:
     """Both views of rows side by side."""
     if len(claim(cache)) > CACHE_ENTRIES:
@@ -198,7 +202,7 @@ def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(df: DataFrame, folder: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """own_id and views (both, packed: a tenth of the text) of every row, a table in `folder`: the one pass over texts."""
+    """own_id, own_hash (of all that the views see) and views (both, packed: a tenth of the text) of every row, a table in `folder`: the one pass over texts."""
     small_batches(df.sparkSession)
 
     def run(batches):
@@ -207,10 +211,11 @@ def features(df: DataFrame, folder: str, *, id_column: str = "doc_id", text_colu
             found = []
             for at in range(0, len(batch), 512):
                 found += _packed(_views(_CACHE, *[c[at : at + 512] for c in columns]))
-            yield pd.DataFrame({"own_id": batch["own_id"], "views": found})
+            yield pd.DataFrame({"own_id": batch["own_id"], "own_hash": batch["own_hash"], "views": found})
 
     inputs = [c.alias(n) for c, n in zip(_inputs(df.columns, text_column), ("text", "source", "lang", "n_chars"))]
-    return written(df.select(F.col(id_column).cast("long").alias("own_id"), *inputs).mapInPandas(run, "own_id long, views binary"), folder)
+    rows = df.select(F.col(id_column).cast("long").alias("own_id"), _hash(df.columns, text_column).alias("own_hash"), *inputs)
+    return written(rows.mapInPandas(run, "own_id long, own_hash long, views binary"), folder)
 
 
 def surest_of(pool: DataFrame, views, counts: tuple[int, int], sure: float = SURE) -> pd.DataFrame:
@@ -297,21 +302,26 @@ def quality(df: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     Texts are read once and never shuffled; features, a tenth as large, are shuffled once, to meet the labels.
     """
     model, made = train(df, labels, id_column=id_column, text_column=text_column, **options)
+    return _decided(model, made).select(F.col("own_id").alias("doc_id"), "own.p_text", "own.p_meta", "own.p_quality", "own.keep")
+
+
+def _decided(model: CoTrained, made: DataFrame) -> DataFrame:
+    """The rows of features() with `own`, a struct of SCORES."""
 
     @F.pandas_udf(SCORES)
     def score(packed: pd.Series) -> pd.DataFrame:
         return _scored(model, _unpacked(packed))
 
-    scored = made.select(F.col("own_id").alias("doc_id"), score("views").alias("own"))
-    return scored.select("doc_id", "own.p_text", "own.p_meta", "own.p_quality", "own.keep")
+    return made.select("own_id", "own_hash", score("views").alias("own"))
 
 
-def keep_good(df: DataFrame, labels: DataFrame, *, text_column: str = "text", **options) -> DataFrame:
+def keep_good(df: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folder: str | None = None, **options) -> DataFrame:
     """The rows of df that are good enough, with all their columns, whatever their names.
 
-    Nulls, empty and very long texts, ties, repeated rows and tables without rows are as in quality(): each row is
-    decided by itself, so repeats stay or go together. Texts are read a second time rather than shuffled.
+    Nulls, empty and very long texts, ties, repeated rows and tables without rows are as in quality(): rows that agree in
+    id, text and metadata stay or go together. Texts reach Python once; what goes is looked up by id and hash.
     """
-    model, _ = train(df, labels, text_column=text_column, **options)
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), scorer(model, df.columns, text_column).alias("own"))
-    return whole.where("own.keep").select("whole.*")
+    folder = folder or work_folder(df.sparkSession, "quality")
+    model, made = train(df, labels, id_column=id_column, text_column=text_column, folder=folder, **options)
+    gone = _decided(model, made).where("not own.keep").select("own_id", "own_hash")
+    return leave_out(df, gone, f"{folder}/gone", id_column=id_column, own_hash=_hash(df.columns, text_column))

@@ -165,6 +165,16 @@ def test_quality_scores_by_brute_force(spark, tables):
             assert row["keep"] == (p > model.threshold) or abs(p - model.threshold) < 1e-4
 
 
+def test_rows_are_kept_by_their_own_scores(spark, tables):
+    """keep_good against the scores of whole rows; one id with several texts or sources, and repeats."""
+    docs, labels = tables
+    odd = docs.where("doc_id < 40").unionByName(docs.where("doc_id between 40 and 80").withColumn("doc_id", F.lit(5).cast("long"))).unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id < 9").withColumns({"source": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("long")}))
+    model, _ = quality.train(odd, labels)
+    want = odd.select("*", quality.scorer(model, odd.columns).alias("own")).where("own.keep").drop("own")
+    got = quality.keep_good(odd, labels)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == odd.columns
+
+
 def test_toxicity_scores_by_brute_force(tables):
     """Scores recomputed from the chain's weights, category after category."""
     docs, labels = tables
