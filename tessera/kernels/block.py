@@ -23,6 +23,10 @@ MOST_ACCELERATION = 65537
 MOST_LEVEL = 12
 VERSION = (1, 10, 0)
 
+#: Compressed bytes between which a block is decoded by arrays, and the most bytes, history among them, that are laid out so.
+ARRAYS_FROM, ARRAYS_TO, ARRAYS_MOST = 200, 1 << 20, 4 << 20
+#: Steps by which matches are made longer for all positions at once; longer ones go on by themselves.
+STEPS = 24
 #: Length from which on a repetition of a few bytes is taken without a further search.
 LONG_RUN = 64
 
@@ -95,6 +99,10 @@ def decode(data: bytes, most: int | None = None, history: bytes = b"", target: i
     at, end = 0, len(data)
     if not end:
         raise BlockError("an empty block", 0)
+    if target is None and ARRAYS_FROM <= end <= ARRAYS_TO:
+        whole = _decode_arrays(data, most if most is not None else MOST_INPUT, history[-HISTORY:])
+        if whole is not None:
+            return whole
     out = bytearray(history[-HISTORY:])
     base = len(out)
     cap = base + (most if most is not None else MOST_INPUT)
@@ -141,6 +149,65 @@ def decode(data: bytes, most: int | None = None, history: bytes = b"", target: i
             out += (period * (n // offset + 1))[:n]
 
 
+def _decode_arrays(data: bytes, most: int, history: bytes) -> bytes | None:
+    """decode() of a whole block by arrays; None if it is damaged, or too large to be laid out, which the caller finds out step by step.
+
+    Every position is read as if a sequence began there, so that the sequences that are there are a chain to follow. Then
+    literals are put in their places at once, and each byte of a match is looked up from byte to byte, doubling the
+    steps, until it is a literal's or the history's.
+    """
+    n = len(data)
+    raw = np.frombuffer(data, np.uint8)
+    d = np.zeros(n + 3, np.int32)
+    d[:n] = raw
+    here = np.arange(n + 3, dtype=np.int32)
+    # Where a length that goes on from a position ends, and what it adds.
+    last = np.minimum.accumulate(np.where(d != 255, here, n + 2)[::-1])[::-1]
+    more = 255 * (last - here) + d[last]
+    token, first = d[:n], here[1 : n + 1]
+    long = token >= 240
+    n_literal = np.where(long, 15 + more[first], token >> 4)
+    literal = np.where(long, last[first] + 1, first)
+    stop = np.minimum(literal.astype(np.int64) + n_literal, n + 1).astype(np.int32)
+    behind = np.minimum(stop + 2, n + 2)
+    long = (token & 15) == 15
+    n_match = LEAST_MATCH + np.where(long, 15 + more[behind], token & 15)
+    following = memoryview(np.ascontiguousarray(np.where(long, last[behind] + 1, behind), np.int32))
+    at, places = 0, []
+    while at < n:
+        places.append(at)
+        at = following[at]
+    chain = np.array(places, np.int32)
+    stops, n_literal, literal, n_match = stop[chain].astype(np.int64), n_literal[chain].astype(np.int64), literal[chain].astype(np.int64), n_match[chain].astype(np.int64)
+    if stops[-1] != n or (stops[:-1] + 2 > n).any():
+        return None
+    n_match[-1] = 0
+    base = len(history)
+    ends = base + np.cumsum(n_literal + n_match)
+    total = int(ends[-1])
+    if total - base > most or total > ARRAYS_MOST:
+        return None
+    starts = ends - n_match  # of matches
+    by = (d[stops[:-1]] | d[stops[:-1] + 1] << 8).astype(np.int64)
+    if (by == 0).any() or (by > starts[:-1]).any():
+        return None
+    out = np.empty(total, np.uint8)
+    out[:base] = np.frombuffer(history, np.uint8)
+    out[_ranges(starts - n_literal, n_literal)] = raw[_ranges(literal, n_literal)]
+    copied = _ranges(starts[:-1], n_match[:-1]).astype(np.int32)
+    if len(copied):
+        source = copied - np.repeat(by, n_match[:-1]).astype(np.int32)
+        pointer = np.arange(total, dtype=np.int32)
+        while True:
+            pointer[copied] = source
+            further = pointer[source]
+            if (further == source).all():
+                break
+            source = further
+        out[copied] = out[source]
+    return out[base:].tobytes()
+
+
 def _extend(buf: bytes, a: int, b: int, end: int) -> int:
     """How many bytes from a equal those from b, b < end."""
     n, step = 0, 16
@@ -227,36 +294,45 @@ def _previous(buf: bytes, width: int) -> np.ndarray:
     return distance
 
 
-def _fast(buf: bytes, base: int, acceleration: int) -> list[tuple[int, int, int]]:
+def _fast(buf: bytes, base: int, acceleration: int) -> np.ndarray:
     """Greedy parse over the last place of each position's four bytes.
 
-    Neighbours with the same distance are one match, so lengths come with the distances; a match is made longer
-    only where the bytes behind it agree too. Acceleration looks at every so manieth position.
+    Neighbours with the same distance are one match, so lengths come with the distances; matches are made longer where the bytes
+    behind them agree too, all at once for some steps. What is left is a chain to follow from match to match. Acceleration looks at every so
+    manieth position.
     """
     limit, end = len(buf) - MATCH_LIMIT, len(buf) - LAST_LITERALS
+    data = np.frombuffer(buf, np.uint8)
     distance = _previous(buf, 4)[: len(buf) - 2]
     places = np.arange(len(buf) - 3, dtype=np.int32)
-    stops = np.where(distance[1:] != distance[:-1], places, len(places))
+    stops = np.where(distance[1:] != distance[:-1], places, np.int32(len(places)))
     stops = np.minimum.accumulate(stops[::-1])[::-1]
-    length = (stops - places + 4).astype(np.int32)
     starts = (distance[:-1] > 0) & (places >= base) & (places <= limit)
     if acceleration > 1:
         starts &= (places - base) % acceleration == 0
-    following = np.minimum.accumulate(np.where(starts, places, len(buf)).astype(np.int32)[::-1])[::-1]
-    following, distance, length = memoryview(following), memoryview(distance), memoryview(length)
-    found, at = [], base
+    following = np.minimum.accumulate(np.where(starts, places, np.int32(len(buf)))[::-1])[::-1]
+    behind = np.minimum(stops + 4, end).astype(np.int32)  # where each match ends
+    some = np.flatnonzero(starts).astype(np.int32)
+    for _ in range(STEPS):
+        stop = behind[some]
+        goes_on = (stop < end) & (data[stop] == data[stop - distance[some]])
+        some = some[goes_on]
+        if not len(some):
+            break
+        behind[some] += 1
+    longer = set(some.tolist())
+    following, ends, found, at = memoryview(np.ascontiguousarray(following)), memoryview(behind), [], base
     while at <= limit:
         at = following[at]
         if at > limit:
             break
-        by, n = distance[at], length[at]
-        if at + n >= end:
-            n = end - at
-        elif buf[at + n] == buf[at + n - by]:
-            n += _extend(buf, at + n - by, at + n, end)
-        found.append((at, by, n))
-        at += n
-    return found
+        found.append(at)
+        if at in longer:
+            stop = ends[at]
+            behind[at] = stop + _extend(buf, stop - int(distance[at]), stop, end)
+        at = ends[at]
+    at = np.array(found, np.int64)
+    return np.stack([at, distance[at], behind[at] - at], axis=1)
 
 
 def _mid(buf: bytes, base: int) -> list[tuple[int, int, int]]:
@@ -452,8 +528,8 @@ def tries_of(level: int) -> tuple[str, int]:
     return "optimal", {10: 96, 11: 512, 12: 16384}[level]
 
 
-def _matches(buf: bytes, base: int, acceleration: int, level: int, favor_decode: bool) -> list[tuple[int, int, int]]:
-    """Matches (position, offset, length) of buf from base on, by the level's strategy."""
+def _matches(buf: bytes, base: int, acceleration: int, level: int, favor_decode: bool):
+    """Matches (position, offset, length) of buf from base on, by the level's strategy: a list, or the rows of an array."""
     if level < 0:
         level, acceleration = 0, 1 - level
     if len(buf) - base <= MATCH_LIMIT:

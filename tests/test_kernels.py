@@ -112,6 +112,27 @@ def test_distances_to_the_last_place_of_some_bytes():
         assert block._previous(raw, width)[: len(expected)].tolist() == expected
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.binary(min_size=300, max_size=900) | st.text(alphabet="abc ", min_size=700, max_size=3000).map(str.encode), st.binary(max_size=200), st.integers(0, 10**6))
+def test_blocks_decode_alike_by_arrays_and_step_by_step(raw, history, place):
+    """Whole, damaged and bounded blocks: the same bytes or the same error."""
+    packed = bytearray(block.encode(raw, history=history))
+    for damage in (False, True):
+        if damage:
+            packed[place % len(packed)] ^= 1 << place % 8
+        for most in (None, len(raw), len(raw) - 1):
+            told = []
+            for least in (1, 1 << 30):
+                block.ARRAYS_FROM = least
+                try:
+                    told.append(block.decode(bytes(packed), most, history))
+                except block.BlockError as e:
+                    told.append((e.reason, e.position))
+                finally:
+                    block.ARRAYS_FROM = 200
+            assert told[0] == told[1]
+
+
 def test_runs_are_found_without_a_search():
     for period in (b"a", b"ab", b"abcd"):
         raw = os.urandom(30) + period * 20_000 + b"end of it, and more"
