@@ -38,15 +38,18 @@ def files_at(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-#: Rows that go to a Python worker at once: some megabytes of texts of common length.
-BATCH_ROWS = 2000
+#: Rows, and bytes, that go to a Python worker at once at most; one row may be larger.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's rows per Arrow batch where it has none of its own; Spark's default sends 10,000 texts at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "0") == "0":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bounds the session's Arrow batches where it has no bounds of its own; Spark's defaults send 10,000 texts or 64 MB at once.
+
+    Spark reads these settings when a query runs, so they are the session's, not one operator's.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, "0") == "0":
+            spark.conf.set(key, str(most))
 
 
 _CACHES: list[dict] = []

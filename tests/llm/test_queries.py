@@ -181,6 +181,21 @@ def test_pipeline_by_brute_force(spark, ids):
     assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows} == _pieces({d: i for d, i in ids.items() if d in left})
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    from tessera.llm import common
+
+    common.small_batches(spark)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    texts = spark.range(1500).coalesce(1).selectExpr("repeat('x', 20000) AS text")
+    assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) < common.BATCH_BYTES + 100_000
+
+
 def test_caches_and_folders(spark):
     import os
 
