@@ -48,7 +48,7 @@ def small_batches(spark: SparkSession) -> None:
     Spark reads these settings when a query runs, so they are the session's, not one operator's.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if spark.conf.get(key, "0") == "0":
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, str(most))
 
 
