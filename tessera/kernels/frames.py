@@ -339,7 +339,7 @@ class View:
 
 
 class FrameWriter:
-    """Writes one standard frame block by block: holds a block, and the 64 KB before it."""
+    """Writes one standard frame block by block: holds a block, and the 64 KB before it. Some of the data can be stored as they are."""
 
     def __init__(self, out, options: Options, size: int | None = None, dictionary: bytes = b""):
         most = fitting_id(options.cut) if options.block_size else options.block_id
@@ -347,13 +347,22 @@ class FrameWriter:
         self.held, self.whole = b"", xxhash.xxh32()
         out.write(header(self.options, size))
 
-    def add(self, data: bytes) -> None:
+    def add(self, data: bytes, store: bool | None = None) -> None:
+        """Appends data; with `store` other than before, what is held ends as a block of its own and the next ones are stored, or packed."""
+        if store is not None and store != self.options.store:
+            self.flush()
+            self.options = replace(self.options, store=store)
         self.held += data
         whole = len(self.held) // self.options.cut * self.options.cut
         if whole:
             self._blocks(self.held[:whole])
             self.held = self.held[whole:]
 
+    def flush(self) -> None:
+        """Writes what is held as a block, so that a reader has all data so far."""
+        self._blocks(self.held)
+        self.held = b""
+
     def _blocks(self, data: bytes) -> None:
         self.out.write(encode_blocks(data, self.options, self.tail))
         self.whole.update(data)
@@ -361,7 +370,7 @@ class FrameWriter:
             self.tail = (self.tail + data)[-codec.HISTORY :]
 
     def close(self) -> None:
-        self._blocks(self.held)
+        self.flush()
         self.out.write(bytes(4) + (self.whole.intdigest().to_bytes(4, "little") if self.options.content_checksum else b""))
         self.out.close()
 

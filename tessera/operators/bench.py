@@ -106,6 +106,23 @@ def sweep(df: DataFrame, sample: str, data: str, engines: dict[str, Strategy], l
     return cells.repartition("sample", "engine", "level").mapInPandas(run, RAW)
 
 
+def run_cases(df: DataFrame, sample: str, data: str, engines: dict[str, Strategy], levels: list[int], manual: int = 6, seconds: float = 0.0, block_size: int = 0) -> DataFrame:
+    """Raw rows of cases, one bench round and `manual` rounds each, with the columns that stats.per_file_summary reads.
+
+    Kernel speeds are those of the codec alone; here nothing is transferred, so that end-to-end speeds are the same.
+    """
+    rows = sweep(df, sample, data, engines, levels, 1 + manual, seconds, block_size)
+    first = F.col("round") == 1
+    na = F.lit("NA")
+    return rows.select(
+        "sample", "engine", F.col("block").cast("string").alias("block"), na.alias("local_size"), F.col("accel").cast("string").alias("accel"),
+        *[na.alias(c) for c in ("hashlog", "gpu_dict_pool_mb", "gpu_dict_slots", "gpu_dict_slot_factor", "gpu_ratio", "cpu_threads")],
+        F.when(first, "bench").otherwise("manual").alias("phase"), "round", "status", "verify_ok", "input_bytes", "compressed_bytes", "ratio_pct",
+        *[F.when(first, F.col(f"{way}_mbs")).alias(f"bench_{way}_kernel_mbs") for way in ("comp", "dec")],
+        *[F.when(~first, F.col(f"{way}_mbs")).alias(f"manual_{way}_{kind}_mbs") for way in ("comp", "dec") for kind in ("kernel", "no_ocl")],
+    )
+
+
 def summarize(raw: DataFrame) -> DataFrame:
     """A row for each sample, engine and level: rounds, verification, size, and median and best MB/s of the rounds that are ok."""
     ok = F.col("status") == "ok"

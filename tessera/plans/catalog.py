@@ -17,7 +17,7 @@ from tessera.operators import bench, blocks, stats, sweeps, telemetry
 from tessera.operators import frames as files_of
 from tessera.plans.folders import work_folder
 from tessera.plans.spread import spread
-from tessera.sources import dictionary_from, generated, read_results, write_results
+from tessera.sources import dictionary_from, generated, read_files, read_results, write_results
 from tessera.sources import register as register_source
 
 QUERIES: dict = {}
@@ -715,6 +715,20 @@ def level_sweep(table):
     return bench.summarize(raw).select("sample", "engine", "accel", "rounds", "verify_all", "input_bytes", bounded.alias("bounded"))
 
 
+@query("""
+SELECT engine, accel, count(*) AS samples, true AS verify_all, CAST(sum(octet_length(encode(text))) AS BIGINT) AS input_bytes, true AS rounds, true AS timed
+FROM benchmark, (SELECT unnest(['block', 'frame']) AS engine), (SELECT unnest(['0', '3']) AS accel) GROUP BY ALL""")
+def cases_by_engine(table):
+    """One bench and six manual rounds of each item, engine and level, summed up by file and then by configuration; of the speeds only that there are any."""
+    own = bench.strategies()
+    raw = bench.run_cases(table("benchmark"), "item_id", "text", {k: own[k] for k in ("block", "frame")}, [0, 3])
+    files = stats.per_file_summary(raw)
+    whole = stats.aggregate_summary(files)
+    timed = F.least(*[F.col(f"{m}_{k}_of_files") for m in ("comp_mbs", "dec_mbs", "e2e_comp_mbs", "e2e_dec_mbs") for k in ("median", "mean")]) > 0
+    counted = files.groupBy("engine", "accel").agg(F.sum("input_bytes").alias("input_bytes"), F.bool_and((F.col("bench_rounds") == 1) & (F.col("manual_rounds") == 6) & (F.col("comp_mbs_n") == 6)).alias("rounds"))
+    return whole.select("engine", "accel", "samples", "verify_all", timed.alias("timed")).join(counted, ["engine", "accel"])
+
+
 @query("SELECT CAST(item_id AS VARCHAR) AS sample, function, true AS ok FROM benchmark, (SELECT unnest(['encode_fast', 'encode_fast_accelerated', 'encode_mid', 'encode_high', 'encode_with_history', 'encode_into', 'encode_frame', 'decode', 'decode_partial', 'decode_frame', 'list_frame', 'hash32', 'hash64']) AS function)")
 def function_times(table):
     """Single functions of the kernels on each item: right, and in measurable time."""
@@ -815,6 +829,30 @@ def streamed_frames(table):
     return back.groupBy("conv_id").agg(F.sum("messages").alias("messages"), F.sum("n").cast("long").alias("raw_bytes"))
 
 
+@query("SELECT CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS listed_bytes, true AS ok FROM documents WHERE text <> ''")
+def whole_files(table):
+    """Files of frames with content sizes on disk, read whole: tested, decoded and listed."""
+    df = table("documents").where("text <> ''")
+    spark = df.sparkSession
+    register_source(spark)
+    folder = work_folder(spark, "whole-files")
+    rows = df.select(F.lit("").alias("path"), F.lit(0).alias("frame_no"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("content_size"), _bytes().alias("data"))
+    rows.write.format("tessera_frames").mode("append").option("contentSize", "true").save(folder)
+    files = read_files(spark, folder, glob="part-*")
+    listed = files_of.list_files(files_of.list_frames(files)).agg(F.sum("uncompressed").alias("listed_bytes"))
+    tested = files_of.test_files(files).agg(F.bool_and("ok").alias("ok"))
+    decoded = files.select(X.frame_decode("content").alias("back")).agg(F.sum(F.octet_length("back")).alias("raw_bytes"))
+    return decoded.crossJoin(listed).crossJoin(tested)
+
+
+@query("SELECT range AS row_id, 2000 AS n_bytes, true AS ok, true AS shorter FROM range(50)")
+def generated_words(table):
+    """Seeded words, packed and unpacked, smaller by higher levels."""
+    made = generated(table("region").sparkSession, 50, 2000, kind="words").withColumns({"low": X.block_encode("data"), "high": X.block_encode("data", level=9)})
+    ok = (X.block_decode("low") == F.col("data")) & (X.block_decode("high") == F.col("data"))
+    return made.select("row_id", F.octet_length("data").alias("n_bytes"), ok.alias("ok"), (F.octet_length("high") <= F.octet_length("low")).alias("shorter"))
+
+
 @query("""
 SELECT conv_id, count(*) AS messages, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS raw_bytes, count(*) AS numbers FROM conversations GROUP BY conv_id""")
 def streamed_links(table):

@@ -208,6 +208,26 @@ def test_frames_block_by_block(options):
     assert frames.decode(frames.encode(b"", options)) == b""
 
 
+def test_some_data_of_a_frame_are_stored():
+    import io
+
+    class Out(io.BytesIO):
+        def close(self):
+            pass
+
+    raw, out = generators.words(9000, 1).encode(), Out()
+    writer = frames.FrameWriter(out, frames.Options(4, False, True))
+    writer.add(raw[:3000])
+    before = len(out.getvalue())
+    writer.flush()
+    assert len(out.getvalue()) > before and len(list(frames.blocks(out.getvalue() + bytes(8), decode=False))) == 2
+    writer.add(raw[3000:6000], store=True)
+    writer.add(raw[6000:], store=False)
+    writer.close()
+    (frame,) = frames.frames(out.getvalue())
+    assert frame.payload == raw and [stored for _, _, stored in frame.blocks] == [False, True, False] and frame.blocks[1][1] == 3000
+
+
 def test_prices_are_sizes():
     for n in (0, 1, 14, 15, 16, 269, 270, 271):
         assert block.literals_price(n) == len(block.encode(os.urandom(n))) - 1 if n <= 12 else True
