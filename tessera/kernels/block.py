@@ -419,14 +419,29 @@ class _Chains:
         return None
 
     def wider(self, at: int, least: int, end: int, tries: int, longer_than: int) -> tuple[int, int, int] | None:
-        """(start, offset, length) of the longest match around a position, which may start from `least` on; None unless it is longer than the given length."""
-        n, offset = self.longest(at, end, tries, 3)
-        if not n:
-            return None
-        buf, start = self.buf, at
-        while start > least and start > offset and buf[start - 1] == buf[start - 1 - offset]:
-            start, n = start - 1, n + 1
-        return (start, offset, n) if n > longer_than else None
+        """(start, offset, length) of the longest match that covers four bytes at a position and may start from `least` on; None unless it is longer than the given length.
+
+        Of each of the newest `tries` places both directions count.
+        """
+        self.fill(at)
+        buf, found, best = self.buf, None, longer_than
+        for seen in reversed(self.places.get(buf[at : at + 4], ())[-tries:]):
+            by = at - seen
+            if by > WINDOW:
+                break
+            if self.favor_decode and by < 8:
+                continue
+            start = at
+            while start > least and start > by and buf[start - 1] == buf[start - 1 - by]:
+                start -= 1
+            # Longer than the best only if the byte behind the best's length agrees, too.
+            reach = start + best
+            if reach >= end or reach > at + 3 and buf[reach] != buf[reach - by]:
+                continue
+            n = at + 4 - start + _extend(buf, seen + 4, at + 4, end)
+            if n > best:
+                found, best = (start, by, n), n
+        return found
 
 
 def _overlapping(buf: bytes, base: int, tries: int, favor_decode: bool = False) -> list[tuple[int, int, int]]:
