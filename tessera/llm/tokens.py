@@ -50,8 +50,10 @@ class WordIds:
         definition = json.loads(self.library.to_str())
         self.by_chunk = chunks_are_independent(definition)
         self.lowers = any(s.get("type") == "Lowercase" for s in _steps(definition))
-        self.special = [t["content"] for t in definition.get("added_tokens", [])]
+        special = [t["content"] for t in definition.get("added_tokens", [])]
+        self.folded = [bytes(s, "utf-8").lower().decode("utf-8") if self.lowers else s for s in special]
         self.known: dict[str, bytes] = {}
+        self.as_written: dict[str, bytes] = {}  # chunks that hold a special string, in some case
         mark = definition["model"].get("end_of_word_suffix")
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -87,16 +89,18 @@ class WordIds:
         for chunk in marked:
             known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
 
-    def _with_special(self, text: str, folded: list[str]) -> bytes:
+    def _with_special(self, text: str) -> bytes:
         """The ids of a text that may hold special strings: chunks that do are looked up as they are written, the others as in encode()."""
         own = []
         for raw in text.encode("utf-8").split():
             low = (raw.lower() if self.lowers else raw).decode("utf-8")
-            if any(f in low for f in folded):
+            if any(f in low for f in self.folded):
                 chunk = raw.decode("utf-8")
-                if chunk not in self.known:
-                    self.known[chunk] = self.encode_all([chunk])[0]
-                own.append(self.known[chunk])
+                if chunk not in self.as_written:
+                    if len(self.as_written) > CACHE_ENTRIES // 10:
+                        self.as_written.clear()
+                    self.as_written[chunk] = self.encode_all([chunk])[0]
+                own.append(self.as_written[chunk])
             else:
                 if low not in self.known:
                     self.learn([low])
@@ -113,19 +117,16 @@ class WordIds:
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         lower = pc.ascii_lower(texts) if self.lowers else texts
-        folded = [bytes(s, "utf-8").lower().decode("utf-8") if self.lowers else s for s in self.special]
-        odd = [k for k, hit in enumerate(_any_of(lower, folded)) if hit]
-        if odd:
-            found = [b""] * len(texts)
-            for k in odd:
-                found[k] = self._with_special(texts[k].as_py(), folded)
-            others = sorted(set(range(len(texts))).difference(odd))
-            for k, own in zip(others, self._encode_plain(lower.take(pa.array(others, pa.int64())))):
-                found[k] = own
-            return found
-        return self._encode_plain(lower)
-
-    def _encode_plain(self, lower) -> list[bytes]:
+        found = self._encode_plain(lower)
+        if found is None:  # some chunk holds a special string
+            holds = _any_of(lower, self.folded)
+            others = [k for k, hit in enumerate(holds) if not hit]
+            plain = dict(zip(others, self._encode_plain(lower.take(pa.array(others, pa.int64())))))
+            found = [plain[k] if k in plain else self._with_special(texts[k].as_py()) for k in range(len(texts))]
+        return found
+
+    def _encode_plain(self, lower) -> list[bytes] | None:
+        """The ids of texts without special strings; None if there is one. No known chunk holds any, so only new ones are looked at."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -134,6 +135,9 @@ class WordIds:
         chunks = coded.dictionary.to_pylist()
         new = [c for c in chunks if c not in self.known]
         if new:
+            joined = " ".join(new)
+            if any(f in joined for f in self.folded):
+                return None
             self.learn(new)
         packed = list(map(self.known.__getitem__, chunks))
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
