@@ -286,10 +286,11 @@ def _across(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     tagged = spokes.join(labels.hint("merge"), "vertex", "left").join(own.hint("merge"), "pivot", "left")
     label, hub = F.coalesce("label", "vertex"), F.coalesce("pivot_label", "pivot")
     tagged = written(tagged.select("pivot", "vertex", "n_shingles", label.alias("label"), (2 * step + (label == hub).cast("long")).alias("of")), f"{folder}/tagged")
-    open_ = tagged.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("pivot")
-    open_ = written(open_, f"{folder}/open")  # a table, so that Spark splits the join where a pivot is hot
-    groups = tagged.join(open_.hint("merge"), "pivot", "left_semi").groupBy("pivot", "of").agg(_blocks().alias("blocks"))
-    groups = written(groups, f"{folder}/groups")
+    # Groups are combined before they are shuffled, and pivots told from groups: no task meets all classes of a hot pivot.
+    every = tagged.groupBy("pivot", "of").agg(_blocks().alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    every = written(every, f"{folder}/every")
+    open_ = every.groupBy("pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("pivot")
+    groups = written(every.join(open_.hint("merge"), "pivot", "left_semi").select("pivot", "of", "blocks"), f"{folder}/groups")
     if groups.isEmpty():
         return None
     other = groups.select("pivot", F.col("of").alias("to"), F.col("blocks").alias("to_blocks"))

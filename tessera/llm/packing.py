@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import in_batches, small_batches, text_of, work_folder, written
-from .tokens import word_ids
+from .tokens import CACHE_ENTRIES, word_ids
 
 LONGEST = 4096
 #: Rows (a bucket of a part, 16 bytes) up to which the table of bases is sent to every task; beyond it is joined by shuffles.
@@ -27,7 +27,7 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def pack(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_column: str = "text", end_id: int = 2, longest: int = LONGEST, folder: str | None = None) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_column: str = "text", end_id: int = 2, longest: int = LONGEST, cache: int = CACHE_ENTRIES, folder: str | None = None) -> DataFrame:
     """One row per piece of every document: doc_id, start, length, doc_tokens, bucket, ids, sequence_id, offset.
 
     ids holds the piece's ids as little-endian unsigned 32-bit integers, bucket the base-2 logarithm of its
@@ -37,7 +37,8 @@ def pack(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_colum
 
     Null text counts as empty; an empty document is its end id alone. A null id stays null; repeated rows
     are packed as often as they occur. Other columns are ignored, whatever their names. An empty table
-    gives no rows. Documents are read in one pass without a shuffle; a task holds one batch of texts.
+    gives no rows. Documents are read in one pass without a shuffle; a task holds one batch of texts, and a worker the ids of
+    `cache` chunks (200 bytes each): fewer take less memory and more time.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("the longest piece must be a power of two")
@@ -49,7 +50,7 @@ def pack(df: DataFrame, tokenizer: str, *, id_column: str = "doc_id", text_colum
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, counts, ids = TaskContext.get().partitionId(), {}, word_ids(tokenizer)
+        part, counts, ids = TaskContext.get().partitionId(), {}, word_ids(tokenizer, cache)
         end = end_id.to_bytes(4, "little")
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("nth", pa.int64()), ("ids", pa.binary())])
 

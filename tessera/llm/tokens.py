@@ -15,7 +15,7 @@ import numpy as np
 
 from .common import claim, give_back
 
-#: Entries that one worker's cache holds before it starts anew (about 200 bytes each).
+#: Entries that one worker's cache holds before it starts anew (about 200 bytes each), unless a caller asks for others.
 CACHE_ENTRIES = 1_000_000
 
 _BY_FILE: dict[str, "WordIds"] = {}
@@ -45,6 +45,7 @@ class WordIds:
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
+        self.entries = CACHE_ENTRIES
         self.library = Tokenizer.from_file(file)
         self.library.no_truncation()
         definition = json.loads(self.library.to_str())
@@ -97,7 +98,7 @@ class WordIds:
             if any(f in low for f in self.folded):
                 chunk = raw.decode("utf-8")
                 if chunk not in self.as_written:
-                    if len(self.as_written) > CACHE_ENTRIES // 10:
+                    if len(self.as_written) > self.entries // 10:
                         self.as_written.clear()
                     self.as_written[chunk] = self.encode_all([chunk])[0]
                 own.append(self.as_written[chunk])
@@ -114,7 +115,7 @@ class WordIds:
 
         if not self.by_chunk:
             return [self.encode_all([t])[0] for t in texts.to_pylist()]
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > self.entries:
             self.known.clear()
         lower = pc.ascii_lower(texts) if self.lowers else texts
         found = self._encode_plain(lower)
@@ -171,13 +172,15 @@ def _any_of(texts, strings: list[str]) -> list[bool]:
     return found.to_pylist() if found is not None else [False] * len(texts)
 
 
-def word_ids(file: str) -> WordIds:
-    """This worker's tokenizer for a file; what it has learnt lasts as long as the worker."""
+def word_ids(file: str, entries: int = CACHE_ENTRIES) -> WordIds:
+    """This worker's tokenizer for a file, with a cache of so many entries; what it has learnt lasts as long as the worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if file not in _BY_FILE:
         _BY_FILE[file] = WordIds(file)
         give_back()
-    claim(_BY_FILE[file].known)
-    return _BY_FILE[file]
+    own = _BY_FILE[file]
+    own.entries = entries
+    claim(own.known)
+    return own
