@@ -14,6 +14,10 @@ from tessera.llm import exact_dedup, near_dedup, packing, quality, toxicity
 from tessera.llm.common import work_folder, written
 
 
+#: Chunks that a worker of the last stage caches: its executors' memory is what the stages before have grown it to.
+CACHE = 400_000
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -67,7 +71,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null text counts as empty, a piece of the end id alone. Null ids stay null, repeated rows are packed as often as they
     occur, further columns are ignored, and no rows give none.
     """
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=CACHE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
