@@ -449,9 +449,15 @@ def read_archives(packages: DataFrame, *, strict: bool = True, folder: str | Non
             first = 0
             while first < len(unit):
                 _, _, _, _, at, length = unit[first]
-                if at is None or length is None:
-                    found = walk(read_chunks(source, start, size, at or 0), zipped, at or 0)
-                    yield from found if at is None else [next(found)]
+                if at is None:
+                    yield from walk(read_chunks(source, start, size), zipped)
+                    return
+                if length is None:  # the record ends before the next line's, if not sooner
+                    stop = unit[first + 1][4] if first + 1 < len(unit) else size
+                    found = next(walk(read_chunks(source, start, min(stop, size), at), zipped, at), None)
+                    if found is None:
+                        raise ValueError(f"no record where an index line points in {archive}")
+                    yield found
                     first += 1
                     continue
                 last = first
@@ -476,7 +482,7 @@ def read_archives(packages: DataFrame, *, strict: bool = True, folder: str | Non
                         if error and strict:
                             raise ValueError(error)
                         yield *values, path, archive, at, error
-            except (ValueError, zlib.error, struct.error, StopIteration) as e:
+            except (ValueError, zlib.error, struct.error) as e:
                 if strict:
                     raise ValueError(f"{archive} in {path}: {e}") from e
                 yield *[None] * 9, path, archive, None, str(e)

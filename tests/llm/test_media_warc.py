@@ -284,6 +284,7 @@ def test_what_cannot_be_read_is_an_error(spark, tmp_path):
         "far": ({"x.warc.gz": data, "x.cdxj": line.format("x.warc.gz", len(data), 50)}, zipfile.ZIP_STORED, "behind the end"),
         "inside": ({"x.warc.gz": data, "x.cdxj": line.format("x.warc.gz", 3, 50)}, zipfile.ZIP_STORED, "header"),
         "nowhere": ({"x.warc.gz": data, "x.cdxj": '{"length": 4}\n'}, zipfile.ZIP_STORED, "without an offset"),
+        "behind": ({"x.warc.gz": data, "x.cdx": f"a 1 u m 200 X - {len(data)} x.warc.gz\n"}, zipfile.ZIP_STORED, "no record where"),
         "short": ({"x.warc.gz": data[:-9]}, zipfile.ZIP_STORED, "truncated"),
         "changed": ({"x.warc.gz": wrong}, zipfile.ZIP_STORED, "differs"),
     }
