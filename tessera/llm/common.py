@@ -108,6 +108,20 @@ def sieved(df: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
     return found.select(*df.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
 
 
+def least_hashed(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The n rows with the least hashes of their keys, which must be distinct.
+
+    Rows are counted first, and only those below the hash that some more than n are expected below are sorted, so that
+    what meets in one task doesn't grow with the number of tasks. (Fewer than n are left with a probability of 1e-9 or less.)
+    """
+    own = F.xxhash64(key, F.lit(seed))
+    total = rows.count()
+    some = n + 6 * n**0.5 + 100
+    if some < total:
+        rows = rows.where(own <= F.lit(int(-(2**63) + some / total * 2**64)))
+    return rows.orderBy(own, key).limit(n)
+
+
 def _looked_up(df: DataFrame, told: DataFrame, n: int, id_column: str, own_hash) -> DataFrame:
     """df's rows as one struct `whole`, with own_id and own_hash, and the columns of the n rows of told (told_id, told_hash, ...) that have both; null where none has.
 

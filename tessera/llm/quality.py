@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import claim, leave_out, small_batches, text_of, work_folder, written
+from .common import claim, least_hashed, leave_out, small_batches, text_of, work_folder, written
 from .linear import best_threshold, fit, platt, sigmoid
 
 #: Hash spaces of the views, and the width of both together.
@@ -258,8 +258,9 @@ def train(df: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, share:
     made = features(df, f"{folder}/views", id_column=id_column, text_column=text_column)
     known = labels.where(F.col("quality").isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("own_id")).agg(F.min("quality").cast("double").alias("quality"))
     marked = written(made.join(known, "own_id", "left").select("own_id", "views", F.xxhash64("views").alias("code"), "quality"), f"{folder}/marked")
-    order = [F.xxhash64("own_id", F.lit(seed)), F.col("own_id")]
-    first = marked.where("quality is not null").groupBy("own_id", "quality").agg(F.min("views").alias("views")).orderBy(*order).limit(labelled)
+    given_label = marked.where("quality is not null")
+    chosen = least_hashed(given_label.select("own_id").distinct(), "own_id", labelled, seed)
+    first = given_label.join(F.broadcast(chosen), "own_id", "left_semi").groupBy("own_id", "quality").agg(F.min("views").alias("views"))
     rows = first.toPandas().sort_values("own_id")
     pool = marked.where("quality is null")
     most = min(float(given), share * pool.count())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import claim, small_batches, text_of, work_folder, written
+from .common import claim, least_hashed, small_batches, text_of, work_folder, written
 from .linear import Rows, best_threshold, fit, logit, sigmoid
 
 #: Hash space of features; labelled rows that a chain is fitted on at most, and features of all these rows together; features that it keeps, folds.
@@ -162,7 +162,7 @@ def sample(df: DataFrame, labels: DataFrame, *, most: int = SAMPLE, most_feature
     known = labels.where(" and ".join(f"{c} is not null" for c in label_columns) + f" and {id_column} is not null")
     known = known.groupBy(F.col(id_column).cast("long").alias("own_id")).agg(*[F.max(c).cast("double").alias(f"label_{c}") for c in label_columns])
     order = [F.xxhash64("own_id", F.lit(seed)), F.col("own_id")]
-    chosen = known.orderBy(*order).limit(most)
+    chosen = least_hashed(known, "own_id", most, seed)
 
     def features(batches):
         cache = Features()

@@ -64,6 +64,16 @@ def test_samples_are_bounded(tables):
     assert 0 < len(few) < 50 and sum(map(len, few["features"])) <= most
 
 
+def test_the_least_hashes_are_found_without_sorting_all(spark):
+    from tessera.llm.common import least_hashed
+
+    rows = spark.range(20_000).withColumnRenamed("id", "own_id").repartition(7)
+    for n in (10, 500, 30_000):
+        want = [r["own_id"] for r in rows.orderBy(F.xxhash64("own_id", F.lit(3)), "own_id").limit(n).collect()]
+        assert sorted(r["own_id"] for r in least_hashed(rows, "own_id", n, 3).collect()) == sorted(want)
+    assert least_hashed(rows.limit(0), "own_id", 5, 1).count() == 0
+
+
 def test_derived_labels_come_from_used_rows():
     """Markers that only rows held out have don't make a category."""
     sets = [np.array([1, 5] if k % 2 else [2, 5], np.int64) for k in range(200)] + [np.array([9, 5], np.int64)] * 60
