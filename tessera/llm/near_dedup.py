@@ -366,7 +366,7 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80, id_colu
         labels = written(connected_components(stars.unionAll(more), f"{folder}/joined"), f"{folder}/joined-labels")
     named = classes.join(labels.hint("merge"), "vertex", "left").select("key", "top", F.coalesce("label", "vertex").alias("label"))
     named = written(named, f"{folder}/named")
-    least = named.groupBy("label").agg(F.min("top").alias("least"))
+    least = written(named.groupBy("label").agg(F.min("top").alias("least")), f"{folder}/least")  # a table, so that Spark splits the join of a hot label
     found = written(named.join(least.hint("merge"), "label").select("key", "least"), f"{folder}/found")
     out = rows.select("doc_id", "n_shingles", "text_hash", "key").join(found.hint("merge"), "key", "left")
     lone = F.col("key").isNull()
