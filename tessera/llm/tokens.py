@@ -149,10 +149,11 @@ class WordIds:
         at = (4 * ends[first]).tolist()
         return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
 
-    def encode_batch(self, texts, most_bytes: int = 2 << 20):
-        """Ids of the texts of an Arrow array, some megabytes of text at a time."""
+    def encode_batch(self, texts, most_bytes: int | None = None):
+        """Ids of the texts of an Arrow array, a piece at a time: 8 bytes of text for each entry of the cache, so that both follow one bound."""
         import pyarrow.compute as pc
 
+        most_bytes = most_bytes or 8 * self.entries
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
         at = 0
         while at < len(texts):
