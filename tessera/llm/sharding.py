@@ -68,9 +68,16 @@ class ShardStore:
 
     def _files(self, segments: list[list[str]]) -> DataFrame:
         """path and bytes of the files that [segment, part] pairs name; a part of '*' is all of them."""
-        none = self.spark.createDataFrame([], "path string, bytes long")
-        parts = [self.spark.read.schema(SHARDS).parquet(f"{self.folder}/segments/{name}").where(F.lit(True) if part == "*" else F.col("part") == part).select("path", "bytes") for name, part in segments]
-        return reduce(DataFrame.unionAll, parts) if parts else none
+        by_name: dict[str, list[str]] = {}
+        for name, part in segments:
+            by_name.setdefault(name, []).append(part)
+
+        def files(name: str, parts: list[str]) -> DataFrame:
+            listed = self.spark.read.schema(SHARDS).parquet(f"{self.folder}/segments/{name}")
+            return (listed if "*" in parts else listed.where(F.col("part").isin(parts))).select("path", "bytes")
+
+        found = [files(name, parts) for name, parts in by_name.items()]  # a segment is read once, whichever of its parts are named
+        return reduce(DataFrame.unionAll, found) if found else self.spark.createDataFrame([], "path string, bytes long")
 
     def versions(self) -> list[int]:
         fs, path = hadoop(self.spark, f"{self.folder}/manifest")
