@@ -369,3 +369,46 @@ def test_stored_frames():
     data = frames.encode(raw, frames.Options(4, store=True, content_checksum=False))
     assert len(data) == 7 + 4 + len(raw) + 4 and frames.decode(data) == raw
     assert [b[2] for b in next(frames.frames(data)).blocks] == [True]
+
+
+@pytest.mark.parametrize("level", [-8, 0, 1, 2, 3, 4, 9, 10, 12])
+def test_blocks_of_a_batch(level):
+    """Many cells at once: any decoder reads them, and the lower levels' blocks are those of single cells."""
+    from tessera.kernels import batch
+
+    cells = [*EDGES[:20], b"x" * 70_000, b"abcdefg" * 9000, generators.noise(4000, 1, 0.7)] + [generators.words(n, n).encode() for n in range(10, 1500, 197)]
+    for dictionary in (b"", b"ab", generators.words(70_000, 3).encode()):
+        packed = batch.encode_many(cells, level=level, dictionary=dictionary)
+        assert [block.decode(p, len(c), dictionary) for p, c in zip(packed, cells)] == cells
+        assert batch.decode_many(packed, dictionary=dictionary) == cells
+        for p, c in zip(packed, cells):
+            assert len(p) <= block.compress_bound(len(c)) and sum(len(s.literals) + (s.match_len or 0) for s in block.sequences(p)) == len(c)
+    few = cells[-4:]
+    packed, single = batch.encode_many(few, level=level), [block.encode(c, level=level) for c in few]
+    assert packed == single if level < 3 else sum(map(len, packed)) <= 1.005 * sum(map(len, single))
+
+
+def test_damaged_blocks_of_a_batch():
+    from tessera.kernels import batch
+
+    cells = [generators.words(900, k).encode() for k in (1, 2)]
+    packed, found = batch.encode_many(cells), []
+    damaged = [packed[0], b"\x10a\0\0", packed[1], b""]
+    assert batch.decode_many(damaged, failed=found.append) == [cells[0], None, cells[1], None] and len(found) == 2
+    with pytest.raises(block.BlockError):
+        batch.decode_many(damaged)
+
+
+@pytest.mark.parametrize(("level", "seconds"), [(4, 5), (9, 6), (12, 20)])
+def test_high_levels_take_bounded_time(level, seconds):
+    """Half of what a megabyte of the documents took cell by cell at most."""
+    import time
+
+    import pyarrow.parquet as pq
+
+    from tessera.kernels import batch
+
+    column = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    texts, began = [(t or "").encode() for t in column[:300]], time.process_time()
+    batch.encode_many(texts, level=level)
+    assert time.process_time() - began < seconds / 2 * sum(map(len, texts)) / 1e6
