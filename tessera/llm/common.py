@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.folders import hadoop, release, shared_folder, work_folder  # noqa: F401
+from tessera.plans.spread import BATCH_BYTES, BATCH_ROWS, small_batches  # noqa: F401
 
 #: The six characters of ``[\x20\x09-\x0D]``, the only white space of the text contracts.
 SPACES = " \t\n\x0b\x0c\r"
@@ -38,20 +39,6 @@ def files_at(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-#: Rows, and bytes, that go to a Python worker at once at most; one row may be larger.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches where it has no bounds of its own; Spark's defaults send 10,000 texts or 64 MB at once.
-
-    Spark reads these settings when a query runs, so they are the session's, not one operator's.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, str(most))
-
-
 _CACHES: list[dict] = []
 
 

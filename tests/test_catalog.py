@@ -80,3 +80,29 @@ def test_plans_of_byte_queries(spark):
     assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1
     plan = catalog.queries()["device_split"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_byte_queries_bound_what_goes_to_python(spark):
+    """Rows and bytes of a batch are bounded before any query runs, unless the session has bounds of its own."""
+    from tessera.plans import spread
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    held = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        catalog.queries()["strategies_by_size"](spark, SF)
+        assert [int(spark.conf.get(k)) for k in keys] == [spread.BATCH_ROWS, spread.BATCH_BYTES]
+        spark.conf.set(keys[0], "7")
+        catalog.queries()["strategies_by_size"](spark, SF)
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["custom_block_frames", "levels_and_partial_decoding", "level_roundtrips", "strategies_by_size"])
+def test_encoders_run_once(spark, name):
+    """Two evaluations, what encodes and what decodes: in one, or twice, the encoder would run for each expression that uses its column."""
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "Join" not in plan, plan
