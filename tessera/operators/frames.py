@@ -16,8 +16,8 @@ KIND_NAMES = {"standard": "StandardFrame", "legacy": "LegacyFrame", "skippable":
 ROWS = "path string, file_size long, frame_no int, kind string, block string, checksum string, frame_size long, content_size long, blocks int, error string"
 
 
-def list_frames(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """A row for each frame of each file, from headers and block words only.
+def list_frames(files: DataFrame, path: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each frame of each file, from headers and block words only, with the file's columns to keep.
 
     frame_size counts all of a frame's bytes, its header and checksums among them. content_size is null where the header
     has none, or 0. A damaged file's last row has its error and no kind. Null contents have no rows.
@@ -26,19 +26,21 @@ def list_frames(files: DataFrame, path: str = "path", content: str = "content")
     def run(batches):
         for batch in batches:
             out = []
-            for name, data in zip(batch["path"], batch["content"]):
+            for name, data, *kept in batch.itertuples(index=False, name=None):
                 if data is None:
                     continue
                 data, n = bytes(data), 0
                 try:
                     for f in frames.frames(data, decode=False):
-                        out.append((name, len(data), n, f.kind, f.label, f.checksum, f.end - f.start, f.content_size or None, len(f.blocks), None))
+                        out.append((name, len(data), n, f.kind, f.label, f.checksum, f.end - f.start, f.content_size or None, len(f.blocks), None, *kept))
                         n += 1
                 except frames.FrameError as e:
-                    out.append((name, len(data), n, None, None, None, None, None, None, e.code))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"content_size": "Int64", "frame_size": "Int64", "blocks": "Int32", "frame_no": "int32"})
+                    out.append((name, len(data), n, None, None, None, None, None, None, e.code, *kept))
+            yield pd.DataFrame(out, columns=[*(c.split()[0] for c in ROWS.split(", ")), *keep]).astype({"content_size": "Int64", "frame_size": "Int64", "blocks": "Int32", "frame_no": "int32"})
 
-    return files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content")).mapInPandas(run, ROWS)
+    kinds = dict(files.dtypes)
+    rows = files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content"), *keep)
+    return rows.mapInPandas(run, ROWS + "".join(f", `{k}` {kinds[k]}" for k in keep))
 
 
 def list_files(listed: DataFrame) -> DataFrame:

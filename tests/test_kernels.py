@@ -412,3 +412,20 @@ def test_high_levels_take_bounded_time(level, seconds):
     texts, began = [(t or "").encode() for t in column[:300]], time.process_time()
     batch.encode_many(texts, level=level)
     assert time.process_time() - began < seconds / 2 * sum(map(len, texts)) / 1e6
+
+
+def test_frames_of_a_batch():
+    """Blocks of many linked frames packed together decode frame by frame, and an indexed history isn't searched anew for each block."""
+    import time
+
+    cells = [generators.words(n, n).encode() for n in (0, 5, 900, 1000, 1001, 4000)] + [b"ab" * 3000, b"", os.urandom(2500)]
+    options = frames.Options(independent=False, block_size=1000, block_checksum=True, content_size=True)
+    for words in (b"", generators.words(3000, 8).encode()):
+        packed = frames.encode_many(cells, options, words)
+        assert [frames.decode(p, words) for p in packed] == cells
+    long = b"".join(generators.words(2000, k).encode() for k in range(60))
+    began = time.process_time()
+    assert frames.decode(frames.encode(long, frames.Options(independent=False, block_size=1000))) == long
+    assert len(frames.encode(bytes(3 << 20), frames.Options(7))) < 20_000
+    packed = frames.encode_blocks(long, frames.Options(block_size=500))
+    assert time.process_time() - began < 5 and len(packed) < len(long)
