@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.codec import block_decode, block_encode
+from tessera.kernels import batch as many
 from tessera.kernels import block
 
 
@@ -72,6 +74,17 @@ def read_range(blocks: DataFrame, keys: list[str], start: int, length: int, size
     return assemble(few, keys).select(*keys, F.expr(f"substring(raw, {start - first + 1}, {length})").alias("slice"))
 
 
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Rows dealt by own_key to as many tasks as shuffles have: joined to parts of so many bytes they would be few, and these are bound by CPU."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "own_key")
+
+
+def _tail(messages: list[bytes], fresh: list[bool], before: bytes, window: int) -> bytes:
+    """The last bytes of the stream that goes on behind these messages."""
+    new = max((k for k, f in enumerate(fresh) if f), default=-1)
+    return b"".join(messages[new:] if new >= 0 else [before, *messages])[-window:]
+
+
 def linked_streams(df: DataFrame, key: str, order: str, data: str, level: int = 0, window: int = block.HISTORY, dictionary: bytes = b"") -> DataFrame:
     """Each key's messages, in order, packed with up to 64 KB of the messages before as history: key, order, seq, packed, raw_size.
 
@@ -84,18 +97,24 @@ def linked_streams(df: DataFrame, key: str, order: str, data: str, level: int =
     def run(batches):
         now, history, seq = None, b"", 0
         for batch in batches:
-            packed, numbers = [], []
-            for own, message in zip(batch["own_key"], batch["message"]):
-                message = bytes(message)
-                if now is None or own != now[0]:
-                    now, history, seq = (own,), dictionary[-window:], 0
-                packed.append(block.encode(message, level=level, history=history))
+            messages, fresh, numbers = [bytes(m) for m in batch["message"]], [], []
+            for own in batch["own_key"]:
+                fresh.append(now is None or own != now[0])
+                now, seq = (own,), 0 if fresh[-1] else seq + 1
                 numbers.append(seq)
-                history, seq = (history + message)[-window:], seq + 1
-            yield pd.DataFrame({"own_key": batch["own_key"], "own_order": batch["own_order"], "seq": numbers, "packed": packed, "raw_size": [len(m) for m in batch["message"]]})
+            if window == block.HISTORY:  # the dictionary is indexed once for all streams of a piece
+                packed = many.encode_streams(messages, fresh, level=level, dictionary=dictionary, before=history)
+                history = _tail(messages, fresh, history, window)
+            else:
+                packed = []
+                for message, new in zip(messages, fresh):
+                    history = dictionary[-window:] if new else history
+                    packed.append(block.encode(message, level=level, history=history))
+                    history = (history + message)[-window:]
+            yield pd.DataFrame({"own_key": batch["own_key"], "own_order": batch["own_order"], "seq": numbers, "packed": packed, "raw_size": [len(m) for m in messages]})
 
     rows = df.select(F.col(key).alias("own_key"), F.col(order).alias("own_order"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("message"))
-    ordered = rows.repartition("own_key").sortWithinPartitions("own_key", "own_order", "message")
+    ordered = _by_key(rows).sortWithinPartitions("own_key", "own_order", "message")
     out = ordered.mapInPandas(run, f"own_key {kinds[key]}, own_order {kinds[order]}, seq long, packed binary, raw_size int")
     return out.select(F.col("own_key").alias(key), F.col("own_order").alias(order), "seq", "packed", "raw_size")
 
@@ -108,15 +127,25 @@ def unlinked_streams(df: DataFrame, key: str, order: str, window: int = block.HI
         now, history = None, b""
         for batch in batches:
             found = []
-            for own, packed in zip(batch["own_key"], batch["packed"]):
-                if now is None or own != now[0]:
-                    now, history = (own,), dictionary[-window:]
-                found.append(block.decode(bytes(packed), history=history))
-                history = (history + found[-1])[-window:]
+            for first, last in many.pieces([len(p) for p in packed]):
+                some, new = packed[first:last], fresh[first:last]
+                # What the first one continues is a block of literals before it.
+                lead = [] if new[0] or not history else [block._write(history, 0, [])]
+                back = many.decode_streams(lead + some, [True] * len(lead) + new, dictionary[-window:]) if window == block.HISTORY else None
+                if back is None:
+                    back, held = [], history
+                    for p, start in zip(some, new):
+                        held = b"" if start else held
+                        back.append(block.decode(p, history=(dictionary + held)[-window:]))
+                        held = (held + back[-1])[-window:]
+                else:
+                    back = back[len(lead) :]
+                history = _tail(back, new, history, window)
+                found += back
             yield pd.DataFrame({"own_key": batch["own_key"], "own_order": batch["own_order"], "seq": batch["seq"], "message": found})
 
     rows = df.select(F.col(key).alias("own_key"), F.col(order).alias("own_order"), "seq", "packed")
-    ordered = rows.repartition("own_key").sortWithinPartitions("own_key", "seq")
+    ordered = _by_key(rows).sortWithinPartitions("own_key", "seq")
     out = ordered.mapInPandas(run, f"own_key {kinds[key]}, own_order {kinds[order]}, seq long, message binary")
     return out.select(F.col("own_key").alias(key), F.col("own_order").alias(order), "seq", "message")
 
@@ -124,10 +153,24 @@ def unlinked_streams(df: DataFrame, key: str, order: str, window: int = block.HI
 def match_candidates(df: DataFrame, key: str, data: str, size: int = 4) -> DataFrame:
     """How many places of each cell have bytes that occurred before in it: key, places, repeats. Counted by 4-grams, not pair by pair."""
     raw = F.col(data).cast("binary")
-    last = F.octet_length(raw) - size
-    grams = df.where(last >= 0).select(key, F.explode(F.sequence(F.lit(0), last)).alias("at"), raw.alias("whole")).select(key, F.substring("whole", F.col("at") + 1, F.lit(size)).alias("gram"))
-    counts = grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
-    return counts.groupBy(key).agg(F.sum("n").alias("places"), F.sum(F.col("n") - 1).alias("repeats"))
+    rows = df.where(F.octet_length(raw) >= size).select(F.col(key).alias("own_key"), raw.alias("data"))
+    ordered = _by_key(rows).sortWithinPartitions("own_key")
+    return ordered.mapInArrow(run, f"own_key {kinds[key]}, places long, repeats long").withColumnRenamed("own_key", key)
+
+
+def _same(a, b) -> bool:
+    """Whether keys are one group's: nulls are, and so are numbers that are none."""
+    return a == b or (a is not None and b is not None and a != a and b != b)
+
+
+def _grams(data: bytes, size: int) -> np.ndarray:
+    """The bytes from each place on, as numbers."""
+    words = np.ndarray((len(data) - size + 1,), "<u8", data + bytes(8), strides=(1,))
+    return words & np.uint64((1 << 8 * size) - 1)
+
+
+def _distinct(grams: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(grams))
 
 
 def fold_hash(blocks: DataFrame, keys: list[str], data: str = "raw", order: str = "block_no", bits: int = 32, seed: int = 0) -> DataFrame:

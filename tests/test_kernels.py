@@ -429,3 +429,23 @@ def test_frames_of_a_batch():
     assert len(frames.encode(bytes(3 << 20), frames.Options(7))) < 20_000
     packed = frames.encode_blocks(long, frames.Options(block_size=500))
     assert time.process_time() - began < 5 and len(packed) < len(long)
+
+
+def test_a_dictionary_is_indexed_once_for_many_streams():
+    import time
+
+    from tessera.kernels import batch
+
+    words = generators.words(65536, 1).encode()
+    messages = [words[k * 90 : k * 90 + 400] + b"%d" % k for k in range(600)]
+    fresh, began = [k % 3 == 0 for k in range(600)], time.process_time()
+    packed = batch.encode_streams(messages, fresh, level=2, dictionary=words)
+    assert batch.decode_streams(packed, fresh, words) == messages
+    assert time.process_time() - began < 4  # message by message it took some 20 ms each
+    history = b""
+    for p, m, new in zip(packed, messages, fresh):
+        history = words if new else history
+        assert block.decode(p, history=history[-65536:]) == m and len(p) < 60
+        history += m
+    again = batch.encode_streams(messages[100:], fresh[100:], level=2, dictionary=words, before=messages[99])
+    assert not fresh[100] and block.decode(again[0], history=(words + messages[99])[-65536:]) == messages[100]

@@ -231,3 +231,11 @@ def test_device_split_covers_both(spark):
 def test_history_window():
     long = generators.words(80_000, 1).encode()
     assert block.decode(block.encode(b"x" * 50, history=long), history=long[-65536:]) == b"x" * 50
+
+
+def test_candidates_of_keys_that_repeat(spark):
+    """A key's cells count together, null keys too, and grams aren't shuffled."""
+    df = spark.createDataFrame([(1, "abcdabcd"), (1, "abcd"), (None, "xyzw"), (None, "xyzw"), (2, "abc"), (3, None), (4, "aaaaaaaa")], "id int, text string")
+    out = blocks.match_candidates(df, "id", "text")
+    assert {r["id"]: (r["places"], r["repeats"]) for r in out.collect()} == {1: (6, 2), None: (2, 1), 4: (5, 4)}
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
