@@ -126,6 +126,10 @@ def unlinked_streams(df: DataFrame, key: str, order: str, window: int = block.HI
     def run(batches):
         now, history = None, b""
         for batch in batches:
+            packed, fresh = [bytes(p) for p in batch["packed"]], []
+            for own in batch["own_key"]:
+                fresh.append(now is None or own != now[0])
+                now = (own,)
             found = []
             for first, last in many.pieces([len(p) for p in packed]):
                 some, new = packed[first:last], fresh[first:last]
@@ -151,7 +155,35 @@ def unlinked_streams(df: DataFrame, key: str, order: str, window: int = block.HI
 
 
 def match_candidates(df: DataFrame, key: str, data: str, size: int = 4) -> DataFrame:
-    """How many places of each cell have bytes that occurred before in it: key, places, repeats. Counted by 4-grams, not pair by pair."""
+    """How many places of each cell have bytes that occurred before in it: key, places, repeats. Counted by 4-grams, not pair by pair.
+
+    Cells meet by key once, and a key's distinct grams are held while its cells come by: grams themselves aren't shuffled. `size` is 8 at most.
+    """
+    import pyarrow as pa
+
+    if not 1 <= size <= 8:
+        raise ValueError("size must be 1 to 8 bytes")
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        now, places, seen = None, 0, []
+        for batch in batches:
+            keys, out = batch.column(0).to_pylist(), []
+            for k, own in enumerate(keys):
+                if now is not None and not _same(own, now[0]):
+                    out.append((now[0], places, places - len(_distinct(seen))))
+                    places, seen = 0, []
+                now = (own,)
+                grams = _grams(batch.column(1)[k].as_py(), size)
+                places += len(grams)
+                seen.append(grams)
+                if len(seen) > 1 and sum(map(len, seen[1:])) >= len(seen[0]):
+                    seen = [_distinct(seen)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((batch.schema.field(0).type, pa.int64(), pa.int64()))], names=["own_key", "places", "repeats"])
+            kind = batch.schema.field(0).type
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([places], pa.int64()), pa.array([places - len(_distinct(seen))], pa.int64())], names=["own_key", "places", "repeats"])
+
     raw = F.col(data).cast("binary")
     rows = df.where(F.octet_length(raw) >= size).select(F.col(key).alias("own_key"), raw.alias("data"))
     ordered = _by_key(rows).sortWithinPartitions("own_key")
@@ -212,13 +244,26 @@ def fold_hash(blocks: DataFrame, keys: list[str], data: str = "raw", order: str
 
 
 def sequence_rows(df: DataFrame, key: str, packed: str) -> DataFrame:
-    """key, seq_no, lit_len, offset, match_len of every sequence of every block, by Arrow batches; null blocks have none."""
+    """key, seq_no, lit_len, offset, match_len of every sequence of every block, as arrays of a piece of a batch; null blocks have none."""
+    import pyarrow as pa
+
     kinds = dict(df.dtypes)
 
     def run(batches):
         for batch in batches:
-            out = [(own, s.seq_no, len(s.literals), s.offset, s.match_len) for own, data in zip(batch["own_key"], batch["data"]) if data is not None for s in block.sequences(bytes(data))]
-            yield pd.DataFrame(out, columns=["own_key", "seq_no", "lit_len", "offset", "match_len"]).astype({"offset": "Int32", "match_len": "Int32"})
-
-    rows = df.select(F.col(key).alias("own_key"), F.col(packed).alias("data"))  # a filter on nulls would make what an encoder yields twice
-    return rows.mapInPandas(run, f"own_key {kinds[key]}, seq_no int, lit_len int, offset int, match_len int").withColumnRenamed("own_key", key)
+            data = batch.column(1)
+            known = np.flatnonzero(np.asarray(data.is_valid()))
+            for first, last in many.pieces([data[int(k)].as_buffer().size for k in known]):
+                some = known[first:last]
+                cells = [data[int(k)].as_py() for k in some]
+                found = many.sequences_many(cells)
+                if found is None:  # a damaged one is told by its error
+                    each = [(k, s.seq_no, len(s.literals), s.offset or 0, s.match_len or 0) for k, c in enumerate(cells) for s in block.sequences(c)]
+                    found = np.array(each, np.int64).T
+                own, number, literals, offset, length = found
+                none = offset == 0
+                columns = [batch.column(0).take(pa.array(some[own])), *(pa.array(x.astype(np.int32)) for x in (number, literals)), *(pa.array(x.astype(np.int32), mask=none) for x in (offset, length))]
+                yield pa.RecordBatch.from_arrays(columns, names=["own_key", "seq_no", "lit_len", "offset", "match_len"])
+
+    rows = df.select(F.col(key).alias("own_key"), F.col(packed).alias("data"))
+    return rows.mapInArrow(run, f"own_key {kinds[key]}, seq_no int, lit_len int, offset int, match_len int").withColumnRenamed("own_key", key)
