@@ -121,3 +121,24 @@ def test_linked_streams_keep_state_between_batches(spark, tmp_path, stream):
             if ok:
                 break
         assert ok
+
+
+@pytest.mark.parametrize("sized", ["true", "false"])
+def test_written_files_are_bounded(spark, tmp_path, sized):
+    """A task's rows go to files of so many bytes, and blocks are read by batches of bounded bytes."""
+    from tessera.sources import frame_source, register
+
+    register(spark)
+    texts = [(f"{k} " * 400).encode() for k in range(200)]
+    df = spark.createDataFrame([("", 0, "", 0, bytearray(t)) for t in texts], "path string, frame_no int, kind string, content_size long, data binary").coalesce(1)
+    df.write.format("tessera_frames").mode("append").option("contentSize", sized).option("fileBytes", "50000").option("blockSize", "1000").save(str(tmp_path / "out"))
+    back = spark.read.format("tessera_frames").load(str(tmp_path / "out")).collect()
+    assert len(back) > 4 and max(len(r["data"]) for r in back) <= 50_000 + max(map(len, texts))
+    assert sorted(b"".join(bytes(r["data"]) for r in back)) == sorted(b"".join(texts))
+    reader = frame_source.FrameReader({"path": str(tmp_path / "out"), "rows": "blocks"})
+    held, frame_source.READ_BYTES = frame_source.READ_BYTES, 10_000
+    try:
+        sizes = [b.nbytes for p in reader.partitions() for b in reader.read(p)]
+    finally:
+        frame_source.READ_BYTES = held
+    assert len(sizes) > 10 and max(sizes) < 12_000
