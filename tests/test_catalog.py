@@ -106,3 +106,15 @@ def test_encoders_run_once(spark, name):
     """Two evaluations, what encodes and what decodes: in one, or twice, the encoder would run for each expression that uses its column."""
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2 and "Join" not in plan, plan
+
+
+def test_level_roundtrips_have_every_parse():
+    """Levels up to 9 have no optimal parse."""
+    from tessera.kernels import block
+
+    assert {block.tries_of(k)[0] for k in catalog.PARSES} == {"fast", "mid", "overlapping", "optimal"}
+
+
+def test_blocks_are_not_dealt_by_number_alone(spark):
+    plan = catalog.queries()["blocks_in_order"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block_no" not in plan and "hashpartitioning(doc_id" in plan

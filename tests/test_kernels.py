@@ -437,7 +437,7 @@ def test_a_dictionary_is_indexed_once_for_many_streams():
     from tessera.kernels import batch
 
     words = generators.words(65536, 1).encode()
-    messages = [words[k * 90 : k * 90 + 400] + b"%d" % k for k in range(600)]
+    messages = [words[k * 90 + 5000 : k * 90 + 5400] + b"%d" % k for k in range(600)]
     fresh, began = [k % 3 == 0 for k in range(600)], time.process_time()
     packed = batch.encode_streams(messages, fresh, level=2, dictionary=words)
     assert batch.decode_streams(packed, fresh, words) == messages
